@@ -12,6 +12,7 @@ FRAGMENT = 200
 TAG_SIZE = 50
 GENOME_SIZE = 1_000_000
 CONTIG_LENGTH = 250_000
+CONTIGS = [f"chr{i}" for i in range(1, 6)]
 
 _MULTI = "l_orderkey % 3 = 0"
 _POS = (

@@ -19,7 +19,9 @@ def experiment(spark: SparkSession, sf_dir: str) -> Experiment:
     """The run over the read view; its staged tables are shared by the queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _experiments:
-        _experiments[key] = Experiment(view(spark, sf_dir, "reads"), OPTIONS, tables.CONTIG_LENGTH)
+        _experiments[key] = Experiment(
+            view(spark, sf_dir, "reads"), OPTIONS, tables.CONTIG_LENGTH, tables.CONTIGS
+        )
     return _experiments[key]
 
 

@@ -53,10 +53,7 @@ def _by_read(m: MultiExperiment, weights: DataFrame, sample: str) -> DataFrame:
 
 def em_three(spark: SparkSession, sf: str) -> DataFrame:
     m = multi(spark, sf)
-    peaks = m.peak_table("T")
-    weights = em.start_weights(m.classes.members.where("sample = 'T'"), peaks)
-    for _ in range(3):
-        weights = em.em_step(weights, peaks)
+    weights = em.fixed_rounds(m.classes.members.where("sample = 'T'"), m.peak_table("T"), 3)
     return _by_read(m, weights, "T")
 
 

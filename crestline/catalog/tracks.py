@@ -88,7 +88,7 @@ def dup_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tag_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    return experiment(spark, sf).tracks
+    return experiment(spark, sf).tracks.select("sample", "chrom", "strand", "pos", "n_unique", "n_multi")
 
 
 def sorted_tags(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +168,8 @@ def score_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def lower_tail(spark: SparkSession, sf: str) -> DataFrame:
     scored = experiment(spark, sf).scored
-    return scored.select("k", r4("lam").alias("lam"), r4(-poisson_log10_lower(F.col("k"), F.col("lam"))).alias("lower"))
+    tails = scored.withColumn("lower", -poisson_log10_lower(F.col("k"), F.col("lam")))
+    return rounded(tails.select("k", "lam", "lower"), "lam", "lower")
 
 
 def p_hist(spark: SparkSession, sf: str) -> DataFrame:

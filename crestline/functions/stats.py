@@ -18,6 +18,7 @@ def round_top(x: Column, digits: int) -> Column:
 
 def lgamma(x: Column) -> Column:
     """Log-gamma for x >= 1 by the Stirling series, shifted up by eight."""
+    x = x.cast("double")
     shifted = x
     for i in range(1, 8):
         shifted = shifted * (x + i)
@@ -36,21 +37,29 @@ def _poisson_log_mass(k: Column, lam: Column) -> Column:
     return k * F.log(lam) - lam - lgamma(k + 1)
 
 
-def _poisson_tail_sum(m: Column, lam: Column, upper: Column) -> Column:
-    """Mass of the tail that starts at ``m``, as a multiple of the mass at ``m``.
+def _terms(lam: Column, m: Column) -> Column:
+    """Terms after which a falling tail of masses is below double precision."""
+    return (F.ceil(F.sqrt(F.greatest(lam, m)) * 7) + 25).cast("int")
 
-    The ratios of neighbouring masses stay below one in the direction summed, so
-    a number of terms of the order of sqrt(lam) reaches double precision.
+
+def _log_upper(k: Column, lam: Column) -> Column:
+    """ln P(X > k), summed from k + 1 upwards; for k + 1 >= lam.
+
+    The sum of mass ratios is nested as 1 + r1 (1 + r2 (1 + ...)) and folded from
+    its innermost term, so the fold carries one number.
     """
-    terms = (F.ceil(F.sqrt(F.greatest(lam, m)) * 8) + 30).cast("int")
-    zero = F.struct(F.lit(1.0).alias("s"), F.lit(1.0).alias("x"))
+    m = k + 1
+    down = F.sequence(_terms(lam, m), F.lit(1), F.lit(-1))
+    ratios = F.aggregate(down, F.lit(1.0), lambda acc, i: acc * lam / (m + i) + 1.0)
+    return _poisson_log_mass(m, lam) + F.log(ratios)
 
-    def step(acc: Column, i: Column) -> Column:
-        ratio = F.when(upper, lam / (m + i)).otherwise(F.greatest(m - i + 1, F.lit(0.0)) / lam)
-        x = acc["x"] * ratio
-        return F.struct((acc["s"] + x).alias("s"), x.alias("x"))
 
-    return F.aggregate(F.sequence(F.lit(1), terms), zero, step, lambda acc: acc["s"])
+def _log_lower(k: Column, lam: Column) -> Column:
+    """ln P(X <= k), summed from k downwards; for k + 1 < lam."""
+    # at most k ratios: the one after the last would be zero
+    down = F.sequence(F.least(_terms(lam, k), k.cast("int") + 1), F.lit(1), F.lit(-1))
+    ratios = F.aggregate(down, F.lit(1.0), lambda acc, i: acc * (k + 1.0 - i) / lam + 1.0)
+    return _poisson_log_mass(k, lam) + F.log(ratios)
 
 
 def _log1m_exp(x: Column) -> Column:
@@ -62,22 +71,17 @@ def poisson_log10_upper(k: Column, lam: Column) -> Column:
     """log10 P(X > k) for X ~ Poisson(lam), lam > 0.
 
     Sums the side of the distribution that falls off; for k below the mean the
-    upper tail is one minus the lower one.
+    upper tail is one minus the lower one.  The number of terms is of the order
+    of sqrt(lam).
     """
     k, lam = k.cast("double"), lam.cast("double")
-    upper = k + 1 >= lam
-    m = F.when(upper, k + 1).otherwise(k)
-    log_tail = _poisson_log_mass(m, lam) + F.log(_poisson_tail_sum(m, lam, upper))
-    return F.when(upper, log_tail).otherwise(_log1m_exp(log_tail)) / LN10
+    return F.when(k + 1 >= lam, _log_upper(k, lam)).otherwise(_log1m_exp(_log_lower(k, lam))) / LN10
 
 
 def poisson_log10_lower(k: Column, lam: Column) -> Column:
     """log10 P(X <= k)."""
     k, lam = k.cast("double"), lam.cast("double")
-    upper = k + 1 >= lam
-    m = F.when(upper, k + 1).otherwise(k)
-    log_tail = _poisson_log_mass(m, lam) + F.log(_poisson_tail_sum(m, lam, upper))
-    return F.when(upper, _log1m_exp(log_tail)).otherwise(log_tail) / LN10
+    return F.when(k + 1 >= lam, _log1m_exp(_log_upper(k, lam))).otherwise(_log_lower(k, lam)) / LN10
 
 
 def pscore(treat: Column, ctrl: Column) -> Column:

@@ -92,6 +92,15 @@ def em_step(weights: DataFrame, peaks: DataFrame) -> DataFrame:
     return _normalised(weights.drop("w"), rates)
 
 
+def fixed_rounds(members: DataFrame, peaks: DataFrame, rounds: int) -> DataFrame:
+    """Weights after exactly ``rounds`` rounds, each written as a table."""
+    peaks = stage(peaks, "em_peaks")
+    state = stage(start_weights(members, peaks), "em")
+    for _ in range(rounds):
+        state = stage(em_step(state, peaks), "em")
+    return state
+
+
 def estimate(
     members: DataFrame,
     peaks: DataFrame,

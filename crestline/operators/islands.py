@@ -46,7 +46,7 @@ def label_islands(
     heads = summary.select(*keys, "_tile", F.coalesce(F.col("fresh"), carried).alias("_head"))
 
     running_open = F.last("_open", ignorenulls=True).over(in_tile.rowsBetween(Window.unboundedPreceding, 0))
-    named = marked.withColumn("_inner", running_open).join(heads, [*keys, "_tile"])
+    named = marked.withColumn("_inner", running_open).join(heads.hint("shuffle_hash"), [*keys, "_tile"])
     return named.select(*rows.columns, F.coalesce("_inner", "_head").alias(out))
 
 

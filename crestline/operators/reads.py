@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 from crestline.operators.running import position_in_group, tile_of
 
 
-def read_counts(reads: DataFrame) -> DataFrame:
-    """One row per read: its number of alignments and, if single, that alignment.
+def read_counts(reads: DataFrame, contigs: Sequence[str] | None = None) -> DataFrame:
+    """One row per read: its number of alignments and its first alignment.
 
-    The lone alignment comes out of the same partial aggregate as the count, so
-    unique tags need no join back to the alignments.
+    The lone alignment of a unique read comes out of the same partial aggregate
+    as the count, so unique tags need no join back to the alignments.  With the
+    header's ``contigs`` an alignment packs into one long, which keeps the
+    aggregate in a hash map; without them it is a struct and is sorted.
     """
-    return reads.groupBy("sample", "read_id").agg(
-        F.count(F.lit(1)).alias("n_align"), F.min(F.struct("chrom", "strand", "pos")).alias("tag")
+    count = F.count(F.lit(1)).alias("n_align")
+    if contigs is None:
+        first = F.min(F.struct("chrom", "strand", "pos")).alias("tag")
+        return reads.groupBy("sample", "read_id").agg(count, first)
+    names = F.array(*[F.lit(c) for c in contigs])
+    place = (F.array_position(names, F.col("chrom")) * (1 << 32) + F.col("pos")) * 2 + F.col("strand")
+    packed = reads.groupBy("sample", "read_id").agg(count, F.min(place).alias("_p"))
+    tag = F.struct(
+        F.element_at(names, F.shiftright("_p", 33).cast("int")).alias("chrom"),
+        F.col("_p").bitwiseAND(1).cast("int").alias("strand"),
+        F.shiftright("_p", 1).bitwiseAND((1 << 32) - 1).alias("pos"),
     )
+    return packed.select("sample", "read_id", "n_align", tag.alias("tag"))
 
 
 def library_counts(per_read: DataFrame) -> DataFrame:
@@ -30,17 +42,23 @@ def library_counts(per_read: DataFrame) -> DataFrame:
 
 
 def tag_tracks(reads: DataFrame, per_read: DataFrame) -> DataFrame:
-    """Tags per position with their unique and multi-mapped multiplicity.
+    """Tags per position: ``n_unique``, ``n_multi`` and ``multi_reads``.
 
     The multi count is the count of all alignments less that of unique reads.
+    ``multi_reads`` counts each multi-mapped read at its first alignment only, so
+    that its sum is the number of such reads.
     """
     keys = ["sample", "chrom", "strand", "pos"]
-    every = reads.select(*keys, F.lit(1).alias("n_all"), F.lit(0).alias("n_unique"))
-    unique = per_read.where("n_align = 1").select(
-        "sample", "tag.chrom", "tag.strand", "tag.pos", F.lit(0).alias("n_all"), F.lit(1).alias("n_unique")
+    zero, one = F.lit(0), F.lit(1)
+    lone = F.when(F.col("n_align") == 1, one).otherwise(zero)
+    every = reads.select(*keys, one.alias("a"), zero.alias("u"), zero.alias("m"))
+    grouped = per_read.select(
+        "sample", "tag.chrom", "tag.strand", "tag.pos", zero.alias("a"), lone.alias("u"), (1 - lone).alias("m")
+    )
+    both = every.unionByName(grouped).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "aum"])
+    return both.select(
+        *keys, F.col("u").alias("n_unique"), (F.col("a") - F.col("u")).alias("n_multi"), F.col("m").alias("multi_reads")
     )
-    both = every.unionByName(unique).groupBy(*keys).agg(F.sum("n_all").alias("n_all"), F.sum("n_unique").alias("n_unique"))
-    return both.select(*keys, "n_unique", (F.col("n_all") - F.col("n_unique")).alias("n_multi"))
 
 
 def multi_weights(reads: DataFrame) -> DataFrame:

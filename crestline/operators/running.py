@@ -108,7 +108,8 @@ def running(
     for r in runs:
         frame = base.rowsBetween(Window.unboundedPreceding, _before(r.inclusive))
         scanned = scanned.withColumn(f"_w_{r.out}", _over(r, r.value, frame))
-    joined = scanned.join(carried, fine, "left")
+    # built side by side on the partitioning of the scan; a broadcast could pick the scan itself
+    joined = scanned.join(carried.hint("shuffle_hash"), fine, "left")
     return joined.select(
         *df.columns, *[_merge(r, F.col(f"_c_{r.out}"), F.col(f"_w_{r.out}")).alias(r.out) for r in runs]
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crestline.functions.stats import pscore, round_top
 from crestline.operators.joins import salted_lookup
 from crestline.operators.running import Run, running
+from crestline.session import stage
 
 P_UNITS = 10**10  # p-scores are compared as integers of 1e-10
 
@@ -29,7 +30,18 @@ def score_lengths(signal: DataFrame) -> DataFrame:
     runs on the aggregate and not on every segment.
     """
     pairs = rate_columns(signal).groupBy("k", "lam").agg(F.sum(F.col("stop") - F.col("start")).alias("bp"))
-    return pairs.withColumn("pscore", pscore(F.col("k"), F.col("lam"))).withColumn("pkey", p_key(F.col("pscore")))
+    # few bytes but much arithmetic per row: keep the tasks that coalescing by size would merge
+    pairs = pairs.repartition(int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "lam")
+    return pairs.withColumn("pscore", pscore(F.col("k"), F.col("lam")))
+
+
+def staged_scores(signal: DataFrame, label: str = "scored") -> DataFrame:
+    """Scored pairs as a table, with the integer key of the p-score.
+
+    Staging also keeps the optimizer from moving a filter on the score below the
+    aggregate, where the tail sum would run on every segment.
+    """
+    return stage(score_lengths(signal), label).withColumn("pkey", p_key(F.col("pscore")))
 
 
 def p_histogram(scored: DataFrame) -> DataFrame:

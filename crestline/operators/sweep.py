@@ -46,17 +46,14 @@ def step_events(
 
     A side's weight may be null for rows that do not belong to it.
     """
-    names = list(spans)
-    events = []
-    for name, (start, end, weight) in spans.items():
-        for pos, delta in ((start, weight), (end, -weight)):
-            columns = [clamp(pos, length).cast("long").alias("pos")]
-            columns += [
-                (delta.cast("long") if other == name else F.lit(None).cast("long")).alias(other) for other in names
-            ]
-            events.append(F.when(weight.isNotNull(), F.struct(*columns)))
-    exploded = df.select(*keys, F.explode(F.array(*events)).alias("ev")).where("ev IS NOT NULL")
-    return exploded.select(*keys, "ev.pos", *[f"ev.{name}" for name in names])
+    events = [
+        F.struct(F.lit(i).alias("side"), clamp(pos, length).cast("long").alias("pos"), delta.cast("long").alias("d"))
+        for i, (start, end, weight) in enumerate(spans.values())
+        for pos, delta in ((start, weight), (end, -weight))
+    ]
+    rows = df.select(*keys, F.explode(F.array(*events)).alias("ev")).where("ev.d IS NOT NULL")
+    sides = [F.when(F.col("ev.side") == i, F.col("ev.d")).alias(name) for i, name in enumerate(spans)]
+    return rows.select(*keys, "ev.pos", *sides)
 
 
 def sweep(
@@ -115,7 +112,8 @@ def sweep(
         limit.alias("limit"),
     )
 
-    rows = at.join(totals, [*keys, "tile"])
+    # the windows below need the same partitioning, so this join adds no shuffle of its own
+    rows = at.join(totals.hint("shuffle_hash"), [*keys, "tile"])
     keep = reduce(
         lambda a, b: a | b,
         [changed[s] | (F.col(s).isNotNull() & (F.col("pos") == F.col(f"first_{s}"))) for s in sides],

@@ -28,8 +28,7 @@ def candidate_regions(experiment: Experiment) -> DataFrame:
     """
     o = experiment.options
     signal = stage(experiment.paired_signal(experiment.enriched_tags), "signal_all")
-    # staged: else the optimizer pushes the costly score below the aggregate, onto every segment
-    scored = stage(scoring.score_lengths(signal), "scored_all")
+    scored = scoring.staged_scores(signal, "scored_all")
     pairs = passing_pairs(scored, "p", -math.log10(o.candidate_pval), None)
     rows = stage(islands_above(signal, pairs, o.tag_size), "islands_all")
     bounds = region_bounds(rows, ["chrom"], o.fragment)

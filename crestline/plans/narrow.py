@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from crestline.config import CallOptions
 from crestline.functions.stats import fold_enrichment
 from crestline.operators import scoring
 from crestline.operators.islands import label_islands, number_peaks, region_bounds, summit_rows
-from crestline.operators.reads import library_counts, read_counts, tag_tracks
+from crestline.operators.reads import read_counts, tag_tracks
 from crestline.operators.sweep import centred_ends, directed_ends, step_events, sweep
 from crestline.operators.tags import LibraryTotals, cap_duplicates, duplicate_caps
 from crestline.session import stage
@@ -48,17 +49,21 @@ class Experiment:
 
     ``reads`` has ``sample`` ('T' or 'C'), ``read_id``, ``chrom``, ``strand``
     (0 plus, 1 minus) and ``pos`` (5' end).  ``length`` is a contig length or a
-    column of it.  Tables used by several steps are staged once.
+    column of it; ``contigs`` are the header's names, if there are not too many.
+    Tables used by several steps are staged once.
     """
 
-    def __init__(self, reads: DataFrame, options: CallOptions, length: Column | int):
+    def __init__(
+        self, reads: DataFrame, options: CallOptions, length: Column | int, contigs: Sequence[str] | None = None
+    ):
         if options.chromosomes:
             reads = reads.where(F.col("chrom").isin(options.chromosomes))
         self.reads, self.options, self.length = reads, options, length
+        self.contigs = contigs if contigs is not None and len(contigs) <= 200 else None
 
     @cached_property
     def per_read(self) -> DataFrame:
-        return read_counts(self.reads)
+        return read_counts(self.reads, self.contigs)
 
     @cached_property
     def tracks(self) -> DataFrame:
@@ -67,8 +72,8 @@ class Experiment:
 
     @cached_property
     def raw_totals(self) -> dict[str, tuple[int, int]]:
-        rows = library_counts(self.per_read).collect()  # one row per sample
-        return {r["sample"]: (r["n_unique"], r["n_multi"]) for r in rows}
+        sums = self.tracks.groupBy("sample").agg(F.sum("n_unique").alias("u"), F.sum("multi_reads").alias("m"))
+        return {r["sample"]: (r["u"], r["m"]) for r in sums.collect()}  # one row per sample
 
     @cached_property
     def caps(self) -> dict[str, int] | None:
@@ -117,7 +122,7 @@ class Experiment:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return stage(scoring.score_lengths(self.signal), "scored")
+        return scoring.staged_scores(self.signal)
 
     @cached_property
     def q_table(self) -> DataFrame:
