@@ -7,6 +7,7 @@ alike, so that the same rows come out on both sides of a comparison.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FRAGMENT = 200
 TAG_SIZE = 50
@@ -89,14 +90,16 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("p_partkey", "payload"),
         ],
     ),
-    # exons of a gene: the lines of a customer's orders
-    "exon_lines": (
-        "lineitem",
+    # exons of a gene, closed intervals; the gene is the customer of the line's order
+    "exons": (
+        "lineitem JOIN orders ON l_orderkey = o_orderkey",
         [
-            ("l_orderkey", "l_orderkey"),
-            (_CHROM, "line_chrom"),
-            ("CAST(l_linenumber * 1000 + l_partkey % 500 AS BIGINT)", "exon_start"),
-            ("CAST(l_linenumber * 1000 + l_partkey % 500 + 20 + l_quantity AS BIGINT)", "exon_stop"),
+            ("o_custkey", "gene"),
+            ("concat('chr', CAST(1 + o_custkey % 5 AS STRING))", "chrom"),
+            ("CAST(o_custkey % 2 AS INT)", "strand"),
+            ("CASE WHEN l_linenumber = 1 THEN 'UTR5' WHEN l_linenumber >= 6 THEN 'UTR3' ELSE 'CDS' END", "type"),
+            ("CAST(2000 + (o_custkey % 50) * 4000 + l_linenumber * 60 + l_partkey % 40 AS BIGINT)", "start"),
+            ("CAST(2000 + (o_custkey % 50) * 4000 + l_linenumber * 60 + l_partkey % 40 + 9 + l_quantity AS BIGINT)", "stop"),
         ],
     ),
     "variants": (
@@ -120,8 +123,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
-    return load(spark, sf_dir, table).selectExpr(*[f"{expr} AS {alias}" for expr, alias in columns])
+    source, columns = VIEWS[name]
+    table, _, joined = source.partition(" JOIN ")
+    rows = load(spark, sf_dir, table)
+    if joined:
+        other, _, condition = joined.partition(" ON ")
+        rows = rows.join(load(spark, sf_dir, other), F.expr(condition))
+    return rows.selectExpr(*[f"{expr} AS {alias}" for expr, alias in columns])
 
 
 def view_sql(name: str) -> str:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.catalog import alignments, multi, peaks, tracks
+from crestline.catalog import alignments, library, model, multi, peaks, tracks
 from crestline.catalog.common import reset
 
-MODULES = (tracks, peaks, multi, alignments)
+MODULES = (tracks, peaks, multi, alignments, library, model)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -146,26 +146,37 @@ def fisher_exact(n11: Column, n12: Column, n21: Column, n22: Column) -> Column:
     value; a relative slack of 1e-8 absorbs rounding of equal masses.
     """
     row1, col1 = n11 + n12, n11 + n21
-    total = n11 + n12 + n21 + n22
+    total = row1 + n21 + n22
     low = F.greatest(F.lit(0), row1 + col1 - total).cast("int")
     high = F.least(row1, col1).cast("int")
+    table = F.struct(
+        n11.alias("n"),
+        row1.alias("r"),
+        col1.alias("c"),
+        (total - row1 - col1).alias("d"),
+        (log_choose(total, col1) * -1 + lgamma(row1 + 1) + lgamma(total - row1 + 1)).alias("k"),
+    )
 
-    def mass(i: Column) -> Column:
-        return F.exp(log_choose(row1, i) + log_choose(total - row1, col1 - i) - log_choose(total, col1))
+    def mass(t: Column, i: Column) -> Column:
+        return F.exp(t["k"] - lgamma(i + 1) - lgamma(t["r"] - i + 1) - lgamma(t["c"] - i + 1) - lgamma(t["d"] + i + 1))
 
-    observed = mass(n11)
-    cells = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), mass(i).alias("p")))
+    def add(t: Column, cells: Column, keep) -> Column:
+        kept = F.filter(cells, lambda c: keep(t, c))
+        return F.least(F.aggregate(kept, F.lit(0.0), lambda acc, c: acc + c["p"]), F.lit(1.0))
 
-    def add(keep) -> Column:
-        return F.least(
-            F.aggregate(F.filter(cells, keep), F.lit(0.0), lambda acc, c: acc + c["p"]), F.lit(1.0)
+    def sums(t: Column) -> Column:
+        return F.struct(
+            add(t, t["cells"], lambda t, c: c["i"] <= t["n"]).alias("left_p"),
+            add(t, t["cells"], lambda t, c: c["i"] >= t["n"]).alias("right_p"),
+            add(t, t["cells"], lambda t, c: c["p"] <= t["seen"] * (1 + 1e-8)).alias("two_tail_p"),
         )
 
-    return F.struct(
-        add(lambda c: c["i"] <= n11).alias("left_p"),
-        add(lambda c: c["i"] >= n11).alias("right_p"),
-        add(lambda c: c["p"] <= observed * (1 + 1e-8)).alias("two_tail_p"),
-    )
+    # one-element arrays bind the table and its masses, so each is worked out once
+    def masses(t: Column) -> Column:
+        cells = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), mass(t, i).alias("p")))
+        return F.struct(t["n"].alias("n"), mass(t, t["n"]).alias("seen"), cells.alias("cells"))
+
+    return F.transform(F.transform(F.array(table), masses), sums)[0]
 
 
 # --- scalars computed once per run -------------------------------------------------
