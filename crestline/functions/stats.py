@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crestline.functions.let import let
+
 LN10 = math.log(10.0)
 
 
@@ -171,12 +173,11 @@ def fisher_exact(n11: Column, n12: Column, n21: Column, n22: Column) -> Column:
             add(t, t["cells"], lambda t, c: c["p"] <= t["seen"] * (1 + 1e-8)).alias("two_tail_p"),
         )
 
-    # one-element arrays bind the table and its masses, so each is worked out once
     def masses(t: Column) -> Column:
         cells = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), mass(t, i).alias("p")))
         return F.struct(t["n"].alias("n"), mass(t, t["n"]).alias("seen"), cells.alias("cells"))
 
-    return F.transform(F.transform(F.array(table), masses), sums)[0]
+    return let(table, lambda t: let(masses(t), sums))
 
 
 # --- scalars computed once per run -------------------------------------------------

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.operators.running import TILE_BITS, Run, position_in_group, running, tile_of
+from crestline.operators.running import TILE_BITS, Run, label_runs, position_in_group, running, tile_of
 
 
 def above_cutoffs(df: DataFrame, cutoffs: dict[str, float]) -> DataFrame:
@@ -20,34 +20,10 @@ def above_cutoffs(df: DataFrame, cutoffs: dict[str, float]) -> DataFrame:
 def label_islands(
     rows: DataFrame, keys: Sequence[str], max_gap: int, tile_bits: int = TILE_BITS, out: str = "island"
 ) -> DataFrame:
-    """Name each run of rows whose gaps are at most ``max_gap`` by its start.
-
-    Rows are ``start, stop`` sorted and not overlapping.  Inside a tile the gap
-    is seen by ``lag``; only a tile's first row needs its neighbour tile, and
-    that comes from one summary row per tile.
-    """
-    keys = list(keys)
-    tiled = rows.withColumn("_tile", tile_of("stop", tile_bits))
-    in_tile = Window.partitionBy(*keys, "_tile").orderBy("stop")
-    prior = F.lag("stop").over(in_tile)
-    opened = F.when(F.col("start") - prior > max_gap, F.col("start"))
-    marked = tiled.withColumn("_open", opened)
-
-    summary = marked.groupBy(*keys, "_tile").agg(
-        F.min("start").alias("first_start"), F.max("stop").alias("last_stop"), F.max("_open").alias("last_open")
+    """Name each run of rows whose gaps are at most ``max_gap`` by its start."""
+    return label_runs(
+        rows, keys, ["start", "stop"], lambda before, now: now["start"] - before["stop"] > max_gap, tile_bits, out
     )
-    tiles = Window.partitionBy(*keys).orderBy("_tile")
-    lag_stop = F.lag("last_stop").over(tiles)
-    fresh = F.when(lag_stop.isNull() | (F.col("first_start") - lag_stop > max_gap), F.col("first_start"))
-    summary = summary.withColumn("fresh", fresh)
-    carried = F.last(F.coalesce("last_open", "fresh"), ignorenulls=True).over(
-        tiles.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    heads = summary.select(*keys, "_tile", F.coalesce(F.col("fresh"), carried).alias("_head"))
-
-    running_open = F.last("_open", ignorenulls=True).over(in_tile.rowsBetween(Window.unboundedPreceding, 0))
-    named = marked.withColumn("_inner", running_open).join(heads.hint("shuffle_hash"), [*keys, "_tile"])
-    return named.select(*rows.columns, F.coalesce("_inner", "_head").alias(out))
 
 
 def middle_rows(rows: DataFrame, keys: Sequence[str], order: str = "stop") -> DataFrame:

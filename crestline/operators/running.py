@@ -8,7 +8,7 @@ from one level to the next.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,3 +121,46 @@ def position_in_group(
     """1-based position of each row inside its key, without one task per key."""
     counted = running(df.withColumn("_one", F.lit(1)), keys, levels, order, [Run(out, "sum", "_one", True)])
     return counted.drop("_one")
+
+
+def label_runs(
+    rows: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    breaks: Callable[[dict[str, Column], dict[str, Column]], Column],
+    tile_bits: int = TILE_BITS,
+    out: str = "run",
+) -> DataFrame:
+    """Name each run of neighbouring rows by the ``start`` of its first row.
+
+    Rows are ``start, stop`` segments in order of ``stop`` that do not overlap.
+    ``breaks(before, now)`` says from the named columns of two neighbours whether
+    a new run opens.  Inside a tile the neighbour is seen by ``lag``; only a
+    tile's first row needs another tile, and one summary row per tile carries
+    what it needs.
+    """
+    keys, columns = list(keys), list(columns)
+    tiled = rows.withColumn("_tile", tile_of("stop", tile_bits))
+    in_tile = Window.partitionBy(*keys, "_tile").orderBy("stop")
+    now = {c: F.col(c) for c in columns}
+    before = {c: F.lag(c).over(in_tile) for c in columns}
+    marked = tiled.withColumn("_open", F.when(breaks(before, now), F.col("start")))
+
+    summary = marked.groupBy(*keys, "_tile").agg(
+        F.min("start").alias("_start"),
+        F.min_by(F.struct(*columns), "stop").alias("_first"),
+        F.max_by(F.struct(*columns), "stop").alias("_last"),
+        F.max("_open").alias("_last_open"),
+    )
+    tiles = Window.partitionBy(*keys).orderBy("_tile")
+    summary = summary.withColumn("_prior", F.lag("_last").over(tiles))
+    edge = breaks({c: F.col(f"_prior.{c}") for c in columns}, {c: F.col(f"_first.{c}") for c in columns})
+    summary = summary.withColumn("_fresh", F.when(F.col("_prior").isNull() | edge, F.col("_start")))
+    carried = F.last(F.coalesce("_last_open", "_fresh"), ignorenulls=True).over(
+        tiles.rowsBetween(Window.unboundedPreceding, -1)
+    )
+    heads = summary.select(*keys, "_tile", F.coalesce(F.col("_fresh"), carried).alias("_head"))
+
+    inner = F.last("_open", ignorenulls=True).over(in_tile.rowsBetween(Window.unboundedPreceding, 0))
+    named = marked.withColumn("_inner", inner).join(heads.hint("shuffle_hash"), [*keys, "_tile"])
+    return named.select(*rows.columns, F.coalesce("_inner", "_head").alias(out))

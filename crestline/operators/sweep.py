@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.operators.running import TILE_BITS, Run, running, tile_of
+from crestline.operators.running import TILE_BITS, Run, label_runs, running, tile_of
 
 
 def directed_ends(strand: Column, pos: Column, reach: int, shift: int = 0) -> tuple[Column, Column]:
@@ -177,18 +177,16 @@ def max_steps(parts: Mapping[str, DataFrame], keys: Sequence[str], value: str =
 def coalesce_equal(steps: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-5) -> DataFrame:
     """Join neighbouring segments whose values differ by at most ``tolerance``.
 
-    Each segment is compared with the one before it; a run is named by the start
-    of its first segment, carried over tile borders.
+    Each segment is compared with the one before it.
     """
     keys = list(keys)
-    tiled = steps.withColumn("tile", tile_of("stop"))
-    seen = running(tiled, keys, ["tile"], ["stop"], [Run("_before", "last", value)])
-    flagged = seen.withColumn(
-        "_run_start",
-        F.when(F.col("_before").isNull() | (F.abs(F.col(value) - F.col("_before")) > tolerance), F.col("start")),
+    named = label_runs(
+        steps.select(*keys, "start", "stop", value),
+        keys,
+        ["start", value],
+        lambda before, now: F.abs(now[value] - before[value]) > tolerance,
     )
-    named = running(flagged, keys, ["tile"], ["stop"], [Run("_run", "last", "_run_start", True)])
-    merged = named.groupBy(*keys, "_run").agg(
+    merged = named.groupBy(*keys, "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(value, "stop").alias(value)
     )
     return merged.select(*keys, "start", "stop", value)

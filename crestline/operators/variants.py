@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crestline.functions.let import let
 from crestline.operators.running import position_in_group
 
 
@@ -22,36 +23,46 @@ def variant_type(ref: Column, alt: Column) -> Column:
     Shared leading bases are set aside first, then shared trailing ones as long
     as a base stays on each side.
     """
-    lead = _shared_prefix(ref, alt)
-    left_r, left_a = F.length(ref) - lead, F.length(alt) - lead
-    tail_r = F.substr(ref, lead + 1, F.greatest(left_r, F.lit(1)))
-    tail_a = F.substr(alt, lead + 1, F.greatest(left_a, F.lit(1)))
-    trail = F.when(
-        (left_r > 1) & (left_a > 1),
-        F.least(_shared_prefix(F.reverse(tail_r), F.reverse(tail_a)), F.least(left_r, left_a) - 1),
-    ).otherwise(F.lit(0))
-    r, a = left_r - trail, left_a - trail
-    # the base that stays last on each side; equal ones mean a shifted indel
-    same_last = F.substr(ref, lead + r, F.lit(1)) == F.substr(alt, lead + a, F.lit(1))
-
     def out(kind: str, size: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), size.cast("int").alias("size"))
 
-    zero = F.lit(0)
-    symbolic = alt.startswith("<")
+    def after_lead(n: Column) -> Column:
+        parts = F.struct(
+            F.substr(ref, n + 1, F.length(ref)).alias("r"), F.substr(alt, n + 1, F.length(alt)).alias("a")
+        )
+        return let(parts, after_trail)
+
+    def after_trail(s: Column) -> Column:
+        r, a = F.length(s["r"]), F.length(s["a"])
+        shared = F.when(
+            (r > 1) & (a > 1),
+            F.least(_shared_prefix(F.reverse(s["r"]), F.reverse(s["a"])), F.least(r, a) - 1),
+        ).otherwise(F.lit(0))
+        return let(F.struct(s["r"].alias("r"), s["a"].alias("a"), shared.alias("n")), classify)
+
+    def classify(s: Column) -> Column:
+        left_r, left_a = F.length(s["r"]), F.length(s["a"])
+        r, a = left_r - s["n"], left_a - s["n"]
+        # the base that stays last on each side; equal ones mean a shifted indel
+        same_last = F.substr(s["r"], r, F.lit(1)) == F.substr(s["a"], a, F.lit(1))
+        one = (r == 1) | (a == 1)
+        return (
+            F.when((left_r == 0) & (left_a == 0), out("REF", F.lit(0)))
+            .when((left_r == 0) | (left_a == 0), out("INDEL", left_a - left_r))
+            .when((r == 1) & (a == 1), out("SNP", F.lit(1)))
+            .when(one & same_last, out("INDEL", a - r))
+            .when(one, out("OTHER", a - r))
+            .when(r == a, out("MNP", a))
+            .otherwise(out("OTHER", F.when(r > a, -r).otherwise(a)))
+        )
+
     single = (F.length(ref) == 1) & (F.length(alt) == 1)
     return (
-        F.when(single & (alt.isin(".", "X") | (ref == alt)), out("REF", zero))
+        F.when(single & (alt.isin(".", "X") | (ref == alt)), out("REF", F.lit(0)))
         .when(single, out("SNP", F.lit(1)))
-        .when(alt == "<X>", out("REF", zero))
-        .when(symbolic, out("OTHER", zero))
-        .when((left_r == 0) & (left_a == 0), out("REF", zero))
-        .when((left_r == 0) | (left_a == 0), out("INDEL", left_a - left_r))
-        .when((r == 1) & (a == 1), out("SNP", F.lit(1)))
-        .when(((r == 1) | (a == 1)) & same_last, out("INDEL", a - r))
-        .when((r == 1) | (a == 1), out("OTHER", a - r))
-        .when(r == a, out("MNP", a))
-        .otherwise(out("OTHER", F.when(r > a, -r).otherwise(a)))
+        .when(alt == "<X>", out("REF", F.lit(0)))
+        .when(alt.startswith("<"), out("OTHER", F.lit(0)))
+        .otherwise(let(_shared_prefix(ref, alt), after_lead))
     )
 
 
