@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.adapters.driver_tables import view, view_sql
+from crestline.adapters.driver_tables import VIEWS, load, view, view_sql
 from crestline.catalog.common import (
     D,
     L,
+    OPTIONS,
     READS,
     SIGNAL,
     TOTALS,
@@ -23,6 +24,7 @@ from crestline.catalog.common import (
 )
 from crestline.functions.stats import poisson_log10_lower
 from crestline.operators import scoring
+from crestline.plans.narrow import FragmentExperiment
 from crestline.operators.reads import multi_weights
 from crestline.operators.running import position_in_group, tile_of
 from crestline.operators.sweep import (
@@ -152,6 +154,17 @@ def paired_end_pileup(spark: SparkSession, sf: str) -> DataFrame:
     return sweep(step_events(distinct, ["chrom"], {"depth": (F.col("start"), F.col("stop"), F.col("n"))}, L), ["chrom"], ["depth"])
 
 
+def fragment_experiment(spark: SparkSession, sf: str) -> FragmentExperiment:
+    """The read view as fragments of 150 to 239 bases."""
+    fragments = load(spark, sf, "lineitem").selectExpr(*[f"{e} AS {a}" for e, a in FRAGMENT_COLUMNS])
+    return FragmentExperiment(fragments, OPTIONS, L)
+
+
+def paired_end_signal(spark: SparkSession, sf: str) -> DataFrame:
+    ex = fragment_experiment(spark, sf)
+    return rounded(ex.paired_signal(ex.capped), "treat", "ctrl")
+
+
 def bedgraph(spark: SparkSession, sf: str) -> DataFrame:
     signal = experiment(spark, sf).signal
     tracks = []
@@ -192,6 +205,10 @@ def q_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+FRAGMENT_COLUMNS = [(e, a) for e, a in VIEWS["reads"][1] if a != "strand"] + [
+    ("CAST(150 + l_orderkey % 90 AS BIGINT)", "span")
+]
+
 QUERIES = {
     "p19_extend_tags": extend_tags,
     "g2_uniq_multi": uniq_multi,
@@ -205,6 +222,7 @@ QUERIES = {
     "g8_pileup_treat": pileup_treat,
     "g9_pileup_control": pileup_control,
     "g10_paired_end_pileup": paired_end_pileup,
+    "g10_paired_end_signal": paired_end_signal,
     "j3_pair_signal": pair_signal,
     "j3_merge_steps": merge_steps,
     "j4_pointwise_max": pointwise_max,
@@ -275,7 +293,66 @@ def _bedgraph_sql(name: str) -> str:
     )
 
 
+_FR_ENDS = "(SELECT chrom, pos AS p FROM kept WHERE sample = 'C' UNION ALL SELECT chrom, pos + span FROM kept WHERE sample = 'C')"
+_WIDTHS = ["(SELECT d FROM len)", "1000", "10000"]
+_FR = [
+    ("fr", f"SELECT {', '.join(f'{e} AS {a}' for e, a in FRAGMENT_COLUMNS)} FROM lineitem"),
+    ("pr", "SELECT sample, read_id, count(*) AS n_align FROM fr GROUP BY ALL"),
+    ("uf", "SELECT sample, chrom, pos, span, count(*) AS c FROM fr JOIN pr USING (sample, read_id) WHERE n_align = 1 GROUP BY ALL"),
+    ("kept", "SELECT sample, chrom, pos, span FROM uf"),
+    (
+        "tot",
+        "SELECT sample, k + CAST(floor(m * (1e0 - (u - k) / CAST(u AS DOUBLE))) AS BIGINT) AS total FROM"
+        " (SELECT sample, CAST(sum(c) AS BIGINT) AS u, count(*) AS k FROM uf GROUP BY ALL)"
+        " JOIN (SELECT sample, count(*) FILTER (n_align > 1) AS m FROM pr GROUP BY ALL) USING (sample)",
+    ),
+    ("len", "SELECT CAST(floor(avg(span)) AS BIGINT) AS d FROM kept WHERE sample = 'T'"),
+    (
+        "sc",
+        "SELECT d, t, c, t / c AS r FROM (SELECT CAST(max(total) FILTER (sample = 'T') AS DOUBLE) AS t,"
+        " 2 * CAST(max(total) FILTER (sample = 'C') AS DOUBLE) AS c FROM tot), len",
+    ),
+    (
+        "fev",
+        f"SELECT 't' AS side, chrom, pos, 1 AS n FROM kept WHERE sample = 'T' UNION ALL SELECT 't', chrom, least(pos + span, {L}), -1 FROM kept WHERE sample = 'T'"
+        + "".join(
+            f" UNION ALL SELECT 'c{i}', chrom, least(greatest(p - {w} // 2, 0), {L}), 1 FROM {_FR_ENDS}"
+            f" UNION ALL SELECT 'c{i}', chrom, least(greatest(p + {w} - {w} // 2, 0), {L}), -1 FROM {_FR_ENDS}"
+            for i, w in enumerate(_WIDTHS)
+        ),
+    ),
+    ("fat", "SELECT side, chrom, pos, sum(n) AS d FROM fev GROUP BY ALL"),
+    (
+        "franked",
+        "SELECT *, row_number() OVER w AS rn, coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth"
+        " FROM fat WINDOW w AS (PARTITION BY side, chrom ORDER BY pos)",
+    ),
+    (
+        "fwide",
+        "SELECT chrom, pos, " + ", ".join(f"max(depth) FILTER (side = '{s}') AS {s}" for s in ("t", "c0", "c1", "c2"))
+        + " FROM franked WHERE pos > 0 AND (d <> 0 OR rn = 1) GROUP BY ALL",
+    ),
+    (
+        "ffilled",
+        "SELECT chrom, pos, "
+        + ", ".join(
+            f"last_value({s} IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {s}"
+            for s in ("t", "c0", "c1", "c2")
+        )
+        + " FROM fwide",
+    ),
+    (
+        "fsignal",
+        "SELECT chrom, lag(pos, 1, 0) OVER (PARTITION BY chrom ORDER BY pos) AS start, pos AS stop,"
+        " f.t * CASE WHEN sc.t > sc.c THEN 1e0 / r ELSE 1e0 END AS treat,"
+        " greatest(c0 * CASE WHEN sc.t > sc.c THEN 1e0 ELSE r END, c1 * (d / 1000e0 * CASE WHEN sc.t > sc.c THEN 1e0 ELSE r END),"
+        " c2 * (d / 10000e0 * CASE WHEN sc.t > sc.c THEN 1e0 ELSE r END), CASE WHEN sc.t > sc.c THEN sc.c ELSE sc.t END * d / 1000000e0) AS ctrl"
+        " FROM ffilled f, sc WHERE f.t IS NOT NULL AND c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL",
+    ),
+]
+
 ORACLE = {
+    "g10_paired_end_signal": with_parts(_FR, f"SELECT chrom, start, stop, {q4('treat')} AS treat, {q4('ctrl')} AS ctrl FROM fsignal"),
     "p19_extend_tags": with_parts(
         READS,
         "SELECT sample, chrom, strand, pos,"

@@ -61,6 +61,25 @@ def tag_tracks(reads: DataFrame, per_read: DataFrame) -> DataFrame:
     )
 
 
+def fragment_tracks(fragments: DataFrame) -> DataFrame:
+    """Paired-end counterpart of ``tag_tracks``, per distinct fragment.
+
+    ``fragments`` has sample, read_id, chrom, pos and span.
+    """
+    keys = ["sample", "chrom", "pos", "span"]
+    per_read = fragments.groupBy("sample", "read_id").agg(
+        F.count(F.lit(1)).alias("n_align"), F.min(F.struct("chrom", "pos", "span")).alias("tag")
+    )
+    zero, one = F.lit(0), F.lit(1)
+    lone = F.when(F.col("n_align") == 1, one).otherwise(zero)
+    every = fragments.select(*keys, one.alias("a"), zero.alias("u"), zero.alias("m"))
+    grouped = per_read.select("sample", "tag.chrom", "tag.pos", "tag.span", zero.alias("a"), lone.alias("u"), (1 - lone).alias("m"))
+    both = every.unionByName(grouped).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "aum"])
+    return both.select(
+        *keys, F.col("u").alias("n_unique"), (F.col("a") - F.col("u")).alias("n_multi"), F.col("m").alias("multi_reads")
+    )
+
+
 def multi_weights(reads: DataFrame) -> DataFrame:
     """Weight 1/n of every alignment of a read with n alignments.
 

@@ -51,13 +51,9 @@ class LibraryTotals:
         return self.unique_kept + int(self.multi * (1.0 - self.redundancy))
 
 
-def duplicate_caps(keep_dup: str, genome_size: float, totals: Mapping[str, int]) -> dict[str, int] | None:
-    """Cap per sample for ``all``, ``auto`` or a number."""
-    if keep_dup == "all":
-        return None
-    if keep_dup == "auto":
-        return {sample: max_duplicates(genome_size, total) for sample, total in totals.items()}
-    return {sample: int(keep_dup) for sample in totals}
+def auto_caps(genome_size: float, totals: Mapping[str, int]) -> dict[str, int]:
+    """Cap per sample that chance explains; never below one copy."""
+    return {sample: max(1, max_duplicates(genome_size, total)) for sample, total in totals.items()}
 
 
 def downsample(piled: DataFrame, fraction: float, seed: int, keys: Sequence[str] = ("sample", "chrom", "strand")) -> DataFrame:

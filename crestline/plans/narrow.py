@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +13,9 @@ from crestline.config import CallOptions
 from crestline.functions.stats import fold_enrichment
 from crestline.operators import scoring
 from crestline.operators.islands import label_islands, number_peaks, region_bounds, summit_rows
-from crestline.operators.reads import read_counts, tag_tracks
+from crestline.operators.reads import fragment_tracks, read_counts, tag_tracks
 from crestline.operators.sweep import centred_ends, directed_ends, step_events, sweep
-from crestline.operators.tags import LibraryTotals, cap_duplicates, duplicate_caps
+from crestline.operators.tags import LibraryTotals, auto_caps, cap_duplicates
 from crestline.session import stage
 
 
@@ -53,6 +53,8 @@ class Experiment:
     Tables used by several steps are staged once.
     """
 
+    tag_columns = ("sample", "chrom", "strand", "pos")
+
     def __init__(
         self, reads: DataFrame, options: CallOptions, length: Column | int, contigs: Sequence[str] | None = None
     ):
@@ -72,24 +74,30 @@ class Experiment:
 
     @cached_property
     def raw_totals(self) -> dict[str, tuple[int, int]]:
+        """Unique and multi-mapped reads per sample."""
         sums = self.tracks.groupBy("sample").agg(F.sum("n_unique").alias("u"), F.sum("multi_reads").alias("m"))
         return {r["sample"]: (r["u"], r["m"]) for r in sums.collect()}  # one row per sample
 
     @cached_property
-    def caps(self) -> dict[str, int] | None:
-        totals = {s: u + m for s, (u, m) in self.raw_totals.items()}
-        return duplicate_caps(self.options.keep_dup, self.options.genome_size, totals)
+    def caps(self) -> int | dict[str, int] | None:
+        if self.options.keep_dup == "auto":
+            totals = {s: u + m for s, (u, m) in self.raw_totals.items()}
+            return auto_caps(self.options.genome_size, totals)
+        return None if self.options.keep_dup == "all" else int(self.options.keep_dup)
 
     @cached_property
     def capped(self) -> DataFrame:
         """Unique tags after the duplicate cap, ``n`` copies each."""
-        unique = self.tracks.where("n_unique > 0").select("sample", "chrom", "strand", "pos", F.col("n_unique").alias("n"))
+        unique = self.tracks.where("n_unique > 0").select(*self.tag_columns, F.col("n_unique").alias("n"))
         return cap_duplicates(unique, self.caps)
 
     @cached_property
     def totals(self) -> dict[str, LibraryTotals]:
-        kept = {r["sample"]: r["n"] for r in self.capped.groupBy("sample").agg(F.sum("n").alias("n")).collect()}
-        return {s: LibraryTotals(u, m, kept.get(s, 0)) for s, (u, m) in self.raw_totals.items()}
+        kept = cap_duplicates(self.tracks.withColumn("n", F.col("n_unique")), self.caps)
+        sums = kept.groupBy("sample").agg(
+            F.sum("n_unique").alias("u"), F.sum("multi_reads").alias("m"), F.sum("n").alias("k")
+        )
+        return {r["sample"]: LibraryTotals(r["u"], r["m"], r["k"]) for r in sums.collect()}  # one row per sample
 
     @cached_property
     def scales(self) -> Scales:
@@ -131,9 +139,45 @@ class Experiment:
     @cached_property
     def enriched_tags(self) -> DataFrame:
         """Tags of the candidate pass: capped unique ones plus all multi ones."""
-        multi = self.tracks.where("n_multi > 0").select("sample", "chrom", "strand", "pos", F.col("n_multi").alias("n"))
-        both = self.capped.unionByName(multi)
-        return both.groupBy("sample", "chrom", "strand", "pos").agg(F.sum("n").alias("n"))
+        multi = self.tracks.where("n_multi > 0").select(*self.tag_columns, F.col("n_multi").alias("n"))
+        return self.capped.unionByName(multi)
+
+
+class FragmentExperiment(Experiment):
+    """A paired-end run: each read is a fragment ``pos`` to ``pos + span``.
+
+    Treatment fragments count as they are.  Both ends of a control fragment count
+    as tags, so the control total doubles.  The fragment length is the mean span
+    of the treatment's unique fragments.
+    """
+
+    tag_columns = ("sample", "chrom", "pos", "span")
+
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return stage(fragment_tracks(self.reads), "fragments")
+
+    @cached_property
+    def mean_span(self) -> int:
+        treat = self.capped.where("sample = 'T'")
+        return int(treat.agg(F.sum(F.col("span") * F.col("n")) / F.sum("n")).first()[0])
+
+    @cached_property
+    def scales(self) -> Scales:
+        self.options = replace(self.options, fragment=self.mean_span)
+        return library_scales(self.totals["T"].total, 2 * self.totals["C"].total, self.options)
+
+    def depths(self, tags: DataFrame) -> DataFrame:
+        self.scales  # sets the fragment length the windows are built from
+        pos, stop, n = F.col("pos"), F.col("pos") + F.col("span"), F.col("n")
+        treat = {"t": (pos, stop, F.when(F.col("sample") == "T", n))}
+        events = step_events(tags, ["chrom"], treat, self.length)
+        control = {
+            f"c{i}": (*centred_ends(F.col("end"), width), F.col("n")) for i, width in enumerate(self.options.windows)
+        }
+        ends = tags.where("sample = 'C'").select("chrom", "n", F.explode(F.array(pos, stop)).alias("end"))
+        events = events.unionByName(step_events(ends, ["chrom"], control, self.length), allowMissingColumns=True)
+        return sweep(events, ["chrom"], ["t", *control])
 
 
 def passing_pairs(scored: DataFrame, kind: str, cutoff: float, table: DataFrame | None) -> DataFrame:
