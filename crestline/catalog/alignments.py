@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.adapters.driver_tables import view, view_sql
+from crestline.adapters.driver_tables import CONTIG_LENGTH, CONTIGS, view, view_sql
 from crestline.catalog.common import q4, r4, rounded, with_parts
 from crestline.functions import cigar as cg
 from crestline.functions import flags as fl
 from crestline.operators.base_depth import base_depth, cap_starts, mate_overlap
 from crestline.operators.reads import normal_name, proper_pairs, zip_mates
+from crestline.session import staging_root
 from crestline.sources import sam
+from crestline.sources.bam import BamDataSource
 
 
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +96,33 @@ def text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records to BAM files in the shared folder and back, in small splits."""
+    spark.dataSource.register(BamDataSource)
+    path = f"{staging_root(spark)}/bam-{uuid.uuid4().hex}"
+    contigs = json.dumps([(name, CONTIG_LENGTH * 2) for name in CONTIGS])
+    rows = alignments(spark, sf).select(
+        "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"
+    )
+    parts = rows.repartition(spark.sparkContext.defaultParallelism)
+    parts.write.format("bam").option("contigs", contigs).mode("append").save(path)
+    back = spark.read.format("bam").option("splitbytes", 1 << 20).load(path)
+    return back.select(
+        "qname",
+        "flag",
+        "rname",
+        "pos",
+        "mapq",
+        cg.cigar_text(F.col("cigar")).alias("cigar"),
+        "rnext",
+        "pnext",
+        "tlen",
+        "seq",
+        sam.tag_int(F.col("tags"), "NM").alias("nm"),
+        sam.tag_text(F.col("tags"), "XT").alias("xt"),
+    )
+
+
 def tag_edit(spark: SparkSession, sf: str) -> DataFrame:
     """Delete one tag, replace another, count what is left."""
     rows = alignments(spark, sf)
@@ -173,6 +205,7 @@ QUERIES = {
     "p8_cigar_ends": ends,
     "p7_aligned_blocks": blocks,
     "a3_sam_round_trip": text_round_trip,
+    "a4_bam_round_trip": bam_round_trip,
     "p9_tag_edit": tag_edit,
     "k10_sam_lines": sam_lines,
     "g5_mean_lengths": mean_lengths,
@@ -220,6 +253,8 @@ _ZIP = [
     ),
 ]
 
+_RECORDS = "SELECT qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, CAST(nm AS BIGINT) AS nm, xt FROM al"
+
 ORACLE = {
     "p1_flag_filter": with_parts(
         AL,
@@ -249,9 +284,8 @@ ORACLE = {
     "p7_aligned_blocks": with_parts(
         _CIG, "SELECT qname, rname, b_start AS start, b_start + n - 1 AS stop FROM walk WHERE op IN ('M', '=', 'X')"
     ),
-    "a3_sam_round_trip": with_parts(
-        AL, "SELECT qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, CAST(nm AS BIGINT) AS nm, xt FROM al"
-    ),
+    "a3_sam_round_trip": with_parts(AL, _RECORDS),
+    "a4_bam_round_trip": with_parts(AL, _RECORDS),
     "p9_tag_edit": with_parts(AL, "SELECT qname, CAST(mapq + 1 AS BIGINT) AS nm, CAST(NULL AS VARCHAR) AS xt, 1 AS n_tags FROM al"),
     "k10_sam_lines": with_parts(
         AL,
