@@ -267,8 +267,8 @@ def base_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 def downsampled(spark: SparkSession, sf: str) -> DataFrame:
     """Tags left per sample, contig and strand after drawing three tenths."""
-    kept = downsample(pile_tags(view(spark, sf, "reads")), 0.3, 7)
-    return kept.groupBy("sample", "chrom", "strand").agg(F.sum("n").alias("n"))
+    kept = downsample(view(spark, sf, "reads"), 0.3, 7)
+    return kept.groupBy("sample", "chrom", "strand").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {

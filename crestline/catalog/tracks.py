@@ -37,7 +37,7 @@ from crestline.operators.sweep import (
     step_events,
     sweep,
 )
-from crestline.operators.tags import cap_duplicates, pile_tags
+from crestline.operators.tags import cap_duplicates, number_copies, pile_tags
 
 
 def extend_tags(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,10 +83,7 @@ def dedup_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 def dup_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Number of each copy at its position, from the count alone."""
-    piled = pile_tags(view(spark, sf, "reads"))
-    return piled.select(
-        "sample", "chrom", "strand", "pos", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")
-    )
+    return number_copies(pile_tags(view(spark, sf, "reads")), ["sample", "chrom", "strand", "pos"])
 
 
 def tag_tracks(spark: SparkSession, sf: str) -> DataFrame:

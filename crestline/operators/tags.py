@@ -56,25 +56,34 @@ def auto_caps(genome_size: float, totals: Mapping[str, int]) -> dict[str, int]:
     return {sample: max(1, max_duplicates(genome_size, total)) for sample, total in totals.items()}
 
 
-def downsample(piled: DataFrame, fraction: float, seed: int, keys: Sequence[str] = ("sample", "chrom", "strand")) -> DataFrame:
-    """Keep ``floor(count * fraction)`` tags per key, chosen by a seeded hash.
+def number_copies(piled: DataFrame, keys: Sequence[str], chunk: int = 4096) -> DataFrame:
+    """One row per copy of a tag, numbered from 1.
 
-    The hash of the row gives the order, so the choice does not depend on how
-    rows are placed.  Copies are expanded to rows because each is drawn alone.
+    A pile is cut into chunks of numbers that are spread over tasks before they
+    are listed, so a very high pile is not unrolled by one task.
     """
-    rows = piled.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *keys, "pos", "copy"))
-    # 4,096 ordered slices of the hash range are the levels of the ranking
-    rows = rows.withColumn("_slice", F.shiftright("_h", 52))
-    ranked = position_in_group(rows, keys, ["_h", "pos", "copy"], ["_slice"], "_rn")
-    sizes = piled.groupBy(*keys).agg(F.floor(F.sum("n") * fraction).alias("_take"))
-    kept = ranked.join(sizes, list(keys)).where("_rn <= _take")
-    return kept.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk)))
+    cut = piled.where("n > 0").select(*keys, "n", parts.alias("_part"))
+    spread = cut.repartition(*keys, "_part")
+    first = F.col("_part") * chunk + 1
+    return spread.select(*keys, F.explode(F.sequence(first, F.least(first + chunk - 1, F.col("n")))).alias("copy"))
+
 
+def downsample(reads: DataFrame, fraction: float, seed: int, keys: Sequence[str] = ("sample", "chrom", "strand")) -> DataFrame:
+    """Keep ``floor(count * fraction)`` reads per key, chosen by a seeded hash.
 
-def downsample_to(piled: DataFrame, target: int, seed: int, keys: Sequence[str] = ("sample", "chrom", "strand")) -> DataFrame:
-    """Down-sample to about ``target`` tags, by the fraction of the total."""
-    total = piled.agg(F.sum("n")).first()[0] or 0
-    return piled if target >= total else downsample(piled, target / total, seed, keys)
+    The hash of the whole row gives the order, so the choice does not depend on
+    how rows are placed; equal rows are interchangeable.
+    """
+    rows = reads.withColumn("_h", F.xxhash64(F.lit(seed), *reads.columns))
+    # 4,096 ordered slices of the hash range are the levels of the ranking
+    rows = rows.withColumn("_slice", F.shiftright("_h", 52))
+    ranked = position_in_group(rows, keys, ["_h"], ["_slice"], "_rn")
+    sizes = reads.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * fraction).alias("_take"))
+    return ranked.join(sizes, list(keys)).where("_rn <= _take").select(*reads.columns)
 
 
+def downsample_to(reads: DataFrame, target: int, seed: int, keys: Sequence[str] = ("sample", "chrom", "strand")) -> DataFrame:
+    """Down-sample to about ``target`` reads, by the fraction of the total."""
+    total = reads.count()
+    return reads if target >= total else downsample(reads, target / total, seed, keys)

@@ -7,7 +7,7 @@ from crestline.functions.flags import flag_text, text_flag
 from crestline.operators import em
 from crestline.operators.model import anchor_tags
 from crestline.operators.reads import read_counts, tag_tracks, zip_mates
-from crestline.operators.tags import cap_duplicates, downsample
+from crestline.operators.tags import cap_duplicates, downsample, number_copies
 from crestline.operators.variants import genotype_class, variant_type
 from crestline.sources import sam, text
 
@@ -56,9 +56,11 @@ def test_tracks_count_unique_and_multi(spark):
 def test_cap_and_downsample(spark):
     piled = spark.createDataFrame([("T", "c", 0, p, 3) for p in range(50)], "sample string, chrom string, strand int, pos long, n long")
     assert {r.n for r in cap_duplicates(piled, {"T": 2}).collect()} == {2}
-    first = downsample(piled, 0.5, 3)
-    assert first.agg(F.sum("n")).first()[0] == 75
-    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, downsample(piled.repartition(3), 0.5, 3).collect()))
+    copies = number_copies(piled, ["sample", "chrom", "strand", "pos"], chunk=2)
+    assert sorted(r.copy for r in copies.where("pos = 7").collect()) == [1, 2, 3]
+    first = downsample(copies, 0.5, 3)
+    assert first.count() == 75
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, downsample(copies.repartition(3), 0.5, 3).collect()))
 
 
 def test_mate_zip_keeps_leftovers(spark):
