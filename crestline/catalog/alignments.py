@@ -15,8 +15,7 @@ from crestline.functions import flags as fl
 from crestline.operators.base_depth import base_depth, cap_starts, mate_overlap
 from crestline.operators.reads import normal_name, proper_pairs, zip_mates
 from crestline.session import staging_root
-from crestline.sources import sam
-from crestline.sources.bam import BamDataSource
+from crestline.sources import bam, sam
 
 
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +97,7 @@ def text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def bam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Records to BAM files in the shared folder and back, in small splits."""
-    spark.dataSource.register(BamDataSource)
+    bam.register(spark)
     path = f"{staging_root(spark)}/bam-{uuid.uuid4().hex}"
     contigs = json.dumps([(name, CONTIG_LENGTH * 2) for name in CONTIGS])
     rows = alignments(spark, sf).select(

@@ -18,8 +18,7 @@ from crestline.plans.model import fit, plot_script, with_fitted_fragment
 from crestline.plans.multi import MultiExperiment
 from crestline.plans.narrow import Experiment, FragmentExperiment, call_narrow
 from crestline.session import build_session, stage
-from crestline.sources import sam, sinks
-from crestline.sources.bam import BamDataSource, read_header
+from crestline.sources import bam, sam, sinks
 
 VERSION = "0.1.0"
 log = logging.getLogger("crestline")
@@ -84,8 +83,8 @@ def options_of(args: argparse.Namespace) -> CallOptions:
 def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Contigs and records of a SAM or BAM file."""
     if path.endswith(".bam"):
-        spark.dataSource.register(BamDataSource)
-        contigs = spark.createDataFrame(read_header(path)[0], "chrom string, length long")
+        bam.register(spark)
+        contigs = spark.createDataFrame(bam.read_header(path)[0], "chrom string, length long")
         return contigs, spark.read.format("bam").load(path)
     if path.endswith(".cram"):
         raise SystemExit("CRAM needs its reference sequence and is not read; convert it to BAM")

@@ -40,7 +40,7 @@ def candidate_regions(experiment: Experiment) -> DataFrame:
         F.col("treat").alias("pileup"),
         fold_enrichment(F.col("treat"), F.col("ctrl")).alias("fold"),
     )
-    levelled = regions.withColumn("_tile", tile_of("stop")).withColumn("_one", F.lit(1))
+    levelled = stage(regions, "regions").withColumn("_tile", tile_of("stop")).withColumn("_one", F.lit(1))
     return running(levelled, [], ["chrom", "_tile"], ["stop"], [Run("pid", "sum", "_one", True)]).drop("_tile", "_one")
 
 

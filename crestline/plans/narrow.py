@@ -218,5 +218,6 @@ def call_narrow(experiment: Experiment) -> DataFrame:
     options = experiment.options
     pairs = passing_pairs(experiment.scored, options.score_kind, options.cutoff, experiment.q_table)
     rows = stage(islands_above(experiment.signal, pairs, options.tag_size), "islands")
-    peaks = close_peaks(rows, experiment.q_table, options)
+    # staged because numbering reads the peaks several times
+    peaks = stage(close_peaks(rows, experiment.q_table, options), "peaks")
     return number_peaks(peaks, f"{options.project}_peak")

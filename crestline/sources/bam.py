@@ -1,6 +1,6 @@
 """BAM as a Spark data source: splittable reads, one part file per writing task.
 
-    spark.dataSource.register(BamDataSource)
+    bam.register(spark)
     spark.read.format("bam").load("file:///data/run.bam")
 
 A file is cut into byte ranges.  A task looks for the first compressed block in
@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # Fixed values of the format: letters by code, tag number formats, the end marker.
@@ -427,3 +430,13 @@ class BamDataSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return BamWriter(self.options["path"], [tuple(c) for c in json.loads(self.options["contigs"])])
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session.
+
+    The code of this module travels with the jobs, so that executors need not
+    have the package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(BamDataSource)

@@ -3,8 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from crestline.sources import sam
-from crestline.sources.bam import BamDataSource, read_header
+from crestline.sources import bam, sam
+from crestline.sources.bam import read_header
 
 
 def lines(n):
@@ -20,7 +20,7 @@ def lines(n):
 
 
 def test_round_trip_over_many_splits(spark, tmp_path):
-    spark.dataSource.register(BamDataSource)
+    bam.register(spark)
     text = spark.createDataFrame([(x,) for x in lines(6000)], "value string")
     records = sam.parse_records(text.coalesce(2))
     out = str(tmp_path / "bam")
