@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.adapters.driver_tables import CONTIG_LENGTH, CONTIGS, view, view_sql
-from crestline.catalog.common import q4, r4, rounded, with_parts
+from crestline.catalog.common import q4, r4, with_parts
 from crestline.functions import cigar as cg
 from crestline.functions import flags as fl
 from crestline.operators.base_depth import base_depth, cap_starts, mate_overlap

@@ -11,7 +11,8 @@ from crestline.functions import regions as rg
 from crestline.functions import stats as st
 from crestline.operators import genes as gn
 from crestline.operators import variants as vr
-from crestline.operators.overlap import not_overlapping, count_overlaps, overlap_join, overlapping
+from crestline.operators.overlap import count_overlaps, not_overlapping, overlap_join, overlapping
+from crestline.operators.running import position_in_group, tile_of
 from crestline.operators.tags import downsample, pile_tags
 from crestline.sources import text as tx
 
@@ -123,6 +124,48 @@ def vcf_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def info_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Set one INFO key, delete another, add and remove filters."""
+    rows = view(spark, sf, "variants")
+    info = F.str_to_map("info", F.lit(";"), F.lit("="))
+    edited = tx.delete_info(tx.set_info(info, "DP", F.col("qual") * 2), "AF")
+    filters = F.split("filter", ";")
+    return rows.select(
+        "vid",
+        tx.info_int(edited, "DP").alias("dp"),
+        tx.info_float(edited, "AF").alias("af"),
+        tx.info_flag(edited, "DB").alias("db"),
+        F.array_join(tx.add_filter(filters, "low"), ";").alias("added"),
+        F.array_join(tx.remove_filter(filters, "q10"), ";").alias("removed"),
+    )
+
+
+def site_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of each site in a forward and in a backward pass over its contig."""
+    rows = view(spark, sf, "variants").select("chrom", "pos", "vid").withColumn("tile", tile_of("pos", 12))
+    forward = position_in_group(rows, ["chrom"], ["pos", "vid"], ["tile"], "forward")
+    sizes = rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("size"))
+    both = forward.join(sizes, "chrom")
+    return both.select("chrom", "pos", "vid", "forward", (F.col("size") - F.col("forward") + 1).alias("backward"))
+
+
+def candidate_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate table lines, with heading and comment, read back."""
+    rows = view(spark, sf, "regions")
+    line = F.concat_ws(
+        "\t", "chrom", F.col("start").cast("string"), F.col("stop").cast("string"), F.col("payload").cast("string"), F.lit("2.5"), F.lit("0")
+    )
+    # every line comes with a heading and a comment, which the reader leaves out
+    heading = F.array(F.lit("chrom\tstar\tend\tpeakID\tpileup\tpscore"), F.lit("# comment"), F.lit(""), line)
+    return tx.parse_candidates(rows.select(F.explode(heading).alias("value")))
+
+
+def list_items(spark: SparkSession, sf: str) -> DataFrame:
+    part = load(spark, sf, "part")
+    items = tx.list_items(F.concat(F.lit(","), F.translate("p_name", " ", ","), F.lit(",,"), F.col("p_brand")))
+    return part.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sequence_fetch(spark: SparkSession, sf: str) -> DataFrame:
     """The middle half of every document, from its chunks."""
     docs = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"))
@@ -283,6 +326,10 @@ QUERIES = {
     "a13_tab_lines": tab_lines,
     "a8_gtf_lines": gtf_lines,
     "a9_vcf_round_trip": vcf_round_trip,
+    "s21_info_edit": info_edit,
+    "t4_site_passes": site_ranks,
+    "a7_candidate_lines": candidate_lines,
+    "a14_list_items": list_items,
     "a12_sequence_fetch": sequence_fetch,
     "w14_introns": introns,
     "w14_merged_exons": merged_exons,
@@ -418,6 +465,22 @@ ORACLE = {
         "SELECT chrom, pos, vid, ref, alt, qual, CASE WHEN filter LIKE '%;%' THEN 2 ELSE 1 END AS n_filters, CAST(qual AS BIGINT) AS dp,"
         f" {q4('(vid % 10) / 10e0')} AS af, vid % 4 = 0 AS db, qual AS sample_dp FROM variants",
     ),
+    "s21_info_edit": with_parts(
+        VARIANTS,
+        "SELECT vid, CAST(qual * 2 AS BIGINT) AS dp, CAST(NULL AS DOUBLE) AS af, vid % 4 = 0 AS db,"
+        " CASE WHEN filter = 'PASS' THEN 'low' ELSE concat(filter, ';low') END AS added,"
+        " CASE filter WHEN 'q10' THEN 'PASS' WHEN 'q10;s50' THEN 's50' ELSE filter END AS removed FROM variants",
+    ),
+    "t4_site_passes": with_parts(
+        VARIANTS,
+        "SELECT chrom, pos, vid, row_number() OVER (PARTITION BY chrom ORDER BY pos, vid) AS forward,"
+        " row_number() OVER (PARTITION BY chrom ORDER BY pos DESC, vid DESC) AS backward FROM variants",
+    ),
+    "a7_candidate_lines": with_parts(
+        REGIONS, "SELECT chrom, start, stop, CAST(payload AS VARCHAR) AS peak_id, 2.5e0 AS pileup, 0e0 AS pscore FROM regions"
+    ),
+    "a14_list_items": "SELECT item, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS item FROM part UNION ALL SELECT p_brand FROM part)"
+    " WHERE item <> '' GROUP BY item",
     "a12_sequence_fetch": "SELECT CAST(doc_id AS VARCHAR) AS name, length(text) // 4 AS beg, (length(text) * 3) // 4 AS stop,"
     " substring(text, length(text) // 4 + 1, (length(text) * 3) // 4 - length(text) // 4) AS seq FROM documents"
     " WHERE (length(text) * 3) // 4 > length(text) // 4",

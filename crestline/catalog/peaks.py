@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.catalog.common import D, OPTIONS, SIGNAL, experiment, islands_sql, q4, r4, rounded, steps_sql, with_parts, TOTALS, poisson_sql
+from crestline.catalog.common import D, OPTIONS, SIGNAL, experiment, islands_sql, q4, r4, rounded, steps_sql, with_parts, TOTALS
 from crestline.operators import scoring
 from crestline.operators.islands import above_cutoffs
 from crestline.plans.broad import broad_levels, call_broad
 from crestline.plans.multi import candidate_regions
 from crestline.plans.narrow import call_narrow, close_peaks, islands_above, passing_pairs
+from crestline.session import stage
 from crestline.sources import sinks
 
 GAP = OPTIONS.tag_size
@@ -40,6 +41,14 @@ def narrow(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(call_narrow(experiment(spark, sf)), "pileup", "pscore", "fold", "qscore")
 
 
+def _called(spark: SparkSession, sf: str) -> DataFrame:
+    """The narrow peaks as a table, shared by the queries on them."""
+    ex = experiment(spark, sf)
+    if not hasattr(ex, "narrow_peaks"):
+        ex.narrow_peaks = stage(call_narrow(ex), "narrow")
+    return ex.narrow_peaks
+
+
 def narrow_by_p(spark: SparkSession, sf: str) -> DataFrame:
     ex = experiment(spark, sf)
     pairs = passing_pairs(ex.scored, "p", 5.0, None)
@@ -61,23 +70,23 @@ def broad(spark: SparkSession, sf: str) -> DataFrame:
 
 def fold_range(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks with fold in [3, 5)."""
-    return narrow(spark, sf).where("fold >= 3 AND fold < 5").select("chrom", "start", "stop", "fold")
+    return rounded(_called(spark, sf), "fold").where("fold >= 3 AND fold < 5").select("chrom", "start", "stop", "fold")
 
 
 def peak_count(spark: SparkSession, sf: str) -> DataFrame:
-    return call_narrow(experiment(spark, sf)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_peaks"))
+    return _called(spark, sf).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_peaks"))
 
 
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sinks.peak_table(call_narrow(experiment(spark, sf))), "pileup", "pscore", "fold", "qscore")
+    return rounded(sinks.peak_table(_called(spark, sf)), "pileup", "pscore", "fold", "qscore")
 
 
 def narrow_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sinks.narrow_peak_rows(call_narrow(experiment(spark, sf))), "fold", "pscore", "qscore")
+    return rounded(sinks.narrow_peak_rows(_called(spark, sf)), "fold", "pscore", "qscore")
 
 
 def bed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sinks.bed_rows(call_narrow(experiment(spark, sf))), "score")
+    return rounded(sinks.bed_rows(_called(spark, sf)), "score")
 
 
 QUERIES = {

@@ -16,7 +16,6 @@ from crestline.catalog.common import (
     TRACKS,
     WINDOWS,
     experiment,
-    poisson_sql,
     q4,
     r4,
     rounded,
@@ -25,7 +24,7 @@ from crestline.catalog.common import (
 from crestline.functions.stats import poisson_log10_lower
 from crestline.operators import scoring
 from crestline.plans.narrow import FragmentExperiment
-from crestline.operators.reads import multi_weights
+from crestline.operators.reads import library_counts, multi_weights
 from crestline.operators.running import position_in_group, tile_of
 from crestline.operators.sweep import (
     centred_ends,
@@ -59,8 +58,6 @@ def multi_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def library_totals(spark: SparkSession, sf: str) -> DataFrame:
-    from crestline.operators.reads import library_counts
-
     return library_counts(experiment(spark, sf).per_read)
 
 

@@ -147,7 +147,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             sinks.write_bedgraph(steps.where(F.col(track) > 0).withColumnRenamed(track, "value"), f"{out}_{track}_uniq_bdg")
     if not paired and experiment.totals["T"].multi:
         multi = MultiExperiment(experiment)
-        sinks.write_lines(sinks.candidate_rows(multi.candidates), f"{out}_candidatePeaks", sinks.CANDIDATE_HEADER)
+        sinks.write_lines(sinks.candidate_rows(multi.candidates), f"{out}_candidate_regions", sinks.CANDIDATE_HEADER)
         sinks.write_lines(sinks.multi_peak_rows(multi.rescored()), f"{out}_multiRead_peaks", sinks.MULTI_HEADER)
 
 

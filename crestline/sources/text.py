@@ -86,6 +86,28 @@ def info_flag(info: Column, key: str) -> Column:
     return F.map_contains_key(info, key)
 
 
+def set_info(info: Column, key: str, value: Column) -> Column:
+    """INFO with one key set; a null value makes it a flag."""
+    kept = delete_info(info, key)
+    return F.map_concat(kept, F.create_map(F.lit(key), value.cast("string")))
+
+
+def delete_info(info: Column, key: str) -> Column:
+    return F.map_filter(info, lambda k, v: k != key)
+
+
+def add_filter(filters: Column, name: str) -> Column:
+    """Filters with one more name; PASS gives way to a failed filter, and the reverse."""
+    if name == "PASS":
+        return F.array(F.lit(name))
+    return F.array_union(F.array_remove(filters, "PASS"), F.array(F.lit(name)))
+
+
+def remove_filter(filters: Column, name: str) -> Column:
+    left = F.array_remove(filters, name)
+    return F.when(F.size(left) == 0, F.array(F.lit("PASS"))).otherwise(left)
+
+
 def format_value(sites: DataFrame, sample: int, key: str) -> Column:
     """Value of a FORMAT key for the sample with this number, as text."""
     names = F.split(F.get("genotypes", F.lit(0)), ":")
@@ -119,6 +141,13 @@ def list_items(text: Column) -> Column:
     return F.filter(F.split(text, ","), lambda x: x != "")
 
 
+def parse_fasta_index(lines: DataFrame) -> DataFrame:
+    """Contigs of a FASTA index: length, byte offset and line layout."""
+    f = F.split("value", "\t")
+    names = ("length", "offset", "line_bases", "line_width")
+    return data_lines(lines).select(f[0].alias("name"), *[f[i + 1].cast("long").alias(n) for i, n in enumerate(names)])
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of FASTA files as chunks; one record is one contig."""
     records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
