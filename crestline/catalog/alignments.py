@@ -127,7 +127,7 @@ def tag_edit(spark: SparkSession, sf: str) -> DataFrame:
     rows = alignments(spark, sf)
     edited = sam.set_tag(sam.delete_tag(F.col("tags"), "XT"), "NM", "i", F.col("mapq") + 1)
     return rows.select(
-        "qname", sam.tag_int(edited, "NM").alias("nm"), sam.tag_text(edited, "XT").alias("xt"), F.size(edited).alias("n_tags")
+        "qname", sam.tag_int(edited, "NM").alias("nm"), F.map_contains_key(edited, "XT").alias("has_xt"), F.size(edited).alias("n_tags")
     )
 
 
@@ -285,7 +285,7 @@ ORACLE = {
     ),
     "a3_sam_round_trip": with_parts(AL, _RECORDS),
     "a4_bam_round_trip": with_parts(AL, _RECORDS),
-    "p9_tag_edit": with_parts(AL, "SELECT qname, CAST(mapq + 1 AS BIGINT) AS nm, CAST(NULL AS VARCHAR) AS xt, 1 AS n_tags FROM al"),
+    "p9_tag_edit": with_parts(AL, "SELECT qname, CAST(mapq + 1 AS BIGINT) AS nm, false AS has_xt, 1 AS n_tags FROM al"),
     "k10_sam_lines": with_parts(
         AL,
         "SELECT concat_ws(chr(9), qname, flag, rname, pos + 1, mapq, cigar, rnext, pnext + 1, tlen, seq, '*', concat('NM:i:', nm), concat('XT:A:', xt)) AS value,"

@@ -133,7 +133,7 @@ def info_edit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         "vid",
         tx.info_int(edited, "DP").alias("dp"),
-        tx.info_float(edited, "AF").alias("af"),
+        tx.info_flag(edited, "AF").alias("has_af"),
         tx.info_flag(edited, "DB").alias("db"),
         F.array_join(tx.add_filter(filters, "low"), ";").alias("added"),
         F.array_join(tx.remove_filter(filters, "q10"), ";").alias("removed"),
@@ -467,7 +467,7 @@ ORACLE = {
     ),
     "s21_info_edit": with_parts(
         VARIANTS,
-        "SELECT vid, CAST(qual * 2 AS BIGINT) AS dp, CAST(NULL AS DOUBLE) AS af, vid % 4 = 0 AS db,"
+        "SELECT vid, CAST(qual * 2 AS BIGINT) AS dp, false AS has_af, vid % 4 = 0 AS db,"
         " CASE WHEN filter = 'PASS' THEN 'low' ELSE concat(filter, ';low') END AS added,"
         " CASE filter WHEN 'q10' THEN 'PASS' WHEN 'q10;s50' THEN 's50' ELSE filter END AS removed FROM variants",
     ),
