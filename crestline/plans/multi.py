@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crestline.functions.stats import fold_enrichment, pscore, round_top
 from crestline.operators import em, scoring
-from crestline.operators.islands import label_islands, middle_rows, region_bounds
+from crestline.operators.islands import middle_rows, region_bounds
 from crestline.operators.joins import salted_lookup
 from crestline.operators.overlap import assign_first
 from crestline.operators.running import Run, running, tile_of
@@ -192,18 +192,21 @@ class MultiExperiment:
 
 
 def merge_overlapping(peaks: DataFrame) -> DataFrame:
-    """Join overlapping multi-read peaks: sums of tags, best fold and score."""
-    # islands need rows in order of their stop that do not nest
-    reach = peaks.withColumn("_tile", tile_of("start"))
-    reach = running(reach, ["chrom"], ["_tile"], ["start", "pid"], [Run("_reach", "max", "stop", True)])
-    flat = reach.withColumn("_own", F.col("stop")).withColumn("stop", F.col("_reach")).drop("_tile", "_reach")
-    named = label_islands(flat.dropDuplicates(["chrom", "stop", "start"]), ["chrom"], -1)
-    return named.groupBy("chrom", F.col("island").alias("start")).agg(
-        F.min("pid").alias("pid"),
-        F.max("_own").alias("stop"),
-        F.sum("ip_tags").alias("ip_tags"),
-        F.sum("input_tags").alias("input_tags"),
-        F.sum("pileup").alias("pileup"),
-        F.max("fold").alias("fold"),
-        F.max("pscore").alias("pscore"),
+    """Join overlapping multi-read peaks: sums of tags, best fold and score.
+
+    A peak opens a group when it starts at or behind the furthest stop so far;
+    the group is named by the id of that peak.
+    """
+    order, levels = ["start", "pid"], ["_tile"]
+    levelled = peaks.withColumn("_tile", tile_of("start"))
+    seen = running(levelled, ["chrom"], levels, order, [Run("_reach", "max", "stop")])
+    fresh = F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))
+    opened = seen.withColumn("_open", F.when(fresh, F.col("pid")))
+    named = running(opened, ["chrom"], levels, order, [Run("_group", "last", "_open", True)])
+    merged = named.groupBy("chrom", F.col("_group").alias("pid")).agg(
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        *[F.sum(c).alias(c) for c in ("ip_tags", "input_tags", "pileup")],
+        *[F.max(c).alias(c) for c in ("fold", "pscore")],
     )
+    return merged.select(*peaks.columns)
