@@ -46,7 +46,7 @@ def staging_root(spark: SparkSession) -> str:
     existing = context._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="crestline-"))
     return context._jsc.sc().getCheckpointDir().get()
