@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import packing, quality_rules, secrets, simhash
+from crestline.llm import decontamination, packing, quality_rules, secrets, simhash
 
-MODULES = (packing, secrets, quality_rules, simhash)
+MODULES = (packing, decontamination, secrets, quality_rules, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
