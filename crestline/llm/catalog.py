@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import decontamination, packing, quality_rules, secret_scan, simhash, toxicity
+from crestline.llm import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 
-MODULES = (packing, toxicity, decontamination, secret_scan, quality_rules, simhash)
+MODULES = (packing, toxicity, quality_classifier, decontamination, secret_scan, quality_rules, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,7 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of word hashes and of its inverse."""
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -35,7 +36,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte position of every word of ``line``."""
     size = 1 << max(12, (len(line)).bit_length())
-    up, down = _powers(size)
+    up, down = word_powers(size)
     data = np.frombuffer(line, np.uint8)
     edge = np.diff(_IS_WORD[data], prepend=0, append=0)
     start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
