@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label", slot.alias("slot"))
 
 
+def keep_rows(docs: DataFrame, kept: Callable[[list[str | None]], np.ndarray], many: int = 512) -> DataFrame:
+    """The rows of ``docs`` whose text ``kept`` marks; all columns pass through as they are and nothing is shuffled."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, many):
+                some = batch.slice(low, many)
+                yield some.filter(pa.array(kept(some.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def lookup(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Inner join of ``rows`` to ``names`` (one row per key, with its number of ``rows`` in ``n``).
 

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.common import read, whole_text
+from crestline.llm.common import keep_rows, read, whole_text
 from crestline.llm.wordhash import hashed_words, mix
 
 #: Least similarity: an item of n words may differ by a fifth of n word edits.
@@ -199,13 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     ``start`` and ``stop`` are of the nearest place; ``places`` counts the distinct ends of matching places.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    known = benchmark.where(F.col("item_id").isNotNull()).select("item_id", whole_text().alias("text"))
-    count = known.count()
-    blocks = max(1, -(-count // block))
     found = None
-    for number in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
-        items = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+    for items in _blocks(benchmark, block):
 
         def search(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
             block_items = Items(items.value)
@@ -221,15 +217,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without an id are judged by their text alone and go too.
-
-    Documents stay where they are: a text without a match is kept in the same pass.
-    """
-    columns = docs.columns
-    dirty = leaks(docs, benchmark).select("doc_id").distinct()
-    kept = docs.join(dirty, "doc_id", "left_anti").select(*columns)
-    return kept
+def _blocks(benchmark: DataFrame, block: int) -> list[Broadcast]:
+    """The items in blocks of about ``block``, each sent to the tasks once."""
+    known = benchmark.where(F.col("item_id").isNotNull()).select("item_id", whole_text().alias("text"))
+    many = max(1, -(-known.count() // block))
+    context = benchmark.sparkSession.sparkContext
+    parts = (known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k) for k in range(many))
+    return [context.broadcast([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows whose text holds an item; every row is judged where it lies."""
+    for items in _blocks(benchmark, block):
+
+        def clean(texts: list[str | None], items=items) -> np.ndarray:
+            # the tables of a block are made once per task: the broadcast value keeps them
+            held = items.value
+            if not isinstance(held[-1] if held else None, Items):
+                held.append(Items(list(held)))
+            dirty = {k for k, *_ in held[-1].search(texts)}
+            return np.array([k not in dirty for k in range(len(texts))], bool)
+
+        docs = keep_rows(docs, clean)
+    return docs
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.common import fold, labelled_sample, read, whole_text
+from crestline.llm.common import fold, keep_rows, labelled_sample, read, whole_text
 from crestline.llm.wordhash import hashed_words
 from crestline.session import stage
 
@@ -250,15 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, least: float = REJECT) -> DataFrame:
     """``docs`` without the rows that score ``least`` or more; every row is judged by its own text."""
-    kept_columns = docs.columns
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low in range(0, len(batch), 512):
-                some = batch.iloc[low : low + 512]
-                yield some[model.score(some["text"].tolist()) < least]
-
-    return docs.mapInPandas(keep, docs.schema).select(*kept_columns)
+    return keep_rows(docs, lambda texts: model.score(texts) < least)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
