@@ -149,4 +149,41 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE: dict[str, str] = {}
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+ORACLE = {
+    "op6_quality_rules": f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+    SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    FROM texts),
+windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda k: w[k:k + 7])) AS g
+    FROM parts WHERE len(w) > 8),
+twice AS (
+    SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+gaps AS (
+    SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8)) AS fresh FROM twice),
+repeated AS (
+    SELECT doc_id, sum(fresh) AS n FROM gaps GROUP BY doc_id),
+counts AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(len(l) AS BIGINT) AS n_lines,
+           CAST(length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals,
+           CAST(len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS BIGINT) AS n_stop_words
+    FROM parts LEFT JOIN repeated USING (doc_id)),
+judged AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1) AS n FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_capitals, n_stop_words,
+       NOT base_failed AND n_repeat_words / n <= 0.30 AND word_chars / n BETWEEN 2.0 AND 14.0 AND n_symbols / n <= 0.10
+       AND (n_words < 50 OR n_stop_words / n BETWEEN 0.04 AND 1)
+       AND n_dup_lines / greatest(n_lines, 1) <= 0.40
+       AND (n_words < 20 OR n_capitals / greatest(word_chars, 1) <= 0.50) AS kept
+FROM judged
+"""
+}
