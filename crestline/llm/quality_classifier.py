@@ -59,7 +59,8 @@ def buckets(text: str | None) -> Iterator[np.ndarray]:
         start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         if len(start):
             powers, back = word_powers(1 << max(12, len(part).bit_length()))
-            total = np.concatenate([[0], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)])]).astype(np.uint64)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=total[1:])
             out.append((mix((total[stop] - total[start]) * back[start]) >> np.uint64(48)).astype(np.uint32))
         yield np.concatenate(out).astype(np.int64) % BUCKETS
 

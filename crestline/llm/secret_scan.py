@@ -32,6 +32,8 @@ SAMPLE = 20_000
 #: A token is a secret when it is this many times likelier than not, given how rare random strings are.
 ODDS = 1000.0
 SYMBOLS = 66
+#: Weight, in pairs, of a character's own frequency where its pair is rare.
+BACKOFF = 50
 MASK = "[SECRET]"
 
 
@@ -76,8 +78,14 @@ class Markov:
             totals[label, pair[0]] = totals.get((label, pair[0]), 0) + n
         letters = [chr(c) for c in range(33, 127)]
 
+        single: dict[tuple[int, str], int] = {}
+        for (label, pair), n in counts.items():
+            single[label, pair[1]] = single.get((label, pair[1]), 0) + n
+        whole = {label: sum(n for (own, _), n in single.items() if own == label) for label in (0, 1)}
+
         def log_p(label: int, a: str, b: str) -> float:
-            return math.log((counts.get((label, a + b), 0) + 1) / (totals.get((label, a), 0) + SYMBOLS))
+            alone = (single.get((label, b), 0) + 0.5) / (whole[label] + 0.5 * SYMBOLS)
+            return math.log((counts.get((label, a + b), 0) + BACKOFF * alone) / (totals.get((label, a), 0) + BACKOFF))
 
         for a in letters:
             for b in letters:
