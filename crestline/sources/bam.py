@@ -4,8 +4,11 @@
     spark.read.format("bam").load("file:///data/run.bam")
 
 A file is cut into byte ranges.  A task looks for the first compressed block in
-its range, then for the first record in the inflated bytes, and stops at the
-first record that begins in a block behind its range.
+its range, then for the first chain of records in the inflated bytes, and stops at
+the first record that begins in a block behind its range.  Only the structure of
+records counts there, not what they say.  Each task then checks that the next one
+starts where it stopped; a file for which they differ is an error, so no record is
+lost or read twice.
 """
 
 from __future__ import annotations
@@ -62,11 +65,17 @@ def open_path(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def block_size(head: bytes) -> int | None:
-    """Whole size of the compressed block that starts with ``head``, if one does."""
-    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"BC\x02\x00":
+def block_size(data: bytes, at: int = 0) -> tuple[int, int] | None:
+    """(whole size, place of the payload) of the compressed block at ``at``, if one starts there."""
+    if len(data) < at + 12 or data[at : at + 4] != b"\x1f\x8b\x08\x04":
         return None
-    return struct.unpack_from("<H", head, 16)[0] + 1
+    place, stop = at + 12, at + 12 + struct.unpack_from("<H", data, at + 10)[0]
+    while place + 4 <= min(stop, len(data)):
+        (size,) = struct.unpack_from("<H", data, place + 2)
+        if data[place : place + 2] == b"BC" and size == 2 and place + 6 <= len(data):
+            return struct.unpack_from("<H", data, place + 4)[0] + 1, stop - at
+        place += 4 + size
+    return None
 
 
 class Blocks:
@@ -76,38 +85,76 @@ class Blocks:
         self.handle, self.offset, self.size = handle, offset, size
 
     def seek_first(self) -> bool:
-        """Move to the first block start at or after the offset."""
+        """Move to the first block start at or after the offset; false at the end of the file."""
         if self.offset == 0:
             return True
         self.handle.seek(self.offset)
-        # a block is at most 64 KiB, so two of them hold a start and its successor
+        # a block is at most 64 KiB, so these bytes hold a start and its successor
         data = self.handle.read(1 << 18)
         at = data.find(b"\x1f\x8b\x08\x04")
         while at >= 0:
-            size = block_size(data[at : at + 18])
-            after = at + size if size else 0
-            ends = size and self.offset + after >= self.size
-            if size and (ends or block_size(data[after : after + 18])):
+            block = block_size(data, at)
+            after = at + block[0] if block else 0
+            if block and (self.offset + after >= self.size or block_size(data, after)):
                 self.offset += at
                 return True
             at = data.find(b"\x1f\x8b\x08\x04", at + 1)
+        if len(data) >= 1 << 17:
+            raise ValueError(f"no compressed block after byte {self.offset}")
         return False
 
     def next(self) -> tuple[int, bytes] | None:
         while self.offset < self.size:
             self.handle.seek(self.offset)
-            size = block_size(self.handle.read(18))
-            if size is None:
-                raise ValueError(f"no compressed block at byte {self.offset}")
-            self.handle.seek(self.offset)
-            raw, begin = self.handle.read(size), self.offset
-            self.offset += size
-            data = zlib.decompress(raw[18:-8], -15)
+            raw, begin = self.handle.read(1 << 16), self.offset
+            block = block_size(raw)
+            if block is None or block[0] > len(raw):
+                raise ValueError(f"no whole compressed block at byte {self.offset}")
+            self.offset += block[0]
+            data = zlib.decompress(raw[block[1] : block[0] - 8], -15)
             if data:
                 return begin, data
         return None
 
 
+class Stream:
+    """Inflated bytes from a block on; ``at`` is the place of the next record."""
+
+    def __init__(self, blocks: Blocks):
+        self.blocks, self.data, self.at = blocks, b"", 0
+        self.marks: list[tuple[int, int]] = []  # (offset in data, block begin)
+
+    def more(self) -> bool:
+        block = self.blocks.next()
+        if block is None:
+            return False
+        self.marks.append((len(self.data), block[0]))
+        self.data += block[1]
+        return True
+
+    def need(self, n: int) -> bool:
+        """Have ``n`` bytes from ``at`` on, if the file has them; read bytes are let go."""
+        if len(self.data) - self.at < n:
+            kept = max((k for k, (o, _) in enumerate(self.marks) if o <= self.at), default=0)
+            self.marks = [(o - self.at, b) for o, b in self.marks[kept:]]
+            parts, have, self.at = [self.data[self.at :]], len(self.data) - self.at, 0
+            while have < n and (block := self.blocks.next()) is not None:
+                self.marks.append((have, block[0]))
+                parts.append(block[1])
+                have += len(block[1])
+            self.data = b"".join(parts)
+        return len(self.data) - self.at >= n
+
+    def place(self) -> tuple[int, int] | None:
+        """(block begin, offset inside) of the next record; none at the end of the file."""
+        if not self.need(4):
+            if len(self.data) > self.at:
+                raise ValueError("the last record is cut off")
+            return None
+        offset, begin = [m for m in self.marks if m[0] <= self.at][-1]
+        return begin, self.at - offset
+
+
 def read_header(path: str) -> tuple[list[tuple[str, int]], int, int]:
     """Contigs, and where the first record is: block offset and offset inside."""
     system, name = open_path(path)
@@ -140,39 +187,60 @@ def read_header(path: str) -> tuple[list[tuple[str, int]], int, int]:
         return contigs, offset, at - base
 
 
-def looks_like_record(data: bytes, at: int, lengths: list[int]) -> int | None:
-    """Size with prefix of the record at ``at`` if its fields fit together."""
-    if at + 36 > len(data):
-        return None
-    size, tid, pos, l_name, _mapq, _bin, n_cigar, _flag, l_seq, mtid, mpos, _tlen = struct.unpack_from(
-        "<iiiBBHHHiiii", data, at
-    )
-    if not 32 < size <= MAX_RECORD or l_name < 2 or l_seq < 0:
+def record_size(data: bytes, at: int, contigs: int) -> int | None:
+    """Size with prefix of the record at ``at``, if its sizes fit together."""
+    size, tid, _pos, l_name, _mapq, _bin, n_cigar, _flag, l_seq, mtid = struct.unpack_from("<iiiBBHHHii", data, at)
+    if not 32 < size <= MAX_RECORD or l_name < 1 or l_seq < 0:
         return None
-    if not (-1 <= tid < len(lengths) and -1 <= mtid < len(lengths) and pos >= -1 and mpos >= -1):
-        return None
-    if (tid >= 0 and pos > lengths[tid]) or (mtid >= 0 and mpos > lengths[mtid]):
+    if not (-1 <= tid < contigs and -1 <= mtid < contigs):
         return None
     if 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size:
         return None
-    name = data[at + 36 : at + 36 + l_name]
-    if len(name) == l_name and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
+    end = at + 35 + l_name
+    if end < len(data) and (data[end] != 0 or 0 in data[at + 36 : end]):
         return None
     return size + 4
 
 
-def first_record(data: bytes, lengths: list[int]) -> int | None:
-    """Offset of the first record in bytes that may start inside one."""
-    for start in range(len(data)):
-        at, seen = start, 0
-        while seen < CHAIN:
-            step = looks_like_record(data, at, lengths)
-            if step is None:
-                break
-            at, seen = at + step, seen + 1
-        if seen == CHAIN or (seen > 0 and at >= len(data) - 36):
-            return start
-    return None
+def chained(data: bytes, at: int, contigs: int, ended: bool) -> bool | None:
+    """Whether records follow each other from ``at`` on; none if more bytes are needed to tell."""
+    for _ in range(CHAIN):
+        if ended and at == len(data):
+            return True
+        if at + 36 > len(data):
+            return False if ended else None
+        size = record_size(data, at, contigs)
+        if size is None:
+            return False
+        at += size
+    return True
+
+
+def seek_record(handle, begin: int, contigs: int) -> Stream | None:
+    """Stream at the first record that begins in a block at or after ``begin``; none if the file has none.
+
+    Places that more bytes might confirm are kept and tried again, so every place is looked at once.
+    """
+    blocks = Blocks(handle, begin, handle.size())
+    if not blocks.seek_first():
+        return None
+    stream, tried, open_places = Stream(blocks), 0, []
+    wanted = 1 << 16
+    while True:
+        ended = False
+        while len(stream.data) < wanted and not ended:
+            ended = not stream.more()
+        data, still = stream.data, []
+        for at in [*open_places, *range(tried, len(data))]:
+            found = chained(data, at, contigs, ended)
+            if found:
+                stream.at = at
+                return stream
+            if found is None:
+                still.append(at)
+        if ended:
+            return None
+        open_places, tried, wanted = still, len(data), 2 * wanted
 
 
 def decode_tags(data: bytes) -> list[tuple[str, dict]]:
@@ -249,9 +317,9 @@ class BamReader(DataSourceReader):
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         contigs, first_block, first_offset = read_header(part.path)
-        names, lengths = [c for c, _ in contigs], [n for _, n in contigs]
+        names = [c for c, _ in contigs]
         rows: list[tuple] = []
-        for record in self.records(part, lengths, first_block, first_offset):
+        for record in self.records(part, len(names), first_block, first_offset):
             rows.append(decode_record(record, names))
             if len(rows) == BATCH_ROWS:
                 yield to_batch(rows)
@@ -259,52 +327,29 @@ class BamReader(DataSourceReader):
         if rows:
             yield to_batch(rows)
 
-    def records(self, part: ByteRange, lengths: list[int], first_block: int, first_offset: int) -> Iterator[bytes]:
+    def records(self, part: ByteRange, contigs: int, first_block: int, first_offset: int) -> Iterator[bytes]:
         system, name = open_path(part.path)
         with system.open_input_file(name) as handle:
-            whole = part.begin <= first_block
-            blocks = Blocks(handle, first_block if whole else part.begin, handle.size())
-            if part.end <= first_block or not blocks.seek_first():
-                return
-            data, at, marks = b"", 0, []  # marks: (offset in data, block begin)
-
-            def more() -> bool:
-                nonlocal data, at, marks
-                block = blocks.next()
-                if block is None:
-                    return False
-                data, marks = data[at:], [(o - at, b) for o, b in marks]
-                at = 0
-                marks.append((len(data), block[0]))
-                data += block[1]
-                return True
-
-            if not more():
+            if part.end <= first_block:
                 return
-            if whole:
-                at = first_offset
-            else:
-                found = first_record(data, lengths)
-                while found is None or len(data) - found < 1 << 16:
-                    if not more():
-                        break
-                    found = first_record(data, lengths)
-                if found is None:
-                    return
-                at = found
-            while True:
-                while len(data) - at < 4:
-                    if not more():
-                        return
-                begun = [b for o, b in marks if o <= at][-1]
-                if begun >= part.end:
+            if part.begin <= first_block:
+                stream = Stream(Blocks(handle, first_block, handle.size()))
+                if not stream.need(first_offset):
                     return
-                size = struct.unpack_from("<i", data, at)[0]
-                while len(data) - at < 4 + size:
-                    if not more():
-                        raise ValueError(f"{part.path}: last record is cut off")
-                yield data[at + 4 : at + 4 + size]
-                at += 4 + size
+                stream.at = first_offset
+            else:
+                stream = seek_record(handle, part.begin, contigs)
+            stop = None
+            while stream is not None and (stop := stream.place()) is not None and stop[0] < part.end:
+                size = struct.unpack_from("<i", stream.data, stream.at)[0]
+                if size < 32 or not stream.need(4 + size):
+                    raise ValueError(f"{part.path}: a record at block {stop[0]} is cut off")
+                yield stream.data[stream.at + 4 : stream.at + 4 + size]
+                stream.at += 4 + size
+            if stream is not None and part.end < handle.size():
+                follows = seek_record(handle, part.end, contigs)
+                if (follows and follows.place()) != stop:
+                    raise ValueError(f"{part.path}: records near byte {part.end} can't be told apart; choose another splitbytes")
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,6 +1,8 @@
 import json
 import random
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from crestline.sources import bam, sam
@@ -34,3 +36,37 @@ def test_round_trip_over_many_splits(spark, tmp_path):
     part = next((tmp_path / "bam").glob("*.bam"))
     assert read_header(str(part))[0] == [("xx", 10000), ("yy", 20000)]
     assert back.where(F.col("rname").isNull()).count() == 1
+
+
+def small_record(i, tid=0, pos=1, tag_bytes=0):
+    row = {"qname": f"q{i}", "flag": 0, "rname": "xx" if tid == 0 else "*", "pos": pos, "mapq": 9, "cigar": [{"op": "M", "len": 4}]}
+    row |= {"rnext": "*", "pnext": -1, "tlen": 0, "seq": "ACGT", "qual": "*", "tags": {"XZ": {"t": "Z", "v": "z" * tag_bytes}}}
+    return bam.encode_record(row, {"xx": 0})
+
+
+def write_bam(path, records, extra=b""):
+    """One file; ``extra`` is a subfield that stands before the block size."""
+    body = b"BAM\x01" + struct.pack("<iii", 0, 1, 3) + b"xx\0" + struct.pack("<i", 10000) + b"".join(records)
+    with open(path, "wb") as out:
+        for at in range(0, len(body), 60000):
+            block = bam.compress_block(body[at : at + 60000])
+            if extra:
+                size = struct.unpack_from("<H", block, 16)[0] + len(extra)
+                block = block[:10] + struct.pack("<H", 6 + len(extra)) + extra + b"BC\x02\0" + struct.pack("<H", size) + block[18:]
+            out.write(block)
+        out.write(bam.END_BLOCK)
+
+
+@pytest.mark.parametrize("kind", ["beyond", "long", "subfield"])
+def test_every_record_at_every_split_size(spark, tmp_path, kind):
+    """Places past the contig end, records longer than a split, and another subfield before the block size."""
+    bam.register(spark)
+    if kind == "long":
+        records = [small_record(i, tag_bytes=(300 << 10) + i if i % 5 == 0 else 40) for i in range(60)]
+    else:
+        records = [small_record(i, pos=20_000 if i % 5 == 0 else i % 9000) for i in range(12_000)]
+    path = str(tmp_path / "x.bam")
+    write_bam(path, records, b"AB\x03\0xyz" if kind == "subfield" else b"")
+    for split in (1 << 26, 100_000, 9_001, 2_003 if kind == "long" else 30_011):
+        back = spark.read.format("bam").option("splitbytes", split).load(path)
+        assert sorted(r.qname for r in back.select("qname").collect()) == sorted(f"q{i}" for i in range(len(records)))
