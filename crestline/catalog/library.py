@@ -267,15 +267,33 @@ def chi_square(spark: SparkSession, sf: str) -> DataFrame:
         r4(st.chi2_log10_upper(F.col("x"), 2)).alias("k2"),
         r4(st.chi2_log10_upper(F.col("x"), 4)).alias("k4"),
         r4(st.chi2_upper(F.col("x"), 4)).alias("p4"),
+        r4(st.chi2_upper(F.col("x"), 1)).alias("p1"),
     )
 
 
 def gamma_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-gamma, and the lower incomplete gamma over the whole range of values."""
     events = load(spark, sf, "events")
-    a, x = (F.col("user_id") % 6 + 1).cast("double"), F.col("value") / 40.0
+    a, x = (F.col("user_id") % 500 + 1).cast("double"), F.col("value")
     return events.select("event_id", r4(st.lgamma(F.col("value") + 1.0)).alias("lg"), r4(st.gamma_p(a, x)).alias("gp"))
 
 
+def upper_gamma(spark: SparkSession, sf: str) -> DataFrame:
+    events = load(spark, sf, "events")
+    a = (F.col("user_id") % 300 + 1).cast("double")
+    return events.select("event_id", r4(st.gamma_q(a, F.col("value") * 3.0)).alias("gq"))
+
+
+def error_functions(spark: SparkSession, sf: str) -> DataFrame:
+    z = (F.col("value") - 50.0) / 40.0
+    return load(spark, sf, "events").select("event_id", r4(st.erf(z)).alias("erf"), r4(st.erfc(z)).alias("erfc"))
+
+
+def incomplete_beta(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.col("user_id") % 40 + 1, F.col("event_id") % 30 + 1
+    return load(spark, sf, "events").select("event_id", r4(st.beta_i(a, b, F.col("value") / (F.col("value") + 60.0))).alias("ib"))
+
+
 def fisher(spark: SparkSession, sf: str) -> DataFrame:
     """Association of brand and type, from the counts of parts."""
     part = load(spark, sf, "part")
@@ -293,8 +311,8 @@ def fisher(spark: SparkSession, sf: str) -> DataFrame:
 def max_dup(spark: SparkSession, sf: str) -> DataFrame:
     """Copies per position that chance explains, for each library."""
     ex = experiment(spark, sf)
-    rows = [(s, u + m, st.max_duplicates(ex.options.genome_size, u + m)) for s, (u, m) in ex.raw_totals.items()]
-    return spark.createDataFrame(rows, "sample string, total long, max_dup int")
+    totals = ex.tracks.groupBy("sample").agg(F.sum(F.col("n_unique") + F.col("multi_reads")).alias("total"))
+    return totals.select("sample", "total", st.max_duplicates_of(ex.options.genome_size, F.col("total")).alias("max_dup"))
 
 
 def base_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,6 +332,12 @@ def downsampled(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("sample", "chrom", "strand").agg(F.count(F.lit(1)).alias("n"))
 
 
+# error function of z >= 0: a series of positive terms, one from six on
+_ERF = (
+    "(CASE WHEN {z} > 6 THEN 1e0 WHEN {z} <= 0 THEN 0e0 ELSE 2e0 / sqrt(pi()) * list_sum(list_transform(range(0, 250), lambda n:"
+    " exp(2e0 * n * ln(2e0) + (2e0 * n + 1e0) * ln({z}) - {z} * {z} + lgamma(n + 1e0) - lgamma(2e0 * n + 2e0)))) END)"
+)
+
 QUERIES = {
     "j7_overlap_all": overlap_all,
     "j7_overlap_count": overlap_count,
@@ -345,6 +369,9 @@ QUERIES = {
     "s4_round_top": round_top,
     "s9_chi_square": chi_square,
     "s16_gamma": gamma_functions,
+    "s16_gamma_q": upper_gamma,
+    "s16_erfc": error_functions,
+    "s16_beta": incomplete_beta,
     "s17_fisher": fisher,
     "s6_max_dup": max_dup,
     "s22_base_codes": base_codes,
@@ -543,11 +570,18 @@ ORACLE = {
     + ", ".join(f"floor((value - 100e0) / 7e0 * {10**k}e0 + 0.5e0) / {10**k}e0 AS r{k}" for k in (0, 2, 5))
     + " FROM events",
     "s9_chi_square": "SELECT event_id, "
-    + f"{q4('-x / 2e0 / ln(10e0)')} AS k2, {q4('(-x / 2e0 + ln(1e0 + x / 2e0)) / ln(10e0)')} AS k4, {q4('exp(-x / 2e0) * (1e0 + x / 2e0)')} AS p4"
+    + f"{q4('-x / 2e0 / ln(10e0)')} AS k2, {q4('(-x / 2e0 + ln(1e0 + x / 2e0)) / ln(10e0)')} AS k4, {q4('exp(-x / 2e0) * (1e0 + x / 2e0)')} AS p4,"
+    + f" {q4('1e0 - ' + _ERF.format(z='sqrt(x / 2e0)'))} AS p1"
     + " FROM (SELECT event_id, value / 10e0 AS x FROM events)",
     "s16_gamma": f"SELECT event_id, {q4('lgamma(value + 1e0)')} AS lg,"
     f" {q4('1e0 - list_sum(list_transform(range(0, a), lambda i: exp(i * ln(x) - x - lgamma(i + 1e0))))')} AS gp"
-    " FROM (SELECT event_id, value, user_id % 6 + 1 AS a, value / 40e0 AS x FROM events)",
+    " FROM (SELECT event_id, value, user_id % 500 + 1 AS a, value AS x FROM events)",
+    "s16_gamma_q": f"SELECT event_id, {q4('list_sum(list_transform(range(0, a), lambda i: exp(i * ln(x) - x - lgamma(i + 1e0))))')} AS gq"
+    " FROM (SELECT event_id, user_id % 300 + 1 AS a, value * 3e0 AS x FROM events)",
+    "s16_erfc": f"SELECT event_id, {q4('e')} AS erf, {q4('1e0 - e')} AS erfc FROM"
+    f" (SELECT event_id, sign(z) * {_ERF.format(z='abs(z)')} AS e FROM (SELECT event_id, (value - 50e0) / 40e0 AS z FROM events))",
+    "s16_beta": f"SELECT event_id, {q4('list_sum(list_transform(range(a, a + b), lambda j: exp(lgamma(a + b) - lgamma(j + 1e0) - lgamma(a + b - j) + j * ln(x) + (a + b - 1 - j) * ln(1e0 - x))))')} AS ib"
+    " FROM (SELECT event_id, user_id % 40 + 1 AS a, event_id % 30 + 1 AS b, value / (value + 60e0) AS x FROM events)",
     "s17_fisher": with_parts(
         [
             ("cells", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL"),

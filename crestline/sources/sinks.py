@@ -56,9 +56,16 @@ def bed_rows(peaks: DataFrame) -> DataFrame:
 
 
 def subpeak_letters(i: Column) -> Column:
-    """a..z, then aa, ab, ... for a zero-based index below 702."""
-    last = F.chr(F.pmod(i, F.lit(26)) + 97)
-    return F.when(i < 26, last).otherwise(F.concat(F.chr(F.floor(i / 26) + 96), last))
+    """a..z, then aa, ab, ... for any zero-based index: digits of base 26 that have no zero."""
+    begin = F.struct(i.cast("long").alias("left"), F.lit("").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        letter = F.chr(F.pmod(acc["left"], F.lit(26)) + 97)
+        fresh = F.struct((F.floor(acc["left"] / 26) - 1).cast("long").alias("left"), F.concat(letter, acc["out"]).alias("out"))
+        return F.when(acc["left"] >= 0, fresh).otherwise(acc)
+
+    # thirteen letters name more than any long
+    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), begin, step, lambda acc: acc["out"])
 
 
 def candidate_rows(candidates: DataFrame) -> DataFrame:
