@@ -23,7 +23,7 @@ from crestline.catalog.common import (
 )
 from crestline.functions.stats import poisson_log10_lower
 from crestline.operators import scoring
-from crestline.plans.narrow import FragmentExperiment
+from crestline.plans.narrow import Experiment, FragmentExperiment
 from crestline.operators.reads import library_counts, multi_weights
 from crestline.operators.running import position_in_group, tile_of
 from crestline.operators.sweep import (
@@ -101,6 +101,17 @@ def pileup_treat(spark: SparkSession, sf: str) -> DataFrame:
     return sweep(events, ["chrom"], ["depth"])
 
 
+def contig_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Treatment depth clamped by a table of contig lengths; a contig it lacks is endless."""
+    contigs = load(spark, sf, "region").where("r_regionkey < 4").selectExpr(
+        "concat('chr', CAST(r_regionkey + 1 AS STRING)) AS chrom", "CAST(110000 + 30000 * r_regionkey AS BIGINT) AS length"
+    )
+    ex = Experiment(view(spark, sf, "reads"), OPTIONS, contigs=contigs)
+    start, stop = directed_ends(F.col("strand"), F.col("pos"), D)
+    tags = ex.sized(experiment(spark, sf).capped.where("sample = 'T'"))
+    return sweep(step_events(tags, ["chrom"], {"depth": (start, stop, F.col("n"))}, F.col("_length")), ["chrom"], ["depth"])
+
+
 def pileup_control(spark: SparkSession, sf: str) -> DataFrame:
     """Raw depths of the three control windows and their scaled maximum."""
     ex = experiment(spark, sf)
@@ -115,6 +126,9 @@ def pair_signal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(experiment(spark, sf).signal, "treat", "ctrl")
 
 
+EVENT_TYPES = {"click": "clicks", "view": "views", "signup": "signups", "error": "errors", "purchase": "purchases"}
+
+
 def _event_steps(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Step functions of arbitrary doubles: per user, event values along the id."""
     events = spark.read.parquet(f"{sf}/events.parquet")
@@ -124,10 +138,7 @@ def _event_steps(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "value",
         "event_type",
     )
-    return {
-        "clicks": base.where("event_type = 'click'").drop("event_type"),
-        "views": base.where("event_type = 'view'").drop("event_type"),
-    }
+    return {name: base.where(F.col("event_type") == kind).drop("event_type") for kind, name in EVENT_TYPES.items()}
 
 
 def merge_steps(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +152,7 @@ def pointwise_max(spark: SparkSession, sf: str) -> DataFrame:
 def paired_end_pileup(spark: SparkSession, sf: str) -> DataFrame:
     """Fragments of proper pairs, one copy per (start, stop): both strands' span."""
     alignments = view(spark, sf, "alignments")
-    fragments = alignments.where("sample = 'T' AND flag & 516 = 0 AND tlen > 0").selectExpr(
+    fragments = alignments.where("flag & 516 = 0 AND tlen > 0").selectExpr(
         "rname AS chrom", "pos AS start", "pos + abs(tlen) AS stop"
     )
     distinct = fragments.groupBy("chrom", "start", "stop").agg(F.lit(1).alias("n"))
@@ -192,7 +203,7 @@ def q_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """p, q and fold of every segment."""
     ex = experiment(spark, sf)
     segments = scoring.scored_signal(ex.signal, ex.scored)
-    looked = scoring.q_lookup(segments, ex.q_table, ["chrom", "stop"])
+    looked = scoring.q_lookup(segments, ex.q_table)
     fold = (F.col("treat") + 1.0) / (F.col("ctrl") + 1.0)
     return looked.select(
         "chrom", "start", "stop", r4("pscore").alias("pscore"), r4("qscore").alias("qscore"), r4(fold).alias("fold")
@@ -214,6 +225,7 @@ QUERIES = {
     "u3_tag_tracks": tag_tracks,
     "o1_sorted_tags": sorted_tags,
     "g8_pileup_treat": pileup_treat,
+    "d2_contig_lengths": contig_lengths,
     "g9_pileup_control": pileup_control,
     "g10_paired_end_pileup": paired_end_pileup,
     "g10_paired_end_signal": paired_end_signal,
@@ -236,26 +248,27 @@ def _single_side(side: str, extra: str = "") -> str:
 _STEP_PAIR = [
     (
         "ev",
-        "SELECT concat('u', CAST(user_id % 5 AS STRING)) AS chrom, event_id + 1 AS stop, event_type, value FROM events"
-        " WHERE event_type IN ('click', 'view')",
+        "SELECT concat('u', CAST(user_id % 5 AS STRING)) AS chrom, event_id + 1 AS stop, event_type, value FROM events",
     ),
     (
         "wide",
-        "SELECT chrom, stop, max(value) FILTER (event_type = 'click') AS clicks, max(value) FILTER (event_type = 'view') AS views FROM ev GROUP BY ALL",
+        "SELECT chrom, stop, " + ", ".join(f"max(value) FILTER (event_type = '{t}') AS {n}" for t, n in EVENT_TYPES.items()) + " FROM ev GROUP BY ALL",
     ),
     (
         "filled",
         "SELECT chrom, stop, "
         + ", ".join(
             f"(SELECT e.value FROM ev e WHERE e.chrom = wide.chrom AND e.event_type = '{t}' AND e.stop >= wide.stop ORDER BY e.stop LIMIT 1) AS {n}"
-            for t, n in (("click", "clicks"), ("view", "views"))
+            for t, n in EVENT_TYPES.items()
         )
         + " FROM wide",
     ),
     (
         "merged",
-        "SELECT chrom, lag(stop, 1, 0) OVER (PARTITION BY chrom ORDER BY stop) AS start, stop, clicks, views FROM filled"
-        " WHERE clicks IS NOT NULL AND views IS NOT NULL",
+        "SELECT chrom, lag(stop, 1, 0) OVER (PARTITION BY chrom ORDER BY stop) AS start, stop, "
+        + ", ".join(EVENT_TYPES.values())
+        + " FROM filled WHERE "
+        + " AND ".join(f"{n} IS NOT NULL" for n in EVENT_TYPES.values()),
     ),
 ]
 
@@ -264,7 +277,7 @@ _PE = [
         "al",
         view_sql("alignments"),
     ),
-    ("frag", "SELECT DISTINCT rname AS chrom, pos AS start, pos + abs(tlen) AS stop FROM al WHERE sample = 'T' AND flag & 516 = 0 AND tlen > 0"),
+    ("frag", "SELECT DISTINCT rname AS chrom, pos AS start, pos + abs(tlen) AS stop FROM al WHERE flag & 516 = 0 AND tlen > 0"),
     (
         "ev",
         f"SELECT chrom, least(start, {L}) AS pos, 1 AS d FROM frag UNION ALL SELECT chrom, least(stop, {L}), -1 FROM frag",
@@ -381,6 +394,13 @@ ORACLE = {
         " (SELECT sample, chrom, strand, pos, count(*) AS n FROM reads GROUP BY ALL)",
     ),
     "g8_pileup_treat": with_parts(SIGNAL, _single_side("t")),
+    "d2_contig_lengths": with_parts(
+        [
+            (name, sql.replace(f", {L})", ", CASE WHEN chrom = 'chr5' THEN 2147483647 ELSE 80000 + 30000 * CAST(substr(chrom, 4) AS INT) END)"))
+            for name, sql in SIGNAL
+        ],
+        _single_side("t"),
+    ),
     "g9_pileup_control": with_parts(
         SIGNAL,
         "SELECT chrom, lag(pos, 1, 0) OVER (PARTITION BY chrom ORDER BY pos) AS start, pos AS stop, c0, c1, c2, "
@@ -399,7 +419,7 @@ ORACLE = {
     ),
     "j3_pair_signal": with_parts(SIGNAL, f"SELECT chrom, start, stop, {q4('treat')} AS treat, {q4('ctrl')} AS ctrl FROM signal"),
     "j3_merge_steps": with_parts(_STEP_PAIR, "SELECT * FROM merged"),
-    "j4_pointwise_max": with_parts(_STEP_PAIR, "SELECT chrom, start, stop, greatest(clicks, views) AS value FROM merged"),
+    "j4_pointwise_max": with_parts(_STEP_PAIR, f"SELECT chrom, start, stop, greatest({', '.join(EVENT_TYPES.values())}) AS value FROM merged"),
     "w7_bedgraph": with_parts(SIGNAL, f"{_bedgraph_sql('treat')} UNION ALL {_bedgraph_sql('ctrl')}"),
     "s1_pscore": with_parts(SIGNAL, f"SELECT k, {q4('lam')} AS lam, bp, {q4('pscore')} AS pscore FROM scored"),
     "s2_lower_tail": with_parts(

@@ -45,15 +45,14 @@ class CallOptions:
     min_pileup: float = 5.0
     min_fold: float = 1.5
     min_weight: float = 0.01
-    paired: bool = False
     merge_overlaps: bool = False
     auto_model: bool = False
 
     def __post_init__(self) -> None:
         if self.genome_size < 10000:
             raise ValueError("genome size must be at least 10000")
-        if not self.fragment <= self.small_local <= self.large_local:
-            raise ValueError("need fragment <= small_local <= large_local")
+        if self.small_local > self.large_local:
+            raise ValueError("need small_local <= large_local")
 
     @property
     def score_kind(self) -> str:
@@ -69,10 +68,6 @@ class CallOptions:
 
     @property
     def windows(self) -> list[int]:
-        """Control window widths: fragment, then the wider local backgrounds."""
-        widths = [self.fragment]
-        if self.small_local:
-            widths.append(self.small_local)
-        if self.large_local > self.small_local:
-            widths.append(self.large_local)
-        return widths
+        """Control window widths: fragment, then the local backgrounds that are wider."""
+        wider = {w for w in (self.small_local, self.large_local) if w > self.fragment}
+        return [self.fragment, *sorted(wider)]

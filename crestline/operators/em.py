@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.operators.joins import salted_lookup
-from crestline.session import stage
+from crestline.operators.joins import lookup
+from crestline.session import discard, stage, staged_as
 
 _SIGNATURE = ["n_in", "h1", "h2", "h3", "h4"]
-_SPREAD = ["sample", "class_id", "pid"]
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,7 @@ def read_classes(alignments: DataFrame) -> ReadClasses:
     keys = ["sample", *_SIGNATURE]
     groups = per_read.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("class_id"))
     groups = stage(groups, "classes")
-    of_read = salted_lookup(per_read, groups, keys, ["read_id"]).select("sample", "read_id", "class_id")
+    of_read = lookup(per_read, groups, keys).select("sample", "read_id", "class_id")
     chosen = groups.select("sample", F.col("class_id").alias("read_id"), "n")
     members = (
         alignments.join(chosen, ["sample", "read_id"])
@@ -54,16 +53,21 @@ def read_classes(alignments: DataFrame) -> ReadClasses:
     return ReadClasses(stage(members, "members"), of_read)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum in fixed point: the same whatever the order of tasks, and a double again."""
+    return F.sum(x.cast("decimal(38,15)")).cast("double")
+
+
 def _normalised(members: DataFrame, rates: DataFrame) -> DataFrame:
     """Weight of one alignment: its region's rate over the sum of its read's.
 
     Reads whose regions all have rate zero spread evenly.
     """
-    rated = salted_lookup(members, rates, ["pid"], _SPREAD)
+    rated = lookup(members, rates, ["pid"])
     sums = rated.groupBy("sample", "class_id").agg(
-        F.sum(F.col("m") * F.col("rate")).alias("_sum"), F.sum("m").alias("_size")
+        exact_sum(F.col("m") * F.col("rate")).alias("_sum"), F.sum("m").alias("_size")
     )
-    joined = salted_lookup(rated, sums, ["sample", "class_id"], _SPREAD)
+    joined = lookup(rated, sums, ["sample", "class_id"])
     weight = F.when(F.col("_sum") > 0, F.col("rate") / F.col("_sum")).otherwise(F.lit(1.0) / F.col("_size"))
     return joined.select(*members.columns, weight.alias("w"))
 
@@ -75,13 +79,13 @@ def start_weights(members: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def equal_weights(members: DataFrame) -> DataFrame:
     sums = members.groupBy("sample", "class_id").agg(F.sum("m").alias("_size"))
-    joined = salted_lookup(members, sums, ["sample", "class_id"], _SPREAD)
+    joined = lookup(members, sums, ["sample", "class_id"])
     return joined.select(*members.columns, (F.lit(1.0) / F.col("_size")).alias("w"))
 
 
 def peak_totals(weights: DataFrame, peaks: DataFrame) -> DataFrame:
     """Reads per region: unique ones plus the weights of multi-mapped ones."""
-    added = weights.groupBy("pid").agg(F.sum(F.col("w") * F.col("m") * F.col("n")).alias("_w"))
+    added = weights.groupBy("pid").agg(exact_sum(F.col("w") * F.col("m") * F.col("n")).alias("_w"))
     joined = peaks.join(added, "pid", "left")
     return joined.select("pid", "len", "u", (F.col("u") + F.coalesce("_w", F.lit(0.0))).alias("prime"))
 
@@ -97,7 +101,8 @@ def fixed_rounds(members: DataFrame, peaks: DataFrame, rounds: int) -> DataFrame
     peaks = stage(peaks, "em_peaks")
     state = stage(start_weights(members, peaks), "em")
     for _ in range(rounds):
-        state = stage(em_step(state, peaks), "em")
+        before, state = state, stage(em_step(state, peaks), "em")
+        discard(before)
     return state
 
 
@@ -112,7 +117,8 @@ def estimate(
     ``tolerance`` of itself, or ``max_steps`` rounds.
 
     Each round writes its state as a table in the shared folder: the plan stays
-    one step long and a lost executor costs one round at most.
+    one step long and a lost executor costs one round at most.  The table before
+    the last is removed.
     """
     peaks = stage(peaks, "em_peaks")
     state = stage(start_weights(members, peaks), "em")
@@ -120,10 +126,11 @@ def estimate(
         after = em_step(state, peaks).withColumnRenamed("w", "w_new")
         keys = ["sample", "class_id", "pid"]
         both = stage(after.join(state.select(*keys, "w"), keys), "em")
+        discard(state)
         moved = both.where(
             (F.col("w_new") > floor) & (F.abs(F.col("w") - F.col("w_new")) / F.col("w_new") > tolerance)
         )
-        state = both.drop("w").withColumnRenamed("w_new", "w")
+        state = staged_as(both.drop("w").withColumnRenamed("w_new", "w"), both)
         if moved.isEmpty():
             break
     return state
@@ -134,5 +141,5 @@ def weighted_positions(alignments: DataFrame, classes: ReadClasses, weights: Dat
     tagged = alignments.join(classes.of_read, ["sample", "read_id"])
     counted = tagged.groupBy("sample", "class_id", "pid", "frag_start").agg(F.count(F.lit(1)).alias("n"))
     kept = weights.where(F.col("w") >= min_weight).select("sample", "class_id", "pid", "w")
-    joined = salted_lookup(counted, kept, ["sample", "class_id", "pid"], ["frag_start"])
+    joined = lookup(counted, kept, ["sample", "class_id", "pid"])
     return joined.select("sample", "pid", "frag_start", "w", "n")

@@ -5,29 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 8
 
-
-def salted_lookup(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``big`` (many rows per key) to ``small`` (few rows per key).
 
-    The rows of one hot key are spread over ``salts`` tasks by a hash of the
-    ``spread`` columns, and ``small`` is repeated that often.  ``small`` is
-    expected to be much smaller than ``big``; whether it is broadcast is left to
-    Spark, which checks its size at run time.
+    A plain shuffle join with ``big`` on the kept side: adaptive execution sees
+    the size of every partition, cuts those of a hot key into as many tasks as
+    their size asks for, and broadcasts ``small`` where it turns out small.  No
+    side is copied ahead of time.
     """
     if how not in ("inner", "left"):
-        raise ValueError("salted_lookup keeps the big side: inner or left")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    right = small.withColumn("_salt", copies)
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+        raise ValueError("lookup keeps the big side: inner or left")
+    return big.join(small, list(on), how)

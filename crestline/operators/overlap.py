@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.operators.joins import SALTS
+from crestline.operators.joins import lookup
 from crestline.operators.running import Run, running, tile_of
 
 BIN_BITS = 14
@@ -22,24 +22,20 @@ def overlap_join(
     right: DataFrame,
     keys: Sequence[str] = ("chrom",),
     bits: int = BIN_BITS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """All overlapping pairs of ``left`` (l_start, l_stop) and ``right`` (r_start, r_stop).
 
     Both sides are cut into bins and joined on them; a pair that shares several
     bins is kept in the first one only, so no distinct is needed.  A hot bin of
-    the left side is spread over salts.
+    the left side is split by adaptive execution.
     """
     keys = list(keys)
-    others = [c for c in left.columns if c not in keys]
     binned = left.withColumn("_bin", F.explode(bins_of(F.col("l_start"), F.col("l_stop"), bits)))
-    binned = binned.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     targets = right.withColumn("_bin", F.explode(bins_of(F.col("r_start"), F.col("r_stop"), bits)))
-    targets = targets.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    pairs = binned.join(targets, [*keys, "_bin", "_salt"])
+    pairs = lookup(binned, targets, [*keys, "_bin"])
     first_shared = F.shiftright(F.greatest("l_start", "r_start"), bits)
     hit = (F.col("l_stop") >= F.col("r_start")) & (F.col("l_start") <= F.col("r_stop"))
-    return pairs.where(hit & (F.col("_bin") == first_shared)).drop("_bin", "_salt")
+    return pairs.where(hit & (F.col("_bin") == first_shared)).drop("_bin")
 
 
 def assign_first(tags: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

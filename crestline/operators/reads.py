@@ -10,27 +10,14 @@ from pyspark.sql import functions as F
 from crestline.operators.running import position_in_group, tile_of
 
 
-def read_counts(reads: DataFrame, contigs: Sequence[str] | None = None) -> DataFrame:
+def read_counts(reads: DataFrame) -> DataFrame:
     """One row per read: its number of alignments and its first alignment.
 
     The lone alignment of a unique read comes out of the same partial aggregate
-    as the count, so unique tags need no join back to the alignments.  With the
-    header's ``contigs`` an alignment packs into one long, which keeps the
-    aggregate in a hash map; without them it is a struct and is sorted.
+    as the count, so unique tags need no join back to the alignments.
     """
-    count = F.count(F.lit(1)).alias("n_align")
-    if contigs is None:
-        first = F.min(F.struct("chrom", "strand", "pos")).alias("tag")
-        return reads.groupBy("sample", "read_id").agg(count, first)
-    names = F.array(*[F.lit(c) for c in contigs])
-    place = (F.array_position(names, F.col("chrom")) * (1 << 32) + F.col("pos")) * 2 + F.col("strand")
-    packed = reads.groupBy("sample", "read_id").agg(count, F.min(place).alias("_p"))
-    tag = F.struct(
-        F.element_at(names, F.shiftright("_p", 33).cast("int")).alias("chrom"),
-        F.col("_p").bitwiseAND(1).cast("int").alias("strand"),
-        F.shiftright("_p", 1).bitwiseAND((1 << 32) - 1).alias("pos"),
-    )
-    return packed.select("sample", "read_id", "n_align", tag.alias("tag"))
+    first = F.min(F.struct("chrom", "strand", "pos")).alias("tag")
+    return reads.groupBy("sample", "read_id").agg(F.count(F.lit(1)).alias("n_align"), first)
 
 
 def library_counts(per_read: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.functions.stats import pscore, round_top
-from crestline.operators.joins import salted_lookup
+from crestline.operators.joins import lookup
 from crestline.operators.running import Run, running
 from crestline.session import stage
 
@@ -70,14 +70,12 @@ def q_table(hist: DataFrame) -> DataFrame:
 def scored_signal(signal: DataFrame, scored: DataFrame) -> DataFrame:
     """Attach the p-score to every segment.
 
-    One (k, lam) pair, the empty background, covers much of a genome: its
-    segments are spread over salts.
+    One (k, lam) pair, the empty background, covers much of a genome: adaptive
+    execution splits its segments.
     """
-    return salted_lookup(
-        rate_columns(signal), scored.select("k", "lam", "pscore", "pkey"), ["k", "lam"], ["chrom", "stop"]
-    )
+    return lookup(rate_columns(signal), scored.select("k", "lam", "pscore", "pkey"), ["k", "lam"])
 
 
-def q_lookup(scored: DataFrame, table: DataFrame, spread: list[str]) -> DataFrame:
+def q_lookup(scored: DataFrame, table: DataFrame) -> DataFrame:
     """Attach q by exact equality of the rounded p-score."""
-    return salted_lookup(scored, table.select("pkey", "qscore"), ["pkey"], spread)
+    return lookup(scored, table.select("pkey", "qscore"), ["pkey"])

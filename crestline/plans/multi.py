@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crestline.functions.stats import fold_enrichment, pscore, round_top
 from crestline.operators import em, scoring
 from crestline.operators.islands import middle_rows, region_bounds
-from crestline.operators.joins import salted_lookup
+from crestline.operators.joins import lookup
 from crestline.operators.overlap import assign_first
 from crestline.operators.running import Run, running, tile_of
 from crestline.operators.sweep import sweep
@@ -85,7 +85,7 @@ class MultiExperiment:
     def multi_alignments(self) -> DataFrame:
         """Alignments of multi-mapped reads that fall in a candidate."""
         keep = self.base.per_read.where("n_align > 1").select("sample", "read_id")
-        inside = salted_lookup(self.base.reads, self.placed_tags, ["chrom", "strand", "pos"], ["read_id", "sample"])
+        inside = lookup(self.base.reads, self.placed_tags, ["chrom", "strand", "pos"])
         inside = inside.join(keep, ["sample", "read_id"], "left_semi")
         return stage(inside.select("sample", "read_id", "pid", "frag_start"), "multi")
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.config import CallOptions
+from crestline.config import INT_MAX, CallOptions
 from crestline.functions.stats import fold_enrichment
 from crestline.operators import scoring
 from crestline.operators.islands import label_islands, number_peaks, region_bounds, summit_rows
@@ -48,24 +47,25 @@ class Experiment:
     """Treatment and control alignments of one run, with shared intermediates.
 
     ``reads`` has ``sample`` ('T' or 'C'), ``read_id``, ``chrom``, ``strand``
-    (0 plus, 1 minus) and ``pos`` (5' end).  ``length`` is a contig length or a
-    column of it; ``contigs`` are the header's names, if there are not too many.
+    (0 plus, 1 minus) and ``pos`` (5' end).  ``contigs`` is a table of (chrom,
+    length); a contig it lacks is endless.  Without it all contigs have ``length``.
     Tables used by several steps are staged once.
     """
 
     tag_columns = ("sample", "chrom", "strand", "pos")
 
-    def __init__(
-        self, reads: DataFrame, options: CallOptions, length: Column | int, contigs: Sequence[str] | None = None
-    ):
+    def __init__(self, reads: DataFrame, options: CallOptions, length: int = INT_MAX, contigs: DataFrame | None = None):
         if options.chromosomes:
             reads = reads.where(F.col("chrom").isin(options.chromosomes))
-        self.reads, self.options, self.length = reads, options, length
-        self.contigs = contigs if contigs is not None and len(contigs) <= 200 else None
+        self.reads, self.given, self.length, self.contigs = reads, options, length, contigs
+
+    @cached_property
+    def options(self) -> CallOptions:
+        return self.given
 
     @cached_property
     def per_read(self) -> DataFrame:
-        return read_counts(self.reads, self.contigs)
+        return read_counts(self.reads)
 
     @cached_property
     def tracks(self) -> DataFrame:
@@ -80,10 +80,10 @@ class Experiment:
 
     @cached_property
     def caps(self) -> int | dict[str, int] | None:
-        if self.options.keep_dup == "auto":
+        if self.given.keep_dup == "auto":
             totals = {s: u + m for s, (u, m) in self.raw_totals.items()}
-            return auto_caps(self.options.genome_size, totals)
-        return None if self.options.keep_dup == "all" else int(self.options.keep_dup)
+            return auto_caps(self.given.genome_size, totals)
+        return None if self.given.keep_dup == "all" else int(self.given.keep_dup)
 
     @cached_property
     def capped(self) -> DataFrame:
@@ -103,6 +103,13 @@ class Experiment:
     def scales(self) -> Scales:
         return library_scales(self.totals["T"].total, self.totals["C"].total, self.options)
 
+    def sized(self, tags: DataFrame) -> DataFrame:
+        """Tags with the length of their contig, joined from the contig table."""
+        if self.contigs is None:
+            return tags.withColumn("_length", F.lit(self.length))
+        known = self.contigs.groupBy("chrom").agg(F.max("length").cast("long").alias("_length"))
+        return tags.join(known, "chrom", "left").withColumn("_length", F.coalesce("_length", F.lit(INT_MAX)))
+
     def depths(self, tags: DataFrame) -> DataFrame:
         """Raw depths of treatment and of each control window, swept together."""
         d, shift = self.options.fragment, self.options.shift
@@ -110,7 +117,7 @@ class Experiment:
         spans = {"t": (*directed_ends(strand, pos, d, shift), F.when(F.col("sample") == "T", n))}
         for i, width in enumerate(self.options.windows):
             spans[f"c{i}"] = (*centred_ends(pos, width), F.when(F.col("sample") == "C", n))
-        return sweep(step_events(tags, ["chrom"], spans, self.length), ["chrom"], list(spans))
+        return sweep(step_events(self.sized(tags), ["chrom"], spans, F.col("_length")), ["chrom"], list(spans))
 
     def paired_signal(self, tags: DataFrame) -> DataFrame:
         """Scaled treatment and local background on every segment."""
@@ -162,21 +169,24 @@ class FragmentExperiment(Experiment):
         treat = self.capped.where("sample = 'T'")
         return int(treat.agg(F.sum(F.col("span") * F.col("n")) / F.sum("n")).first()[0])
 
+    @cached_property
+    def options(self) -> CallOptions:
+        return replace(self.given, fragment=self.mean_span)
+
     @cached_property
     def scales(self) -> Scales:
-        self.options = replace(self.options, fragment=self.mean_span)
         return library_scales(self.totals["T"].total, 2 * self.totals["C"].total, self.options)
 
     def depths(self, tags: DataFrame) -> DataFrame:
-        self.scales  # sets the fragment length the windows are built from
+        tags = self.sized(tags)
         pos, stop, n = F.col("pos"), F.col("pos") + F.col("span"), F.col("n")
         treat = {"t": (pos, stop, F.when(F.col("sample") == "T", n))}
-        events = step_events(tags, ["chrom"], treat, self.length)
+        events = step_events(tags, ["chrom"], treat, F.col("_length"))
         control = {
             f"c{i}": (*centred_ends(F.col("end"), width), F.col("n")) for i, width in enumerate(self.options.windows)
         }
-        ends = tags.where("sample = 'C'").select("chrom", "n", F.explode(F.array(pos, stop)).alias("end"))
-        events = events.unionByName(step_events(ends, ["chrom"], control, self.length), allowMissingColumns=True)
+        ends = tags.where("sample = 'C'").select("chrom", "n", "_length", F.explode(F.array(pos, stop)).alias("end"))
+        events = events.unionByName(step_events(ends, ["chrom"], control, F.col("_length")), allowMissingColumns=True)
         return sweep(events, ["chrom"], ["t", *control])
 
 

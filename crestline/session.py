@@ -61,4 +61,21 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_path = path
+    return read
+
+
+def staged_as(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, a view of the staged ``source``, so that ``discard`` finds its table."""
+    df.staged_path = getattr(source, "staged_path", None)
+    return df
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a staged frame that nothing reads any more."""
+    path = getattr(df, "staged_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

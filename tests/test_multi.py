@@ -1,4 +1,4 @@
-from crestline.operators.joins import salted_lookup
+from crestline.operators.joins import lookup
 from crestline.plans.multi import merge_overlapping
 
 
@@ -20,8 +20,8 @@ def test_overlapping_peaks_join(spark):
     ]
 
 
-def test_salted_lookup_keeps_every_row_of_a_hot_key(spark):
+def test_lookup_keeps_every_row_of_a_hot_key(spark):
     big = spark.range(0, 5000).selectExpr("id", "CASE WHEN id < 4900 THEN 0 ELSE id END AS k")
     small = spark.createDataFrame([(0, "hot"), (4950, "one")], "k long, v string")
-    assert salted_lookup(big, small, ["k"], ["id"]).count() == 4901
-    assert salted_lookup(big, small, ["k"], ["id"], "left").count() == 5000
+    assert lookup(big, small, ["k"]).count() == 4901
+    assert lookup(big, small, ["k"], "left").count() == 5000
