@@ -10,7 +10,7 @@ from crestline.adapters.driver_tables import view, view_sql
 from crestline.config import CallOptions
 from crestline.plans.narrow import Experiment
 
-OPTIONS = CallOptions(genome_size=float(tables.GENOME_SIZE), fragment=tables.FRAGMENT, tag_size=tables.TAG_SIZE)
+OPTIONS = CallOptions(genome_size=float(tables.GENOME_SIZE), fragment=tables.FRAGMENT, tag_size=tables.TAG_SIZE, common_regions=True)
 
 _experiments: dict[tuple[str, str], Experiment] = {}
 

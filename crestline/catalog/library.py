@@ -68,6 +68,13 @@ def region_bins(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "regions").select("payload", rg.region_bin(F.col("start"), wide).alias("bin"))
 
 
+def range_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bin that a query on the region has to look into."""
+    wide = F.when(F.col("payload") % 4 == 0, F.col("stop") + 300_000).otherwise(F.col("stop"))
+    bins = rg.bins_over(F.col("start"), wide)
+    return view(spark, sf, "regions").select("payload", F.explode(bins).alias("bin"))
+
+
 # --- text sources ------------------------------------------------------------------
 
 
@@ -346,6 +353,7 @@ QUERIES = {
     "j12_common_contigs": common_contigs,
     "s19_region_parse": region_parse,
     "s20_region_bin": region_bins,
+    "s20_range_bins": range_bins,
     "a13_bed_lines": bed_lines,
     "a13_tab_lines": tab_lines,
     "a8_gtf_lines": gtf_lines,
@@ -481,6 +489,14 @@ ORACLE = {
         + " ".join(f"WHEN b >> {s} = e >> {s} THEN {(8**d - 1) // 7} + (b >> {s})" for d, s in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26)))
         + " ELSE 0 END AS INT) AS bin FROM w",
     ),
+    "s20_range_bins": with_parts(
+        [*REGIONS, ("w", "SELECT payload, start AS b, CASE WHEN payload % 4 = 0 THEN stop + 300000 ELSE stop END - 1 AS e FROM regions")],
+        "SELECT payload, CAST(0 AS INT) AS bin FROM w"
+        + "".join(
+            f" UNION ALL SELECT payload, CAST({(8**d - 1) // 7} + unnest(range(b >> {s}, (e >> {s}) + 1)) AS INT) FROM w"
+            for d, s in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26))
+        ),
+    ),
     "a13_bed_lines": with_parts(REGIONS, "SELECT chrom, start, stop - 1 AS stop, CAST(payload AS VARCHAR) AS payload FROM regions"),
     "a13_tab_lines": with_parts(REGIONS, "SELECT chrom, start, CASE WHEN payload % 2 = 0 THEN stop - 1 ELSE start END AS stop FROM regions"),
     "a8_gtf_lines": with_parts(

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.config import GENOME_SIZES, INT_MAX, CallOptions, main_chromosomes
+from crestline.config import GENOME_SIZES, CallOptions, main_chromosomes
 from crestline.functions.flags import usable_mate, usable_single
 from crestline.operators.reads import normal_name
 from crestline.operators.sweep import coalesce_equal
@@ -19,6 +19,7 @@ from crestline.plans.multi import MultiExperiment
 from crestline.plans.narrow import Experiment, FragmentExperiment, call_narrow
 from crestline.session import build_session, stage
 from crestline.sources import bam, sam, sinks
+from crestline.sources.sniff import sniff
 
 VERSION = "0.1.0"
 log = logging.getLogger("crestline")
@@ -49,13 +50,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--broad", action="store_true")
     p.add_argument("-a", "--broad-cutoff", type=float, default=0.1)
     p.add_argument("--auto", action="store_true")
+    p.add_argument("--common-regions", action="store_true", help="leave out multi-read regions without any control read")
+    p.add_argument("--merge-overlaps", action="store_true", help="join multi-read peaks that overlap")
     p.add_argument("--no-wig", action="store_true", help="leave the bedGraph tracks out")
     p.add_argument("--all-contigs", action="store_true", help="do not restrict to the species' chromosomes")
     return top
 
 
 def options_of(args: argparse.Namespace) -> CallOptions:
-    if args.keepDup not in ("all", "auto") and args.keepDup not in "123456789":
+    if args.keepDup not in {"all", "auto", *"123456789"}:
         raise SystemExit("--keepDup takes all, auto or 1..9")
     fitted = args.auto or not 50 <= args.fraglen <= 500
     return CallOptions(
@@ -77,17 +80,22 @@ def options_of(args: argparse.Namespace) -> CallOptions:
         upper_fold=args.hmfold,
         min_pileup=args.pileup,
         min_fold=args.fe,
+        merge_overlaps=args.merge_overlaps,
+        common_regions=args.common_regions,
     )
 
 
 def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Contigs and records of a SAM or BAM file."""
-    if path.endswith(".bam"):
+    """Contigs and records of a SAM or BAM file, told by content."""
+    kind, _ = sniff(path)
+    if kind == "bam":
         bam.register(spark)
         contigs = spark.createDataFrame(bam.read_header(path)[0], "chrom string, length long")
         return contigs, spark.read.format("bam").load(path)
-    if path.endswith(".cram"):
+    if kind == "cram":
         raise SystemExit("CRAM needs its reference sequence and is not read; convert it to BAM")
+    if kind != "sam":
+        raise SystemExit(f"{path} is neither SAM nor BAM but {kind}")
     return sam.read_sam(spark, path)
 
 
@@ -121,18 +129,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     to_reads = paired_fragments if paired else sam.single_end_tags
     reads = to_reads(treat, "T").unionByName(to_reads(control, "C"))
     reads = stage(reads, "reads")
-    lengths = {r["chrom"]: r["length"] for r in contigs.collect()}
-    length = contig_length(lengths) if lengths else INT_MAX
+    contigs = stage(contigs, "contigs")
     kind = FragmentExperiment if paired else Experiment
-    experiment = kind(reads, options, length, list(lengths))
-    if options.auto_model and not paired:
+    experiment = kind(reads, options, contigs=contigs)
+    if options.auto_model and paired:
+        log.warning("paired reads: the fragment length is the mean template length, so no model is fitted")
+    elif options.auto_model:
         model = fit(experiment)
         options = with_fitted_fragment(options, model)
         log.info("fragment length %d from %d pairs", model.fragment, model.pairs)
         if model.lines is not None:
             text = spark.createDataFrame([(plot_script(model, args.prj_name),)], "value string")
             text.coalesce(1).write.text(f"{out}_model_r")
-        experiment = kind(reads, options, length, list(lengths))
+        experiment = kind(reads, options, contigs=contigs)
     for name, t in experiment.totals.items():
         log.info("sample %s: %d unique, %d multi, %d unique kept", name, t.unique, t.multi, t.unique_kept)
     if options.broad:
@@ -140,21 +149,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         peaks = stage(call_narrow(experiment), "peaks")
         sinks.write_lines(sinks.peak_table(peaks), f"{out}_uniqpeaks_xls", sinks.PEAK_TABLE_HEADER)
-        sinks.write_lines(sinks.narrow_peak_rows(peaks), f"{out}_uniqpeaks")
+        sinks.write_track(sinks.narrow_peak_rows(peaks), f"{out}_uniqpeaks", args.prj_name)
     if not args.no_wig:
         for track in ("treat", "ctrl"):
             steps = coalesce_equal(experiment.signal.select("chrom", "start", "stop", track), ["chrom"], track)
             sinks.write_bedgraph(steps.where(F.col(track) > 0).withColumnRenamed(track, "value"), f"{out}_{track}_uniq_bdg")
-    if not paired and experiment.totals["T"].multi:
+    if paired and experiment.totals["T"].multi:
+        log.warning("%d multi-mapped pairs: the multi-read pass is for single-end reads and is left out", experiment.totals["T"].multi)
+    elif experiment.totals["T"].multi:
         multi = MultiExperiment(experiment)
         sinks.write_lines(sinks.candidate_rows(multi.candidates), f"{out}_candidate_regions", sinks.CANDIDATE_HEADER)
         sinks.write_lines(sinks.multi_peak_rows(multi.rescored()), f"{out}_multiRead_peaks", sinks.MULTI_HEADER)
-
-
-def contig_length(lengths: dict[str, int]):
-    """Contig length as an expression on ``chrom``; a contig the header lacks is endless."""
-    table = F.create_map(*[x for name, n in lengths.items() for x in (F.lit(name), F.lit(int(n)).cast("long"))])
-    return F.coalesce(F.try_element_at(table, F.col("chrom")), F.lit(INT_MAX))
+        if not args.no_wig:
+            sinks.write_bedgraph(multi.multi_track(), f"{out}_treat_multi_bdg")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -46,6 +46,7 @@ class CallOptions:
     min_fold: float = 1.5
     min_weight: float = 0.01
     merge_overlaps: bool = False
+    common_regions: bool = False  # leave out regions without any control read, as the original program does
     auto_model: bool = False
 
     def __post_init__(self) -> None:

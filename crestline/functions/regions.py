@@ -22,16 +22,25 @@ def parse_region(text: Column) -> Column:
     )
 
 
+# First bin number and width in bits of each level, finest first.
+LEVELS = ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26))
+
+
+def bins_over(beg: Column, stop: Column) -> Column:
+    """All bins, of every level and the whole, that may hold a record overlapping ``[beg, stop)``; none if it is empty."""
+    beg, last = F.greatest(beg, F.lit(0)), stop - 1
+    parts = [F.transform(F.sequence(F.shiftright(beg, s), F.shiftright(last, s)), lambda b, f=f: (b + f).cast("int")) for f, s in reversed(LEVELS)]
+    return F.when(stop > beg, F.concat(F.array(F.lit(0)), *parts)).otherwise(F.array().cast("array<int>"))
+
+
 def region_bin(beg: Column, stop: Column) -> Column:
     """Smallest bin of the five-level scheme that holds ``[beg, stop)``.
 
-    Levels are 2^14, 2^17, 2^20, 2^23 and 2^26 bases wide; a level's first bin
-    number is (8^depth - 1) / 7.
     """
     last = stop - 1
     number: Column | None = None
-    for depth, shift in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26)):
+    for first, shift in LEVELS:
         same = F.shiftright(beg, shift) == F.shiftright(last, shift)
-        value = F.lit((8**depth - 1) // 7) + F.shiftright(beg, shift)
+        value = F.lit(first) + F.shiftright(beg, shift)
         number = F.when(same, value) if number is None else number.when(same, value)
     return number.otherwise(F.lit(0)).cast("int")

@@ -63,6 +63,8 @@ def q_table(hist: DataFrame) -> DataFrame:
     raw = ranked.withColumn(
         "_raw", F.col("pkey") / float(P_UNITS) + F.log10(F.col("_above") + 1) - F.log10(total)
     )
+    # staged because a scan reads its rows twice
+    raw = stage(raw.select("pkey", "bp", "_raw", "_coarse", "_fine"), "ranked")
     lowered = running(raw, [], ["_coarse", "_fine"], ["pkey"], [Run("_min", "min", "_raw", True)], descending=True)
     return lowered.select("pkey", "bp", F.greatest(F.col("_min"), F.lit(0.0)).alias("qscore"))
 

@@ -14,7 +14,7 @@ from crestline.operators.islands import middle_rows, region_bounds
 from crestline.operators.joins import lookup
 from crestline.operators.overlap import assign_first
 from crestline.operators.running import Run, running, tile_of
-from crestline.operators.sweep import sweep
+from crestline.operators.sweep import coalesce_equal, sweep
 from crestline.plans.narrow import Experiment, islands_above, passing_pairs
 from crestline.session import stage
 
@@ -141,8 +141,13 @@ class MultiExperiment:
         units = F.floor(F.col("w") * float(WEIGHT_UNITS) + 0.5).cast("long") * F.col("n")
         return stage(counted.select("sample", "pid", "frag_start", units.alias("units")), "weighted")
 
-    def region_depths(self, multi_only: bool = False) -> DataFrame:
-        """Weighted depth of treatment and control inside each gated candidate."""
+    def region_depths(self, multi_only: bool = False, common: bool | None = None) -> DataFrame:
+        """Weighted depth of treatment and control inside each gated candidate.
+
+        With ``common`` a candidate without any control read is left out and the
+        depths end with the side that ends first; otherwise a missing side is 0.
+        """
+        common = self.options.common_regions if common is None else common
         positions = self.multi_positions
         if not multi_only:
             unique = self.unique_positions.select(
@@ -160,7 +165,14 @@ class MultiExperiment:
             )
         )
         events = positions.select("pid", ends.alias("ev")).select("pid", "ev.pos", "ev.t", "ev.c")
-        return sweep(events, ["pid"], ["t", "c"])
+        return sweep(events, ["pid"], ["t", "c"], common=common)
+
+    def multi_track(self, least: float = 1e-5) -> DataFrame:
+        """Depth of the multi-mapped treatment reads in each gated candidate, as bedGraph steps above ``least``."""
+        depths = self.region_depths(multi_only=True, common=False)
+        track = depths.select("pid", "start", "stop", (F.col("t") / float(WEIGHT_UNITS)).alias("value"))
+        steps = coalesce_equal(track, ["pid"], "value").where(F.col("value") > least)
+        return steps.join(self.candidates.select("pid", "chrom"), "pid").select("chrom", "start", "stop", "value")
 
     def rescored(self) -> DataFrame:
         """Multi-read peaks: bounds, tags, summit pileup, fold and p-score."""

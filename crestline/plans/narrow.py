@@ -141,7 +141,7 @@ class Experiment:
 
     @cached_property
     def q_table(self) -> DataFrame:
-        return stage(scoring.q_table(scoring.p_histogram(self.scored)), "qtable")
+        return stage(scoring.q_table(stage(scoring.p_histogram(self.scored), "hist")), "qtable")
 
     @cached_property
     def enriched_tags(self) -> DataFrame:

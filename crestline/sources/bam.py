@@ -25,6 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from crestline.functions.regions import LEVELS
+
 # Fixed values of the format: letters by code, tag number formats, the end marker.
 CIGAR_LETTERS = "MIDNSHP=XB"
 BASE_LETTERS = "=ACMGRSVTWYHKDBN"
@@ -402,9 +404,9 @@ def encode_record(row, ids: dict[str, int]) -> bytes:
 
 def coordinate_bin(beg: int, stop: int) -> int:
     """Smallest bin of the five-level scheme around ``[beg, stop)``."""
-    for depth, shift in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26)):
+    for first, shift in LEVELS:
         if beg >> shift == (stop - 1) >> shift:
-            return ((8**depth - 1) // 7 + (beg >> shift)) & 0xFFFF
+            return (first + (beg >> shift)) & 0xFFFF
     return 0
 
 

@@ -93,6 +93,14 @@ def write_lines(df: DataFrame, path: str, header: str | None = None, codec: str
     writer.csv(path)
 
 
+def write_track(df: DataFrame, path: str, name: str) -> None:
+    """Write rows as tab-separated text below a track line, which every part file has."""
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])
+    # fixed value: the track line of the layout
+    track = f'track type=narrowPeak name="{name}" description="{name}" nextItemButton=on'
+    df.select(line.alias(track)).write.option("header", "true").option("quote", "").option("escape", "").option("sep", "\x01").csv(path)
+
+
 def write_bedgraph(steps: DataFrame, path: str) -> None:
     """bedGraph, one folder per chromosome; ``steps`` has chrom, start, stop, value."""
     line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("stop").cast("string"), F.col("value").cast("string"))
