@@ -98,14 +98,21 @@ def lookup(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node that can be reached.
 
-    Each round sends every node to its smallest neighbour, rewrites the edges between those and keeps the step as a
-    written table; the number of nodes falls at least by half a round.  The steps are joined at the end.
+    Each round points every node at its smallest neighbour, follows these pointers to their ends by doubling, rewrites
+    the edges between the ends and keeps the step as a written table.  No two ends are neighbours, so a round leaves half
+    of the nodes at most.  The steps are joined at the end.
     """
     left = stage(edges.where("a <> b").distinct(), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         step = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "step")
+        while True:  # each pass doubles the way to the root
+            up = step.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+            jumped = stage(step.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") < F.col("root")).alias("moved")), "step")
+            step = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
         steps.append(step)
         to_a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
