@@ -1,9 +1,10 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 A page is read as a stream of parser events.  Every block of text is a line with its number of characters and tags; the
-smoothed ratio of both tells content from furniture, and runs of content lines form clusters.  The smallest element
-that holds most of the clustered text is the content region; all its lines are the article, short ones too, but for
-elements that are furniture by name.
+smoothed ratio of both tells content from furniture, and runs of content lines form clusters.  All lines from the first
+cluster to the last are the article, short ones, lists and tables too, but for elements that are furniture by name.
+Article and main elements count as clusters with all they hold.  Before the first and after the last cluster, a page
+with such an element ends; on any other page the rest stays too, but for menus (blocks of short links).
 
 Defined cases: null, empty and text-free pages give an empty text; a page cut inside a tag loses that tag; unclosed
 elements end with their parent or the page; repeated rows each get a row; an empty table gives no rows.  Extra columns
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from crestline.llm.common import read, whole_text
 
-#: Width of the smoothing in lines, and share of the text that the content region must hold.
-SIGMA, REGION = 1.5, 0.8
+#: Width of the smoothing in lines.
+SIGMA = 1.5
+#: A menu outside the clusters: least number of links, least share of its text in links, most characters of a link on average.
+MENU_LINKS, MENU_SHARE, MENU_CHARS = 3, 0.8, 25
 
 # fixed values: elements of the markup language by their role
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea".split())
@@ -46,7 +49,6 @@ SELF_CLOSING = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPES = frozenset("ul ol dl table tbody thead section article main div body html td blockquote".split())
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figure figcaption caption address".split())
 ARTICLES = frozenset(("article", "main"))
 CUT = re.compile(r"<(?:/?|[/!?]?[A-Za-z!-][^<>]*)\Z")
 SPACES = re.compile(r"\s+")
@@ -54,11 +56,13 @@ SPACES = re.compile(r"\s+")
 
 @dataclass
 class Line:
-    """A block's text, with the tags met since the last block and the elements that hold it."""
+    """A block's text, with the tags met since the last block, the elements that hold it, its links and their characters."""
 
     text: str
     tags: int
     path: tuple[int, ...]
+    links: int = 0
+    linked: int = 0
 
 
 class Lines(HTMLParser):
@@ -72,13 +76,15 @@ class Lines(HTMLParser):
         self.names: dict[int, str] = {}
         self.text: list[str] = []
         self.tags = 0
+        self.in_link = False
+        self.links = self.linked = 0
 
     def _end_line(self) -> None:
         text = SPACES.sub(" ", "".join(self.text)).strip()
         self.text = []
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open)))
-            self.tags = 0
+            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open), self.links, self.linked))
+            self.tags = self.links = self.linked = 0
 
     @property
     def hidden(self) -> bool:
@@ -92,6 +98,9 @@ class Lines(HTMLParser):
                 self._end_line()
             self.tags += not self.hidden
             return
+        if tag == "a":
+            self.in_link = any(name == "href" for name, _ in attrs)
+            self.links += self.in_link and not self.hidden
         if tag in INLINE:  # inline elements neither hold lines nor, unless they are furniture, end them
             named = dict(attrs)
             if not self._furniture(named):
@@ -132,6 +141,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
+        self.in_link &= tag != "a"
         places = [k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag]
         if tag not in INLINE:
             self._end_line()
@@ -143,6 +153,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
+            self.linked += len(data.strip()) if self.in_link else 0
 
     def finish(self) -> list[Line]:
         self.close()
@@ -175,19 +186,27 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     chosen = content_lines(lines)
-    size = np.array([len(x.text) for x in lines], float) * chosen
-    weight: dict[int, float] = {}
-    for line, w in zip(lines, size):
-        for element in line.path:
-            weight[element] = weight.get(element, 0.0) + w
-    # the smallest container that still holds most of the chosen text (later numbers lie deeper), but not a lone block
-    held = [e for e, w in weight.items() if w >= REGION * size.sum() and parser.names[e] not in BLOCKS]
-    several = [e for e in held if sum(e in x.path for x in lines) > 1 or parser.names[e] in ARTICLES]
-    region = max(several, default=0)
-    # an article or main element around it is the whole content
-    around = next((x.path for x in lines if region in x.path), ())
-    region = next((e for e in reversed(around) if e <= region and parser.names[e] in ARTICLES), region)
-    return " ".join(x.text for x in lines if not region or region in x.path)
+    marked = np.array([any(parser.names[e] in ARTICLES for e in x.path) for x in lines])
+    # smoothing lifts what lies beside a long text, so a line of short links begins or ends no cluster
+    links = np.array([x.linked >= MENU_SHARE * len(x.text) and 0 < x.linked <= MENU_CHARS * x.links for x in lines])
+    core = np.nonzero(chosen & ~links | marked)[0]
+    first, last = (int(core[0]), int(core[-1])) if len(core) else (0, len(lines) - 1)
+    kept = lines[first : last + 1]
+    if not marked.any():
+        inside = {e for x in kept for e in x.path}
+        kept = [*_without_menus(lines[:first], inside), *kept, *_without_menus(lines[last + 1 :], inside)]
+    return " ".join(x.text for x in kept)
+
+
+def _without_menus(lines: list[Line], inside: set[int]) -> list[Line]:
+    """Lines outside the clusters, without the largest elements of theirs (none in ``inside``) that are menus."""
+    sums: dict[int, np.ndarray] = {}
+    for x in lines:
+        for e in x.path:
+            if e not in inside:
+                sums[e] = sums.get(e, 0) + np.array([x.links, x.linked, len(x.text)])
+    menus = {e for e, (n, linked, size) in sums.items() if n >= MENU_LINKS and linked >= MENU_SHARE * size and linked <= MENU_CHARS * n}
+    return [x for x in lines if menus.isdisjoint(x.path)]
 
 
 def extract(pages: DataFrame) -> DataFrame:

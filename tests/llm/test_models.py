@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -142,6 +143,33 @@ def test_main_text():
     assert {k: html_text.main_text(k) for k in cases} == cases
 
 
+@pytest.mark.parametrize(
+    "second",
+    [
+        "<div class=part2><p>{0}</p><p>{0}</p></div>",
+        "<ul>" + "".join(f"<li>item {k} of a list</li>" for k in range(40)) + "</ul>",
+        "<table>" + "".join(f"<tr><td>{k}</td><td>cell {k}</td></tr>" for k in range(40)) + "</table>",
+        "<div><p>A short one.</p><p>Two.</p><h2>Three</h2></div>",
+    ],
+)
+def test_second_block(second):
+    """Without article or main, a second block stays, whatever its ratio; a menu outside the text does not."""
+    first = f"<div class=part1><p>{prose(2, 300)}</p><p>{prose(3, 300)}</p></div>"
+    menu = "<div><a href=/a>Home</a><a href=/b>News</a><a href=/c>Shop</a></div>"
+    second = second.format(prose(4, 90))
+    plain = lambda html: " ".join(re.sub("<[^>]*>", " ", html).split())
+    for body in (f"<div>{first}{second}</div>", f"<div>{second}{first}</div>", first + second, f"<div>{first}</div>{second}"):
+        assert html_text.main_text(f"<body>{menu}{body}{menu}</body>") == plain(body)
+
+
+def test_several_articles():
+    texts = [prose(20 + k, n) for k, n in enumerate((400, 30, 60))]
+    page = "<div><a href=/a>Home</a></div><div>" + "".join(f"<article><p>{t}</p><p>Short.</p></article>" for t in texts) + "</div>"
+    assert html_text.main_text(page) == " ".join(f"{t} Short." for t in texts)
+    page = f"<article><p>{texts[1]}</p></article><div><p>{texts[0]}</p></div><p>{texts[2]}</p>"
+    assert html_text.main_text(page) == f"{texts[1]} {texts[0]} {texts[2]}"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", 3), (1, "u", "<p>a b</p>", 3), (2, None, None, 3), (3, "v", "<p>" + "w " * 50_000, 3)], "page_id long, url string, html string, text int")
     got = Counter((r.page_id, r.url, r.n_chars) for r in html_text.extract(df).collect())
