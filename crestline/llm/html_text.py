@@ -6,6 +6,9 @@ cluster to the last are the article, short ones, lists and tables too, but for e
 Article and main elements count as clusters with all they hold.  Before the first and after the last cluster, a page
 with such an element ends; on any other page the rest stays too, but for menus (blocks of short links).
 
+A class or id that names furniture hides its element only if that leaves the page its text: html, body, main and article
+are never hidden by name, nor are containers of one such name with most of the text of high ratio (``unnamed``).
+
 Defined cases: null, empty and text-free pages give an empty text; a page cut inside a tag loses that tag; unclosed
 elements end with their parent or the page; repeated rows each get a row; an empty table gives no rows.  Extra columns
 are not read.
@@ -50,23 +53,30 @@ SELF_CLOSING = {
 }
 SCOPES = frozenset("ul ol dl table tbody thead section article main div body html td blockquote".split())
 ARTICLES = frozenset(("article", "main"))
+UNNAMEABLE = ARTICLES | {"html", "body"}
+# names that say what a page has, not what the element is
+LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)[_-]\S*", re.I)
 CUT = re.compile(r"<(?:/?|[/!?]?[A-Za-z!-][^<>]*)\Z")
 SPACES = re.compile(r"\s+")
 
 
 @dataclass
 class Line:
-    """A block's text, with the tags met since the last block, the elements that hold it, its links and their characters."""
+    """A block's text, with the tags met since the last block, the elements that hold it, its links and their characters.
+
+    ``named`` are those of the elements that are furniture by class or id.
+    """
 
     text: str
     tags: int
     path: tuple[int, ...]
     links: int = 0
     linked: int = 0
+    named: tuple[int, ...] = ()
 
 
 class Lines(HTMLParser):
-    """Turns events into lines, leaving out furniture."""
+    """Turns events into lines, leaving out furniture but for what is furniture by class or id alone."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -75,7 +85,9 @@ class Lines(HTMLParser):
         self.numbers = 0
         self.names: dict[int, str] = {}
         self.text: list[str] = []
-        self.tags = 0
+        self.named: tuple[int, ...] = ()  # open elements that are furniture by class or id
+        self.words: dict[int, tuple[int, str]] = {}  # how many such elements hold it, and the name that was found
+        self.seen: dict[tuple[int, ...], int] = {}  # tags since the last block, apart for each such element
         self.in_link = False
         self.links = self.linked = 0
 
@@ -83,8 +95,18 @@ class Lines(HTMLParser):
         text = SPACES.sub(" ", "".join(self.text)).strip()
         self.text = []
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open), self.links, self.linked))
-            self.tags = self.links = self.linked = 0
+            self.lines.append(Line(text, self.seen.pop(self.named, 0), tuple(n for _, n, _ in self.open), self.links, self.linked, self.named))
+            self.links = self.linked = 0
+
+    def _tag(self) -> None:
+        if not self.hidden:
+            self.seen[self.named] = self.seen.get(self.named, 0) + 1
+
+    def _close(self, k: int) -> None:
+        """Close the open elements from place k on."""
+        if self.named and self.named[-1] >= self.open[k][1]:
+            self.named = tuple(n for n in self.named if n < self.open[k][1])
+        del self.open[k:]
 
     @property
     def hidden(self) -> bool:
@@ -96,15 +118,15 @@ class Lines(HTMLParser):
         if tag in VOID:
             if tag not in INLINE and tag != "br":
                 self._end_line()
-            self.tags += not self.hidden
+            self._tag()
             return
         if tag == "a":
             self.in_link = any(name == "href" for name, _ in attrs)
             self.links += self.in_link and not self.hidden
         if tag in INLINE:  # inline elements neither hold lines nor, unless they are furniture, end them
             named = dict(attrs)
-            if not self._furniture(named):
-                self.tags += not self.hidden
+            if not self._furniture(named) and not self._named(named):
+                self._tag()
                 return
         else:
             self._end_line()
@@ -114,28 +136,37 @@ class Lines(HTMLParser):
         hidden = self.hidden or tag in SILENT or tag in FURNITURE or self._furniture(named)
         self.numbers += 1
         self.names[self.numbers] = tag
+        if not hidden and tag not in UNNAMEABLE and (word := self._named(named)):
+            self._end_line()
+            self.words[self.numbers] = (len(self.named), word)
+            self.named += (self.numbers,)
         self.open.append((tag, self.numbers, hidden))
-        self.tags += not hidden
+        self._tag()
 
     @staticmethod
     def _furniture(named: dict[str, str | None]) -> bool:
         if not named:
             return False
-        marks = f"{named.get('class') or ''} {named.get('id') or ''}"
         style = (named.get("style") or "").replace(" ", "").lower()
         return (
             "hidden" in named
             or (named.get("aria-hidden") or "").lower() == "true"
             or "display:none" in style
             or (named.get("role") or "").lower() in ROLES
-            or bool(marks.strip() and NAMED.search(marks))
         )
 
+    @staticmethod
+    def _named(named: dict[str, str | None]) -> str:
+        """The name of furniture in class or id, or nothing."""
+        marks = f"{named.get('class') or ''} {named.get('id') or ''}"
+        found = NAMED.search(LAYOUT.sub(" ", marks)) if marks.strip() else None
+        return found[0].strip(" \t\n\r\f_-").lower() if found else ""
+
     def _close_like(self, kinds: set[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name in kinds:
-                del self.open[k:]
+                self._close(k)
                 return
             if name in SCOPES:
                 return
@@ -147,8 +178,8 @@ class Lines(HTMLParser):
             self._end_line()
         if places:
             self._end_line()
-            del self.open[places[0] :]
-        self.tags += not self.hidden
+            self._close(places[0])
+        self._tag()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -178,11 +209,39 @@ def content_lines(lines: list[Line]) -> np.ndarray:
     return np.log1p(smooth) > (level[cut] + level[cut + 1]) / 2
 
 
+def unnamed(lines: list[Line], parser: Lines) -> list[Line]:
+    """``lines`` without those in furniture by class or id.
+
+    Containers of one name (at one depth of such containers) stay if together they hold over half of the page's text of
+    high ratio and no article or main element beside them holds any text.  Where those that go have over half and no such
+    element is left, names tell nothing and all stay.
+    """
+    if not any(x.named for x in lines):
+        return lines
+    size = np.array([len(x.text) for x in lines], float) * content_lines(lines)
+    article = lambda x: {e for e in x.path if parser.names[e] in ARTICLES}
+    groups: dict[tuple[int, str], set[int]] = {}
+    for e in sorted({e for x in lines for e in x.named}):
+        groups.setdefault(parser.words[e], set()).add(e)
+    gone: set[int] = set()
+    for _, own in sorted(groups.items(), key=lambda g: (g[0][0], min(g[1]))):
+        inside = np.array([not own.isdisjoint(x.named) and gone.isdisjoint(x.named) for x in lines])
+        if not inside.any():
+            continue
+        around = set.intersection(*(set(x.path) for x, held in zip(lines, inside) if held))
+        beside = any(article(x) - around for x, held in zip(lines, inside) if not held and set(x.named) <= around)
+        if beside or size[inside].sum() <= size.sum() / 2:
+            gone |= own
+    left = [x for x in lines if gone.isdisjoint(x.named)]
+    held = size[[gone.isdisjoint(x.named) for x in lines]].sum()
+    return left if held >= size.sum() / 2 or any(map(article, left)) else lines
+
+
 def main_text(html: str | None) -> str:
     """The article of one page: its blocks in order, joined by a space."""
     parser = Lines()
     parser.feed(CUT.sub("", html or ""))
-    lines = parser.finish()
+    lines = unnamed(parser.finish(), parser)
     if not lines:
         return ""
     chosen = content_lines(lines)

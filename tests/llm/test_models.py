@@ -170,6 +170,24 @@ def test_several_articles():
     assert html_text.main_text(page) == f"{texts[1]} {texts[0]} {texts[2]}"
 
 
+def test_names_that_hide():
+    """A class or id of html, body, main, article or of what holds most of the text hides nothing; a small one does."""
+    long, other = prose(31, 200), prose(32, 200)
+    text, share = f"<p>{long}</p><p>{other}</p>", '<div class="share">Share this with all of your friends</div>'
+    whole = f"{long} {other}"
+    for page in (
+        f'<html id="header"><body class="has-sidebar">{text}{share}</body></html>',
+        f'<body class="sidebar-left menu"><div>{text}</div>{share}</body>',
+        f'<div class="content no-sidebar">{text}{share}</div>',
+        f'<div class="page-header widget">{share}<div>{text}</div></div>',
+        f'<main id="related"><div class="header">{text}</div>{share}</main>',
+        f'<article class="post related">{text}{share}</article><div id="comments">{text * 3}</div>',
+        f'<div><div class="x-widget"><p>{long}</p></div><div class="x-widget"><p>{other}</p></div></div>',
+        f'<article class="ad"><p>Few words</p></article>{share}<div class="comments">{text}</div>',
+    ):
+        assert html_text.main_text(page) == ("Few words" if "Few" in page else whole)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", 3), (1, "u", "<p>a b</p>", 3), (2, None, None, 3), (3, "v", "<p>" + "w " * 50_000, 3)], "page_id long, url string, html string, text int")
     got = Counter((r.page_id, r.url, r.n_chars) for r in html_text.extract(df).collect())
