@@ -1,10 +1,13 @@
 """Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification.
 
 A random walk (CGK) sends a word sequence to a bit string so that a small edit distance becomes a small Hamming
-distance; each of several repeats keeps a few sampled bits as a bucket key.  Windows that share a bucket with an item
-of the same size are aligned exactly.  A window is looked at only where it shares a run of words with an item that any
+distance; each of several repeats keeps a few sampled bits as a bucket key.  A window that shares a bucket with an item
+of the same size is aligned exactly.  A window is looked at only where it shares a run of words with an item that any
 passage within the allowed distance must share (so many edits leave at least one such run whole), which loses nothing.
 
+The walks of long windows part too far for few repeats, so items of over ``PIECE`` words are embedded in pieces: one of
+them has at most its own share of the edits.  What shares a bucket with a piece is aligned with the whole item.
+
 Items travel to the tasks in blocks of a fixed number; a larger benchmark takes more passes.  Documents are never
 shuffled and a passage that many documents share costs each of them the same.
 
@@ -32,10 +35,12 @@ from crestline.llm.wordhash import hashed_words, mix
 SIMILARITY = 0.8
 #: Longest run of words that a window must share with its item.
 RUN = 4
+#: Most words of a window that is embedded; the windows of longer items are embedded in pieces.
+PIECE = 40
 #: Items that travel to the tasks at once.
 BLOCK = 5000
 #: Sampled bits in a bucket key, and the share of differing bits up to which the target recall holds.
-BITS, FAR = 2, 0.6
+BITS, FAR = 2, 0.7
 RECALL = 0.999
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR) ** BITS))
 SEED = 7
@@ -51,6 +56,13 @@ def run_length(n: int) -> int:
     return min(RUN, n // (allowed(n) + 1))
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of ``n`` words, as even as can be."""
+    many = -(-n // PIECE)
+    cuts = [n * k // many for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def sampled_bits(n: int) -> np.ndarray:
     """Positions of the walk over ``n`` words that each repeat keeps."""
     rng = np.random.default_rng((SEED, n))
@@ -109,25 +121,26 @@ class Items:
         hashes, bounds = hashed_words([text for _, text in items])
         self.vocabulary = np.unique(hashes)  # word number k + 1 is at place k; 0 is a word of no item
         self.items: list[tuple[int, np.ndarray]] = []
-        by_run: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        by_size: dict[int, list[int]] = defaultdict(list)
+        by_run: dict[int, dict[int, set[tuple[int, int, tuple[int, int]]]]] = defaultdict(lambda: defaultdict(set))
+        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)  # (item, offset of a piece of this size)
         for (item, _), a, b in zip(items, bounds, bounds[1:]):
             if a == b:
                 continue
             ids = self.numbers(hashes[a:b])
-            q = run_length(len(ids))
-            by_size[len(ids)].append(len(self.items))
+            for begin, n in pieces(len(ids)):
+                q = run_length(n)
+                by_size[n].append((len(self.items), begin))
+                for offset, code in enumerate(self.runs(ids, begin + np.arange(n - q + 1), q).tolist()):
+                    by_run[q][code].add((n, offset, (len(self.items), begin)))
             self.items.append((item, ids))
-            for offset, code in enumerate(self.runs(ids, np.arange(len(ids) - q + 1), q).tolist()):
-                by_run[q][code].add((len(ids), offset))
         self.places = {q: dict(codes) for q, codes in by_run.items()}
         self.codes = {q: np.sort(np.array(list(codes), np.uint64)) for q, codes in by_run.items()}
-        self.buckets: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.buckets: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}
         for n, own in by_size.items():
-            table: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for k, row in zip(own, embed(np.stack([self.items[k][1] for k in own])).tolist()):
+            table: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for piece, row in zip(own, embed(np.stack([self.items[k][1][begin : begin + n] for k, begin in own])).tolist()):
                 for t, key in enumerate(row):
-                    table[t, key].append(k)
+                    table[t, key].append(piece)
             self.buckets[n] = dict(table)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -144,9 +157,9 @@ class Items:
             code = mix(code + ids[at + k].astype(np.uint64))
         return code
 
-    def windows(self, ids: np.ndarray) -> dict[int, set[int]]:
-        """By size, the starts of the windows that share a run with an item at the item's own place in it."""
-        out: dict[int, set[int]] = defaultdict(set)
+    def windows(self, ids: np.ndarray) -> dict[int, dict[int, set[tuple[int, int]]]]:
+        """By size, the starts of the windows that share a run with a piece at its own place in it, and these pieces."""
+        out: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for q, codes in self.codes.items():
             known = ids > 0
             whole = known[: max(0, len(known) - q + 1)].copy()
@@ -156,8 +169,8 @@ class Items:
             code = self.runs(ids, at, q)
             hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
             for p, c in zip(at[hit].tolist(), code[hit].tolist()):
-                for n, offset in self.places[q][c]:
-                    out[n].add(p - offset)
+                for n, offset, piece in self.places[q][c]:
+                    out[n][p - offset].add(piece)
         return out
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -170,19 +183,23 @@ class Items:
         first = bounds + np.arange(len(bounds))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        tried: set[tuple[int, int, int]] = set()  # several pieces may ask for the same place
         for n, starts in self.windows(ids).items():
             begin = np.array(sorted(starts), np.int64)
             inside = begin[:, None] + np.arange(n)
             window = np.where((inside >= 0) & (inside < len(ids)), ids[np.clip(inside, 0, len(ids) - 1)], 0)
             middle = np.clip(begin + n // 2, 0, len(ids) - 1)
-            table, spare = self.buckets[n], allowed(n)
+            table = self.buckets[n]
             for at, mid, row in zip(begin.tolist(), middle.tolist(), embed(window).tolist()):
-                for item in {i for t, key in enumerate(row) for i in table.get((t, key), ())}:
+                for item, offset in {i for t, key in enumerate(row) for i in table.get((t, key), ())} & starts[at]:
+                    whole = len(self.items[item][1])
+                    spare, own = allowed(whole), at - offset
                     # a matching window may begin or end in the text next to it, so each text is aligned on its own
                     for text in {int(np.searchsorted(first, x, side="right")) - 1 for x in (max(0, at), mid, min(at + n, len(ids)) - 1)}:
-                        if text >= len(texts):
+                        if text >= len(texts) or (text, item, own) in tried:
                             continue
-                        low, high = max(int(first[text]), at - spare), min(int(first[text + 1]) - 1, at + n + spare)
+                        tried.add((text, item, own))
+                        low, high = max(int(first[text]), own - spare), min(int(first[text + 1]) - 1, own + whole + spare)
                         if high <= low:
                             continue
                         distance, a, b = align(self.items[item][1], ids[low:high])

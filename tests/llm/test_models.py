@@ -122,6 +122,26 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(df, benchmark.limit(0)).collect() == []
 
 
+def test_long_items():
+    """Passages at the allowed distance from items of 100 to 500 words, all of whose edits are of one kind."""
+    rng = random.Random(12)
+    pool = prose(1, 4000, 3000).split()
+    items, texts = [], []
+    for k, n in enumerate([100] * 12 + [200] * 10 + [300] * 8 + [500] * 8):
+        own = prose(700 + k, n, 3000).split()
+        words = list(own)
+        for at in sorted(rng.sample(range(n), decontamination.allowed(n)), reverse=True):
+            words[at : at + 1] = [] if k % 2 else [rng.choice(pool)]
+        items.append((k, " ".join(own)))
+        texts.append(" ".join([*rng.choices(pool, k=30), *words, *rng.choices(pool, k=30)]))
+    found = {(t, i) for t, i, *_ in decontamination.Items(items).search(texts)}
+    truth = {
+        (t, i) for t, text in enumerate(texts) for i, item in items
+        if t == i and brute_distance(item.split(), text.split()) <= decontamination.allowed(len(item.split()))
+    }
+    assert len(truth) == len(items) and found == truth
+
+
 def test_alignment():
     rng = np.random.default_rng(5)
     for _ in range(200):
