@@ -3,12 +3,16 @@
 A multinomial logistic regression over hashed words and word pairs names the licence family of a paragraph, or the
 class ``unknown``.  It is trained on the driver from the templates below, thinned and mixed with ordinary words, and a
 bounded sample of ordinary paragraphs; its temperature is fitted on examples it was not trained on.  A named family
-holds only if the paragraph also has most words of one of the family's templates.
+holds only if the paragraph also has most words of one of the family's templates.  Short tags (``MIT License``, SPDX
+identifiers) name their family where no template is confirmed.
+
+A line with a cue word is judged alone first.  If that confirms nothing, groups of lines around it are, up to the next
+blank or confirmed line, so that wrapped notices count; the lines of one wrapped notice are one paragraph.
 
 The scan itself is DataFrame functions without a shuffle.  A paragraph without any of the cue words, of which every
 template holds one, can't be confirmed and is passed over.
 
-Defined cases: a null or empty text has no licence; a paragraph is a line; repeated rows each get a row; an empty table
+Defined cases: a null or empty text has no licence; repeated rows each get a row; an empty table
 gives no rows.  Extra columns are not read.
 """
 
@@ -65,6 +69,20 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["Released under CC0 1.0 into the public domain; the license waives all rights.", "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission."],
 }
+# fixed values: tags of each family, as words in a row
+TAGS: dict[str, list[str]] = {
+    "MIT": ["spdx license identifier mit", "mit license", "license mit"],
+    "Apache-2.0": ["spdx license identifier apache 2 0", "apache license 2 0", "apache license version 2 0", "license apache 2 0"],
+    "GPL-3.0": ["spdx license identifier gpl 3 0", "gnu general public license v3", "license gpl 3 0", "license gplv3", "gplv3 license"],
+    "GPL-2.0": ["spdx license identifier gpl 2 0", "gnu general public license v2", "license gpl 2 0", "license gplv2", "gplv2 license"],
+    "LGPL-3.0": ["spdx license identifier lgpl 3 0", "gnu lesser general public license v3", "license lgpl 3 0", "license lgplv3", "lgplv3 license"],
+    "BSD-3-Clause": ["spdx license identifier bsd 3 clause", "bsd 3 clause license", "license bsd 3 clause"],
+    "MPL-2.0": ["spdx license identifier mpl 2 0", "mozilla public license 2 0", "mozilla public license version 2 0", "license mpl 2 0"],
+    "CC-BY-4.0": ["spdx license identifier cc by 4 0", "license cc by 4 0"],
+    "CC-BY-SA-4.0": ["spdx license identifier cc by sa 4 0", "license cc by sa 4 0"],
+    "CC-BY-NC-4.0": ["spdx license identifier cc by nc 4 0", "license cc by nc 4 0"],
+    "CC0-1.0": ["spdx license identifier cc0 1 0", "license cc0 1 0"],
+}
 # fixed values: sentences that use the same words and name no licence
 UNKNOWN = (
     "the driver lost his license last year",
@@ -185,12 +203,15 @@ def judge(paragraph: Column, model: Model) -> Column:
         probability = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))
         found = F.struct(family.alias("family"), probability.alias("probability"), _cover(own, family).alias("cover"))
         confirmed = lambda f: (f["cover"] >= COVER) & (f["probability"] >= LEAST)
+        tag = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+        tagged = F.coalesce(*[F.when(tag.rlike(f" (?:{'|'.join(tags)}) "), F.lit(name)) for name, tags in TAGS.items()])
+        sure = F.lit(1.0)
         return let(
             found,
-            lambda f: F.struct(
+            lambda f: F.when(confirmed(f) | tagged.isNull(), F.struct(
                 F.when(confirmed(f), f["family"]).otherwise(F.lit("unknown")).alias("family"), f["probability"].alias("probability"), f["cover"].alias("cover")
-            ),
-        )
+            )).otherwise(F.struct(tagged.alias("family"), sure.alias("probability"), sure.alias("cover"))),
+        )
 
     return let(words(paragraph), lambda own: let(model.logits(grams(own)), lambda z: named(own, z)))
 
@@ -206,7 +227,29 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     # a line's last sentences carry the notice; the words before it do not count against it
     lines = F.transform(F.split("text", "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("p")))
     cued = F.filter(lines, lambda s: s["p"].rlike(CUES))
-    judged = F.transform(cued, lambda s: F.struct(s["line"].alias("line"), judge(_notice(s["p"]), model).alias("j")))
+    alone = F.transform(cued, lambda s: F.struct(s["line"].alias("line"), judge(_notice(s["p"]), model).alias("j"), F.lit(-1).alias("block")))
+    unknown = lambda a: a["j"]["family"] == "unknown"
+
+    def grouped(found: Column) -> Column:
+        """The lines judged alone, those without a family again with the lines around them."""
+        sure = F.transform(F.filter(found, lambda a: ~unknown(a)), lambda a: a["line"])
+        return let(F.transform(F.split("text", "\n", -1), lambda p, i: F.when(F.array_contains(sure, i), F.lit("")).otherwise(p)), lambda rest: widened(found, rest))
+
+    def widened(found: Column, rest: Column) -> Column:
+        def again(a: Column) -> Column:
+            judged = F.transform(_groups(rest, a["line"]), lambda g: judge(_notice(g), model))
+            best = F.array_max(F.transform(F.filter(judged, lambda j: j["family"] != "unknown"), lambda j: F.struct(j["cover"], j["probability"], j.alias("j"))))
+            block = F.size(F.filter(F.slice(rest, 1, a["line"] + 1), lambda p: ~p.rlike("[A-Za-z0-9]")))
+            return let(best, lambda b: F.when(b.isNull(), a).otherwise(F.struct(a["line"].alias("line"), b["j"].alias("j"), block.alias("block"))))
+
+        return let(F.transform(found, lambda a: F.when(unknown(a), again(a)).otherwise(a)), merged)
+
+    def merged(found: Column) -> Column:
+        """Without the later lines of a wrapped notice."""
+        same = lambda a, b: (a["block"] >= 0) & (a["block"] == b["block"]) & (a["j"]["family"] == b["j"]["family"]) & (a["line"] - b["line"] <= _REACH)
+        return F.filter(found, lambda a, k: ~F.coalesce(same(a, F.get(found, k - 1)), F.lit(False)))
+
+    judged = let(alone, lambda found: F.when(F.exists(found, unknown), grouped(found)).otherwise(found))
     flat = F.transform(judged, lambda s: F.struct(s["line"].alias("line"), s["j"]["family"].alias("family"), s["j"]["probability"].alias("probability"), s["j"]["cover"].alias("cover")))
     none = F.array().cast("array<struct<line:int,family:string,probability:double,cover:double>>")
     found = F.when(F.col("text").rlike(CUES), flat).otherwise(none)
@@ -225,6 +268,24 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 _AROUND = 2
 
 
+#: Lines before and after a cue that are judged with it, and how far the cues of one wrapped notice lie apart.
+_GROUPS = ((0, 1), (1, 0), (1, 1), (0, 3), (3, 3), (0, 7))
+_REACH = 8
+
+
+def _groups(lines: Column, at: Column) -> Column:
+    """Texts of the groups of lines around line ``at`` (from 0), each cut at lines without a letter or digit."""
+    blank = "\\n[^A-Za-z0-9\\n]*(?=\\n)"
+
+    def group(back: int, on: int) -> Column:
+        low = F.greatest(at - back, F.lit(0))
+        before = F.concat(F.lit("\n"), F.array_join(F.slice(lines, low + 1, at - low), "\n"), F.lit("\n"))
+        after = F.concat(F.array_join(F.slice(lines, at + 1, F.lit(on + 1)), "\n"), F.lit("\n"))
+        return F.concat(F.element_at(F.split(before, blank, -1), -1), F.get(F.split(after, blank, -1), F.lit(0)))
+
+    return F.array_distinct(F.transform(F.array(*[group(b, o) for b, o in _GROUPS]), lambda g: F.trim(F.regexp_replace(g, "\\s+", " "))))
+
+
 def _notice(paragraph: Column) -> Column:
     """The sentences of a paragraph from the first cue's to a few after the last cue's."""
     sentences = F.split(paragraph, "(?<=[.;:])\\s+", -1)

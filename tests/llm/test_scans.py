@@ -106,6 +106,33 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(empty, model).collect() == []
 
 
+def test_wrapped_licences(spark, docs):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    apache = """Licensed under the
+Apache License,
+Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+    texts = {
+        1: (f"some words\n\n{mit}\n\nmore words", "MIT", 1, 0),
+        2: (f"/*\n{gpl}\n *\n */\n", "GPL-3.0", 1, 0),
+        3: (apache, "Apache-2.0", 1, 0),
+        4: ("// SPDX-License-Identifier: MIT", "MIT", 1, 0),
+        5: ("MIT License\n\nCopyright 2020 someone", "MIT", 1, 1),
+        6: ("the driver lost his license last year\nReleased under the MIT License.", "MIT", 1, 1),
+        7: (f"{gpl}\n\n{mit}", "GPL-3.0,MIT", 2, 0),
+        8: ("a license is required\nfor this work", "", 0, 1),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: (r.families, r.n_paragraphs, r.n_unknown) for r in license_scan.scan(df, license_scan.train(docs)).collect()}
+    assert found == {i: t[1:] for i, t in texts.items()}
+
+
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, extra int"
 
 
