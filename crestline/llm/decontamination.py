@@ -11,7 +11,7 @@ them has at most its own share of the edits.  What shares a bucket with a piece
 Items travel to the tasks in blocks of a fixed number; a larger benchmark takes more passes.  Documents are never
 shuffled and a passage that many documents share costs each of them the same.
 
-Defined cases: null or empty texts and items match nothing; repeated documents each get their rows and repeated items
+Defined cases: null or empty texts match nothing; items with a null id count, with a null item_id; repeated documents each get their rows and repeated items
 match each; an item shorter than five words must occur whole; an empty table gives no rows.  Extra columns are not
 read, except by ``decontaminate``, which keeps them.
 """
@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
                 texts = batch["text"].tolist()
                 rows = [(ids[low + k], *m) for low in range(0, len(texts), 256) for k, *m in block_items.search(texts[low : low + 256])]
                 columns = ["doc_id", "item_id", "start", "stop", "distance", "item_words", "places"]
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         own = source.mapInPandas(search, FOUND)
         found = own if found is None else found.unionByName(own)
@@ -236,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 def _blocks(benchmark: DataFrame, block: int) -> list[Broadcast]:
     """The items in blocks of about ``block``, each sent to the tasks once."""
-    known = benchmark.where(F.col("item_id").isNotNull()).select("item_id", whole_text().alias("text"))
+    known = benchmark.select("item_id", whole_text().alias("text"))
     many = max(1, -(-known.count() // block))
     context = benchmark.sparkSession.sparkContext
     parts = (known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k) for k in range(many))

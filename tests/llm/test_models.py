@@ -122,6 +122,14 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(df, benchmark.limit(0)).collect() == []
 
 
+def test_null_item_id(spark):
+    item = prose(41, 20)
+    df = spark.createDataFrame([(1, item, "en", "s", 1), (2, prose(42, 20), "en", "s", 1)], TEXT)
+    benchmark = spark.createDataFrame([(None, item), (5, prose(43, 20))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(df, benchmark).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontamination.decontaminate(df, benchmark).collect()] == [2]
+
+
 def test_long_items():
     """Passages at the allowed distance from items of 100 to 500 words, all of whose edits are of one kind."""
     rng = random.Random(12)
