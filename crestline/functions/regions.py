@@ -29,14 +29,12 @@ LEVELS = ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26))
 def bins_over(beg: Column, stop: Column) -> Column:
     """All bins, of every level and the whole, that may hold a record overlapping ``[beg, stop)``; none if it is empty."""
     beg, last = F.greatest(beg, F.lit(0)), stop - 1
-    parts = [F.transform(F.sequence(F.shiftright(beg, s), F.shiftright(last, s)), lambda b, f=f: (b + f).cast("int")) for f, s in reversed(LEVELS)]
+    parts = [F.sequence((first + F.shiftright(beg, shift)).cast("int"), (first + F.shiftright(last, shift)).cast("int")) for first, shift in reversed(LEVELS)]
     return F.when(stop > beg, F.concat(F.array(F.lit(0)), *parts)).otherwise(F.array().cast("array<int>"))
 
 
 def region_bin(beg: Column, stop: Column) -> Column:
-    """Smallest bin of the five-level scheme that holds ``[beg, stop)``.
-
-    """
+    """Smallest bin of the five-level scheme that holds ``[beg, stop)``."""
     last = stop - 1
     number: Column | None = None
     for first, shift in LEVELS:
