@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import chat, decontamination, html_text, license_scan, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from crestline.llm import chat, decontamination, html_text, license_scan, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash, toxicity, whitening
 
-MODULES = (packing, toxicity, quality_classifier, decontamination, secret_scan, quality_rules, simhash, chat, license_scan, html_text, periodic_runs, ngram_join)
+MODULES = (packing, toxicity, quality_classifier, decontamination, secret_scan, quality_rules, simhash, chat, license_scan, html_text, whitening, periodic_runs, ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
