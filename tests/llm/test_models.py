@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -216,6 +218,56 @@ def test_names_that_hide():
         assert html_text.main_text(page) == ("Few words" if "Few" in page else whole)
 
 
+def test_reader_comments_go():
+    """By any usual name, however much of the page they are, nested in the article or beside it."""
+    article, talk = prose(41, 60), prose(42, 400)
+    for comments in (
+        f'<div class="comment"><p>{talk}</p></div>',
+        f'<div class="user-comments"><p>{talk}</p></div>',
+        f'<section id="commentList"><p>{talk}</p></section>',
+        f'<article class="comment"><p>{talk}</p></article>' * 2,
+        f'<div class="commentsSection"><article class="comment"><p>{talk}</p></article></div>',
+    ):
+        for page in (f"<article><p>{article}</p>{comments}</article>", f"<article><p>{article}</p></article>{comments}", f"<div><p>{article}</p></div>{comments}"):
+            if "<article><p>" in page or "<article" not in page:
+                assert html_text.main_text(page) == article, page[:200]
+    assert html_text.main_text(f'<article class="comment"><p>{article}</p></article>') == article
+    for name in ("siteFooter", "adbox", "shareWidget", "mainNav"):
+        assert html_text.main_text(f'<article><p>{article}</p><div class="{name}">Some words of furniture here</div></article>') == article
+
+
+def test_malformed_declarations_and_deep_pages():
+    cases = {"<![foo[x]]>a": "a", "<p>b<![ >c": "bc", "<![CDATA[x]]><p>d": "d", "<!x><![if y]>e<![endif]>": "e", "<![": "", "f<![foo": "f"}
+    assert {k: html_text.main_text(k) for k in cases} == cases
+    count = 50_000
+    for unit in ("<div>t", "<div>t</foo{0}>", '<div class="ad">t', "<center>t<p>", "<div>t</div></span>", "<b class=ad><td>t"):
+        began = time.perf_counter()
+        assert "t" in html_text.main_text("<div>text " * 2 + "".join(unit.format(k % 999) for k in range(count)))
+        assert time.perf_counter() - began < 20, unit
+
+
+def by_plain_rules(ratios):
+    """Smoothing and the two-cluster threshold of ``content_lines``, number by number."""
+    reach = int(3 * html_text.SIGMA)
+    smooth = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-0.5 * (k / html_text.SIGMA) ** 2), ratios[i + k]) for k in range(-reach, reach + 1) if 0 <= i + k < len(ratios)]
+        smooth.append(math.log1p(sum(w * r for w, r in near) / sum(w for w, _ in near)))
+    level = sorted(smooth)
+    if len(level) < 3 or level[-1] - level[0] < 0.5:
+        return [True] * len(ratios)
+    spread = lambda k: k * (len(level) - k) * (sum(level[:k]) / k - sum(level[k:]) / (len(level) - k)) ** 2
+    cut = max(range(1, len(level)), key=lambda k: (spread(k), -k))
+    return [x > (level[cut - 1] + level[cut]) / 2 for x in smooth]
+
+
+def test_clusters_against_plain_rules():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        lines = [html_text.Line("x" * int(rng.integers(1, 10 ** int(rng.integers(1, 4)))), int(rng.integers(0, 9)), 0) for _ in range(int(rng.integers(1, 40)))]
+        assert html_text.content_lines(lines).tolist() == by_plain_rules([len(x.text) / (1 + x.tags) for x in lines])
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", 3), (1, "u", "<p>a b</p>", 3), (2, None, None, 3), (3, "v", "<p>" + "w " * 50_000, 3)], "page_id long, url string, html string, text int")
     got = Counter((r.page_id, r.url, r.n_chars) for r in html_text.extract(df).collect())
