@@ -124,14 +124,10 @@ def in_order(tokens: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
     return (crowd[bucket_of(tokens)].astype(np.uint64) << np.uint64(58)) | (mix(tokens ^ _SALT[order]) >> np.uint64(6))
 
 
-def prefixes(tokens: np.ndarray, crowd: np.ndarray) -> list[np.ndarray]:
-    """The first tokens of a set under each order, in that order, named by their places."""
-    size = prefix_length(len(tokens))
-    out = []
-    for order in range(ORDERS):
-        place = in_order(tokens, crowd, order)
-        out.append(np.sort(np.partition(place, size - 1)[:size] if size < len(place) else place).view(np.int64))
-    return out
+def prefix(tokens: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
+    """The first tokens of a set under one order, in that order, named by their places."""
+    size, place = prefix_length(len(tokens)), in_order(tokens, crowd, order)
+    return np.sort(np.partition(place, size - 1)[:size] if size < len(place) else place).view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -224,47 +220,64 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 
 def representatives(source: DataFrame, crowd: np.ndarray) -> DataFrame:
-    """A row per distinct set: rep, k1, k2, n and its prefix under each order."""
+    """A row per distinct set: rep, k1, k2, n and ``first``, its prefix under the first order."""
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fresh in _each_set(batches):
-            first = [prefixes(tokens, crowd) for _, tokens in fresh]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([name[k] for name, _ in fresh], pa.int64()) for k in (0, 1)),
                     pa.array([len(tokens) for _, tokens in fresh], pa.int64()),
-                    *(_longs([x[k] for x in first]) for k in range(ORDERS)),
+                    _longs([prefix(tokens, crowd, 0) for _, tokens in fresh]),
                 ],
-                names=["k1", "k2", "n", *(f"p{k}" for k in range(ORDERS))],
+                names=["k1", "k2", "n", "first"],
             )
 
-    columns = ", ".join(f"p{k} array<long>" for k in range(ORDERS))
-    found = source.mapInArrow(prefix, f"k1 long, k2 long, n long, {columns}")
-    once = found.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in found.columns[2:]))
+    found = source.mapInArrow(first, "k1 long, k2 long, n long, first array<long>")
+    once = found.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("first").alias("first"))
     # the number is fixed by being written
     return stage(once.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
 
-def full_sets(source: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, tokens) of the representatives in ``needed`` (rep, k1, k2), from the texts once more."""
-    bit = F.col("k1").bitwiseAND(NEEDED_BITS - 1)
-    words = needed.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast((k1 & {NEEDED_BITS - 1}) & 63 as int))").alias("bit"))
-    marked = np.zeros(NEEDED_BITS // 64, np.int64)
+def _marked(names: DataFrame) -> np.ndarray:
+    """A bitmap of ``NEEDED_BITS`` bits that holds the low bits of every k1 of ``names``."""
+    place = f"(k1 & {NEEDED_BITS - 1}L)"
+    words = names.select(F.expr(f"shiftright({place}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({place} & 63 as int))").alias("bit"))
+    marked = np.zeros(NEEDED_BITS // 64, np.uint64)
     held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    marked[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    marked[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    return marked
+
+
+def full_sets(source: DataFrame, needed: DataFrame, crowd: np.ndarray) -> DataFrame:
+    """(rep, the prefixes under the other orders, tokens) of ``needed`` (rep, k1, k2), from the texts once more.
+
+    A bitmap of fixed size keeps most other texts from being shuffled; the join on the whole name decides.
+    """
+    marked = _marked(needed)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fresh in _each_set(batches):
-            kept = [(name, tokens) for name, tokens in fresh if int(marked[(name[0] & NEEDED_BITS - 1) >> 6]) >> (name[0] & 63) & 1]
+            low = np.array([name[0] for name, _ in fresh], np.int64) & (NEEDED_BITS - 1)
+            hit = (marked[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1)
+            kept = [fresh[k] for k in np.nonzero(hit)[0].tolist()]
             if kept:
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([name[k] for name, _ in kept], pa.int64()) for k in (0, 1)), _longs([tokens.view(np.int64) for _, tokens in kept])],
-                    names=["k1", "k2", "tokens"],
+                    [
+                        *(pa.array([name[k] for name, _ in kept], pa.int64()) for k in (0, 1)),
+                        *(_longs([prefix(tokens, crowd, order) for _, tokens in kept]) for order in range(1, ORDERS)),
+                        _longs([tokens.view(np.int64) for _, tokens in kept]),
+                    ],
+                    names=["k1", "k2", *_OTHERS, "tokens"],
                 )
 
-    found = source.mapInArrow(wanted, "k1 long, k2 long, tokens array<long>")
-    once = found.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
-    return stage(once.join(needed, ["k1", "k2"]).select("rep", "tokens"), "sets")
+    found = source.mapInArrow(wanted, "k1 long, k2 long, " + "".join(f"{c} array<long>, " for c in _OTHERS) + "tokens array<long>")
+    once = found.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in found.columns[2:]))
+    return stage(once.join(needed, ["k1", "k2"]).select("rep", *_OTHERS, "tokens"), "sets")
+
+
+#: Columns of the prefixes under the orders after the first.
+_OTHERS = [f"p{k}" for k in range(1, ORDERS)]
 
 
 def _can_link(n: str, pos: str, other_n: str, other_pos: str) -> Column:
@@ -274,56 +287,57 @@ def _can_link(n: str, pos: str, other_n: str, other_pos: str) -> Column:
     return (a - i >= need) & (b - j >= need)
 
 
-def _compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (a, b): first the other orders' prefixes must meet, then the sets are compared."""
-    others = [f"p{k}" for k in range(1, ORDERS)]
-    left = reps.select(F.col("rep").alias("a"), *(F.col(c).alias(f"a_{c}") for c in others))
-    right = reps.select(F.col("rep").alias("b"), *(F.col(c).alias(f"b_{c}") for c in others))
-    meet = pairs.distinct().join(left, "a").join(right, "b")
-    for c in others:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs`` (a, b): the other orders' prefixes must meet too, then the sets are compared."""
+
+    def side(name: str, columns: list[str]) -> DataFrame:
+        return sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    meet = pairs.join(side("a", _OTHERS), "a").join(side("b", _OTHERS), "b")
+    for c in _OTHERS:
         meet = meet.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
     asked = stage(meet.select("a", "b"), "asked")
-    both = asked.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b"
-    )
-    shared = F.size(F.array_intersect("ta", "tb"))
-    linked = both.where(shared >= overlap_needed(F.size("ta"), F.size("tb")))
+    both = asked.join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    linked = both.where(shared >= overlap_needed(F.size("a_tokens"), F.size("b_tokens")))
     return stage(linked.select("a", "b"), "links")
 
 
-def links(reps: DataFrame, source: DataFrame) -> DataFrame:
+def links(reps: DataFrame, source: DataFrame, crowd: np.ndarray) -> DataFrame:
     """Links (a, b) that join all representatives which links reach; inside a component not every pair is listed."""
-    rows = reps.select("rep", "n", F.posexplode("p0").alias("pos", "token"))
-    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "rep", "n")).alias("centre"))
-    shared = stage(
-        rows.join(groups.where("members > 1").select("token", F.col("centre.rep").alias("c_rep"), F.col("centre.n").alias("c_n"), F.col("centre.pos").alias("c_pos")), "token"),
-        "shared",
-    )
-    sharing = shared.select("rep").distinct()
-    near = stage(reps.join(sharing, "rep"), "near")  # what may have a partner at all
-    sets = full_sets(source, near.select("rep", "k1", "k2"))
+    rows = reps.select("rep", "n", F.posexplode("first").alias("pos", "token"))
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    together = rows.join(several, "token")
+    centres = together.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("c"))
+    shared = stage(together.join(centres, "token").select("token", "rep", "n", "pos", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos")), "shared")
 
     star = shared.where((F.col("rep") != F.col("c_rep")) & _can_link("n", "pos", "c_n", "c_pos"))
-    first = _compared(star.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")), near, sets)
+    star = stage(star.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct(), "star")
+    names = reps.select("rep", "k1", "k2")
+    sets = full_sets(source, names.join(_ends(star), "rep"), crowd)
+    first = _compared(star, sets)
 
     known = stage(components(first), "known").withColumnRenamed("node", "rep")
     placed = shared.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_rows = stage(placed.join(mixed, "token"), "open")
     home = known.select(F.col("rep").alias("c_rep"), F.col("root").alias("c_root"))
-    outside = open_rows.join(home, "c_rep", "left").where(F.col("root") != F.coalesce("c_root", "c_rep"))
-    one = outside.select("token", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("root").alias("x_root"), "c_rep")
-    homes = open_rows.join(home, "c_rep", "left").select(
-        "token", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), F.col("root").alias("y_root"), (F.col("root") == F.coalesce("c_root", "c_rep")).alias("at_home")
-    )
+    split = placed.join(mixed, "token").join(home, "c_rep", "left").withColumn("at_home", F.col("root") == F.coalesce("c_root", "c_rep"))
+    split = stage(split.select("token", "rep", "n", "pos", "root", "c_rep", "at_home"), "split")
+    one = split.where("NOT at_home").select("token", "c_rep", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "root")))
+    other = split.select("token", "at_home", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "root")))
     # two outsiders meet once; a pair with the centre was compared above
-    cross = one.join(homes, "token").where(
-        (F.col("x_root") != F.col("y_root")) & (F.col("y") != F.col("c_rep")) & (F.col("at_home") | (F.col("x") < F.col("y"))) & _can_link("x_n", "x_pos", "y_n", "y_pos")
+    cross = one.join(other, "token").where(
+        (F.col("x_root") != F.col("y_root")) & (F.col("y_rep") != F.col("c_rep")) & (F.col("at_home") | (F.col("x_rep") < F.col("y_rep"))) & _can_link("x_n", "x_pos", "y_n", "y_pos")
     )
-    second = _compared(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), near, sets)
-    for table in (shared, open_rows):
+    cross = stage(cross.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), "cross")
+    for table in (shared, split):
         discard(table)
-    return first.union(second)
+    more = full_sets(source, names.join(_ends(cross), "rep").join(sets.select("rep"), "rep", "left_anti"), crowd)
+    return first.union(_compared(cross, sets.union(more)))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -331,8 +345,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     marks = stage(source.mapInArrow(_mark, _MARKS), "marks")
     of_docs = marks.where("slice IS NULL")
-    reps = representatives(source.select("text"), crowding(marks))
-    roots = stage(components(links(reps, source.select("text"))), "roots")
+    crowd = crowding(marks)
+    reps = representatives(source.select("text"), crowd)
+    roots = stage(components(links(reps, source.select("text"), crowd)), "roots")
     own = of_docs.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("count"))
     named = stage(own.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).join(roots.withColumnRenamed("node", "rep"), "rep", "left"), "named")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
