@@ -146,8 +146,28 @@ def reply_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return calls, results, conversations.sparkSession.createDataFrame(REPLY_SCHEMA, SCHEMA)
 
 
+def plain_messages(conversations: DataFrame) -> DataFrame:
+    """The turns that neither ask nor answer (system, other and null roles), in the columns of ``format_calls``.
+
+    ``line`` is the turn as canonical JSON; such a turn has no identifier and nothing to validate.
+    """
+    line = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
+    return conversations.where(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True))).select(
+        "conv_id",
+        F.lit(None).cast("string").alias("call_id"),
+        F.lit(None).cast("int").alias("nth"),
+        "turn",
+        F.lit(None).cast("long").alias("result_turn"),
+        F.lit(None).cast("int").alias("depth"),
+        F.lit(None).cast("string").alias("errors"),
+        F.lit(False).alias("valid"),
+        line.alias("line"),
+    )
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_calls(*reply_calls(read(spark, sf_dir, "conversations")))
+    conversations = read(spark, sf_dir, "conversations")
+    return format_calls(*reply_calls(conversations)).unionByName(plain_messages(conversations))
 
 
 QUERIES = {"op8_chat_formatting": op8_chat_formatting}
@@ -169,5 +189,9 @@ SELECT conv_id, call_id, CAST(1 AS INTEGER) AS nth, turn, result_turn, depth,
        || '"id":"' || call_id || '"' || CASE WHEN turn IS NULL THEN '' ELSE ',"name":"reply"' END
        || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' AS line
 FROM placed FULL JOIN results USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), turn, CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), FALSE,
+       '{' || concat_ws(',', '"content":' || to_json(text), '"role":' || to_json(role), '"turn":' || turn) || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 }

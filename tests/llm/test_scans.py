@@ -169,6 +169,23 @@ def test_chat(spark, schemas):
     assert json.loads(by[1, "z", 2, 6].line) == {"arguments": "no json", "id": "z", "name": "f", "result": 'q"\n'}
 
 
+def test_every_turn_has_its_place(spark):
+    """Each row of a conversation is a call, a result or a message of its own, whatever its role."""
+    turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, None, None), (1, 4, "tool", "t"), (2, 0, "assistant", "x"), (None, 0, "user", "u")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = chat.format_calls(*chat.reply_calls(df)).unionByName(chat.plain_messages(df)).collect()
+    placed = sorted(((r.conv_id, t) for r in found for t in (r.turn, r.result_turn) if t is not None), key=str)
+    assert placed == sorted(((c, t) for c, t, _, _ in turns), key=str)
+    lines = {(r.conv_id, r.turn): r.line for r in found}
+    assert lines[1, 0] == '{"content":"be \\"kind\\"","role":"system","turn":0}' and lines[1, 3] == '{"turn":3}' and lines[1, 4] == '{"content":"t","role":"tool","turn":4}'
+
+
+def test_query_covers_all_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    found = chat.op8_chat_formatting(spark, "/root/testdata/sf0.01").select("turn", "result_turn").collect()
+    assert sum((r.turn is not None) + (r.result_turn is not None) for r in found) == table.count()
+
+
 def test_chain_depths(spark):
     calls = spark.createDataFrame([(1, f"c{k}", [f"c{k - 1}"]) for k in range(200)], "conv_id long, call_id string, after array<string>")
     assert {r.call_id: r.depth for r in chat.depths(calls).collect()} == {f"c{k}": k for k in range(200)}
