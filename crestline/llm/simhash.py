@@ -245,15 +245,29 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _keyed_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        marks = np.fromiter(map(fingerprint, batch["text"]), np.int64, len(batch))
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "fp": marks})
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay.
+    """``docs`` with one row of each component: the smallest id, of equal ids the smallest digest of the text.
 
-    The texts are dealt by id once; repeated rows of the kept id are reduced to one in the same pass.
+    Rows without an id take part and come after all ids.  A row is known by its id and text, so an id that comes with
+    several texts loses none that nothing else duplicates.  Kept rows are dealt by that key once; repeated rows are
+    reduced to one in the same pass.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = next(name for name in ("row_key", *(f"row_key_{k}" for k in range(len(docs.columns) + 1))) if name not in docs.columns)
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), whole_text()))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), digest.alias("row_key"))
+    marks = stage(source.mapInPandas(_keyed_fingerprints, "doc_id long, row_key string, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
+    distinct = stage(marks.groupBy("fp").agg(first.alias("first")), "distinct")
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    best = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = best.select(F.col("first.row_key").alias(key))
+    return docs.withColumn(key, digest).join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

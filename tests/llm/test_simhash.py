@@ -44,7 +44,8 @@ def test_rows(docs, rows):
     assert Counter((r.doc_id, r.f, r.component_id) for r in found) == expected
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(least.values())) + Counter([None])
+    only_null = {r for (i, _), r in zip(rows, roots) if i is None} - least.keys()
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.values()) + Counter([None] * len(only_null))
 
 
 @pytest.mark.parametrize("leaf,sample", [(8192, 1 << 16), (40, 1 << 16), (15, 200)])
@@ -71,6 +72,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
+def test_one_row_of_each_component(spark):
+    """Repeated ids with different texts, copies without an id, and whole repeated rows."""
+    rows = [(1, "a long first text", 1), (1, "some other second text", 2), (2, "a long first text", 3), (None, "a long first text", 4)]
+    rows += [(None, "third one alone here", 5), (None, "third one alone here", 6), (7, "fourth text of its own", 7), (7, "fourth text of its own", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int").repartition(3)
+    kept = simhash.deduplicate(df)
+    assert kept.columns == ["doc_id", "text", "row_key"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted({(i, t) for i, t, _ in rows} - {(2, rows[0][1]), (None, rows[0][1])}, key=str)
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.deduplicate(empty).collect() == []
