@@ -66,6 +66,7 @@ class WordTokens:
         closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.closes = closes
         plain = [chr(c) for c in range(0x21, 0x2B0) if c not in (0x85, 0xA0, 0x130) and not 0x7F <= c < 0xA1]
+        plain = [c for c in plain if set(c.lower()) <= set(plain)]  # some lower cases lie outside
         letters = "".join(c for c in plain if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in plain if unicodedata.category(c)[0] == "N")
         self.odd = re.compile(f"[^ \\t\\n\\r{re.escape(''.join(plain))}]|<\\|")

@@ -70,3 +70,11 @@ def test_words_against_the_tokenizer(tokenizer):
 
 def test_empty(empty):
     assert packing.pack(empty).collect() == []
+
+
+def test_letters_whose_lower_case_lies_outside_latin(tokenizer):
+    """Every character below U+0300, alone and inside words, has the vocabulary's own ids."""
+    words = packing.tokens(packing.VOCABULARY)
+    texts = [t for c in map(chr, range(0x21, 0x300)) for t in (c, f"a{c}b {c}{c} x{c}")] + ["ȺȾ Ⱥlpha beȾa"]
+    for text, ids in zip(texts, words(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
