@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.config import GENOME_SIZES, CallOptions, main_chromosomes
-from crestline.functions.flags import usable_mate, usable_single
-from crestline.operators.reads import normal_name
+from crestline.functions.flags import usable_single
 from crestline.operators.sweep import coalesce_equal
 from crestline.plans.broad import call_broad
 from crestline.plans.model import fit, plot_script, with_fitted_fragment
-from crestline.plans.multi import MultiExperiment
+from crestline.plans.multi import MultiExperiment, PairedMultiExperiment
 from crestline.plans.narrow import Experiment, FragmentExperiment, call_narrow
 from crestline.session import build_session, stage
 from crestline.sources import bam, sam, sinks
@@ -99,21 +98,8 @@ def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return sam.read_sam(spark, path)
 
 
-def paired_fragments(records: DataFrame, sample: str) -> DataFrame:
-    """Fragments of proper pairs: the leftmost mate's position and the template length."""
-    flag = F.col("flag")
-    proper = usable_mate(flag) & (flag.bitwiseAND(F.lit(2)) != 0) & (F.col("tlen") > 0)
-    return records.where(proper).select(
-        F.lit(sample).alias("sample"),
-        normal_name(F.col("qname")).alias("read_id"),
-        F.col("rname").alias("chrom"),
-        "pos",
-        F.abs("tlen").cast("long").alias("span"),
-    )
-
-
 def library_shape(records: DataFrame) -> tuple[bool, int]:
-    """Whether the library is paired, and its mean read length."""
+    """Whether the library is paired, and its mean read length; a library without usable records is single-end."""
     row = records.where(usable_single(F.col("flag"))).agg(
         F.max(F.col("flag").bitwiseAND(F.lit(1))).alias("paired"), F.floor(F.avg(F.length("seq"))).alias("size")
     ).first()
@@ -125,8 +111,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     contigs, treat = load_alignments(spark, args.treatment)
     _, control = load_alignments(spark, args.control)
     paired, tag_size = library_shape(treat)
+    if library_shape(control)[0] != paired:
+        raise SystemExit("treatment and control must both be paired-end or both single-end")
     options = replace(options, tag_size=tag_size)
-    to_reads = paired_fragments if paired else sam.single_end_tags
+    to_reads = sam.paired_fragments if paired else sam.single_end_tags
     reads = to_reads(treat, "T").unionByName(to_reads(control, "C"))
     reads = stage(reads, "reads")
     contigs = stage(contigs, "contigs")
@@ -154,10 +142,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         for track in ("treat", "ctrl"):
             steps = coalesce_equal(experiment.signal.select("chrom", "start", "stop", track), ["chrom"], track)
             sinks.write_bedgraph(steps.where(F.col(track) > 0).withColumnRenamed(track, "value"), f"{out}_{track}_uniq_bdg")
-    if paired and experiment.totals["T"].multi:
-        log.warning("%d multi-mapped pairs: the multi-read pass is for single-end reads and is left out", experiment.totals["T"].multi)
-    elif experiment.totals["T"].multi:
-        multi = MultiExperiment(experiment)
+    if experiment.totals["T"].multi:
+        if paired:
+            mates = sam.paired_mates(treat, "T").unionByName(sam.paired_mates(control, "C"))
+            multi: MultiExperiment = PairedMultiExperiment(experiment, stage(mates, "mates"))
+        else:
+            multi = MultiExperiment(experiment)
         sinks.write_lines(sinks.candidate_rows(multi.candidates), f"{out}_candidate_regions", sinks.CANDIDATE_HEADER)
         sinks.write_lines(sinks.multi_peak_rows(multi.rescored()), f"{out}_multiRead_peaks", sinks.MULTI_HEADER)
         if not args.no_wig:

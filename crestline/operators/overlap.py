@@ -48,6 +48,23 @@ def assign_first(tags: DataFrame, candidates: DataFrame, keys: Sequence[str]) ->
     return pairs.groupBy(*keys).agg(F.min("pid").alias("pid"))
 
 
+def moved_blocks(blocks: Column, strand: Column, by: int) -> Column:
+    """Blocks moved ``by`` bases in the direction of the strand, not before 0."""
+    step = F.when(strand == 0, F.lit(by)).otherwise(F.lit(-by))
+    edge = lambda x: F.greatest(x + step, F.lit(0))
+    return F.transform(blocks, lambda b: F.struct(edge(b["start"]).alias("start"), edge(b["stop"]).alias("stop")))
+
+
+def assign_first_block(tags: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Smallest candidate id that any of a tag's ``blocks`` overlaps; what lies in the gaps between them is no hit.
+
+    ``tags`` holds distinct ``keys``, among them chrom, with an array of closed intervals.
+    """
+    block = F.explode("blocks").alias("b")
+    single = tags.select(*keys, block).select(*keys, F.col("b.start").alias("l_start"), F.col("b.stop").alias("l_stop"))
+    return assign_first(single, candidates, keys)
+
+
 def count_overlaps(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Add ``n_overlap``: how many target intervals each query interval overlaps.
 

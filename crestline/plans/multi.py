@@ -8,11 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.functions.cigar import aligned_blocks, parse_cigar, reference_length
 from crestline.functions.stats import fold_enrichment, pscore, round_top
 from crestline.operators import em, scoring
 from crestline.operators.islands import middle_rows, region_bounds
 from crestline.operators.joins import lookup
-from crestline.operators.overlap import assign_first
+from crestline.operators.overlap import assign_first, assign_first_block, moved_blocks
+from crestline.operators.reads import zip_mates
 from crestline.operators.running import Run, running, tile_of
 from crestline.operators.sweep import coalesce_equal, sweep
 from crestline.plans.narrow import Experiment, islands_above, passing_pairs
@@ -54,27 +56,45 @@ class MultiExperiment:
     def candidates(self) -> DataFrame:
         return stage(candidate_regions(self.base), "candidates")
 
+    @cached_property
+    def place_keys(self) -> list[str]:
+        """What tells where a read lies: its tag position, and the CIGAR string where the reads carry one."""
+        return ["chrom", "strand", "pos"] + ["cigar"] * ("cigar" in self.base.reads.columns)
+
     @cached_property
     def placed_tags(self) -> DataFrame:
-        """Candidate of each distinct tag position that has one.
+        """Candidate of each distinct tag position (and CIGAR string) that has one.
 
-        The aligned block is moved half a fragment in the strand's direction.
+        The aligned block, or every block of a CIGAR string, is moved half a fragment in the strand's direction.
         Working on distinct positions keeps a pile of copies at one row.
         """
         half, tag = self.options.fragment // 2, self.options.tag_size
         plus, pos = F.col("strand") == 0, F.col("pos")
-        blocks = self.base.tracks.groupBy("chrom", "strand", "pos").agg(F.lit(1).alias("_x")).drop("_x")
-        blocks = blocks.withColumn("l_start", F.greatest(F.when(plus, pos + half).otherwise(pos - tag + 1 - half), F.lit(0)))
-        blocks = blocks.withColumn("l_stop", F.greatest(F.when(plus, pos + tag - 1 + half).otherwise(pos - half), F.lit(0)))
-        first = assign_first(blocks, self.candidates, ["chrom", "strand", "pos"])
+        if "cigar" in self.place_keys:
+            cigar = parse_cigar(F.col("cigar"))
+            blocks = aligned_blocks(F.when(plus, pos).otherwise(pos - reference_length(cigar)), cigar)
+            sites = self.base.reads.groupBy(*self.place_keys).agg(F.lit(1).alias("_x")).drop("_x")
+            first = assign_first_block(sites.withColumn("blocks", moved_blocks(blocks, F.col("strand"), half)), self.candidates, self.place_keys)
+        else:
+            sites = self.base.tracks.groupBy(*self.place_keys).agg(F.lit(1).alias("_x")).drop("_x")
+            sites = sites.withColumn("l_start", F.greatest(F.when(plus, pos + half).otherwise(pos - tag + 1 - half), F.lit(0)))
+            sites = sites.withColumn("l_stop", F.greatest(F.when(plus, pos + tag - 1 + half).otherwise(pos - half), F.lit(0)))
+            first = assign_first(sites, self.candidates, self.place_keys)
         begin = F.greatest(F.when(plus, pos).otherwise(pos - self.options.fragment), F.lit(0))
         return stage(first.withColumn("frag_start", begin), "placed")
 
+    @cached_property
+    def unique_tags(self) -> DataFrame:
+        """Unique reads per sample and place, ``n_unique`` each."""
+        if "cigar" not in self.place_keys:
+            return self.base.tracks.where("n_unique > 0")
+        lone = self.base.reads.groupBy("sample", "read_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*self.place_keys)).alias("tag")).where("n = 1")
+        return lone.groupBy("sample", *[f"tag.{c}" for c in self.place_keys]).agg(F.count(F.lit(1)).alias("n_unique"))
+
     @cached_property
     def unique_positions(self) -> DataFrame:
         """Unique reads per candidate and fragment start, duplicates included."""
-        tags = self.base.tracks.where("n_unique > 0")
-        joined = tags.join(self.placed_tags, ["chrom", "strand", "pos"])
+        joined = self.unique_tags.join(self.placed_tags, self.place_keys)
         return joined.groupBy("sample", "pid", "frag_start").agg(F.sum("n_unique").alias("n"))
 
     @cached_property
@@ -83,10 +103,13 @@ class MultiExperiment:
 
     @cached_property
     def multi_alignments(self) -> DataFrame:
-        """Alignments of multi-mapped reads that fall in a candidate."""
+        """Alignments of multi-mapped reads that fall in a candidate.
+
+        The reads are narrowed to multi-mapped ones on the partitioning that counted them, before any look-up.
+        """
         keep = self.base.per_read.where("n_align > 1").select("sample", "read_id")
-        inside = lookup(self.base.reads, self.placed_tags, ["chrom", "strand", "pos"])
-        inside = inside.join(keep, ["sample", "read_id"], "left_semi")
+        several = self.base.reads.join(keep, ["sample", "read_id"], "left_semi")
+        inside = lookup(several, self.placed_tags, self.place_keys)
         return stage(inside.select("sample", "read_id", "pid", "frag_start"), "multi")
 
     @cached_property
@@ -203,6 +226,62 @@ class MultiExperiment:
         return merge_overlapping(peaks) if self.options.merge_overlaps else peaks
 
 
+class PairedMultiExperiment(MultiExperiment):
+    """Distribution of the pairs of a paired-end run.
+
+    ``mates`` has an alignment per row: sample, read_id, mate (1 or 2), chrom, strand, start, cigar and lead, the leftmost
+    position of its template.  The k-th alignment of mate 1 goes with the k-th of mate 2; what is left over of either
+    stands alone.  Such an alternative lies in the region that either mate hits.  Alternatives on two chromosomes, or in
+    two regions, are left out.  A pair is multi-mapped if either mate has several alignments.
+    """
+
+    def __init__(self, base: Experiment, mates: DataFrame):
+        super().__init__(base)
+        self.mates = mates
+
+    @cached_property
+    def placed_mates(self) -> DataFrame:
+        """Region of each distinct mate position and CIGAR string that has one."""
+        keys, cigar = ["chrom", "strand", "start", "cigar"], parse_cigar(F.col("cigar"))
+        sites = self.mates.groupBy(*keys).agg(F.lit(1).alias("_x")).drop("_x")
+        blocks = moved_blocks(aligned_blocks(F.col("start"), cigar), F.col("strand"), self.options.fragment // 2)
+        return stage(assign_first_block(sites.withColumn("blocks", blocks), self.candidates, keys), "placed_mates")
+
+    @cached_property
+    def alternatives(self) -> DataFrame:
+        """(sample, read_id, rn, multi, pid, frag_start) of every alternative that lies in one region."""
+        keys = ["chrom", "strand", "start", "cigar"]
+        placed = self.mates.join(self.placed_mates, keys, "left")
+        placed = placed.withColumn("stop", F.col("start") + reference_length(parse_cigar(F.col("cigar"))))
+        zipped = zip_mates(placed, ["sample", "read_id"], ["chrom", "lead", "start", "strand", "cigar"], ["chrom", "strand", "start", "stop", "pid"])
+        zipped = stage(zipped, "zipped")
+        several = zipped.where("rn = 2").select("sample", "read_id", F.lit(True).alias("multi"))  # once a read at most
+        apart = (F.col("chrom_1") != F.col("chrom_2")) | (F.col("pid_1") != F.col("pid_2"))
+        kept = zipped.where(~F.coalesce(apart, F.lit(False)) & F.coalesce("pid_1", "pid_2").isNotNull())
+        forward = F.least(*[F.when(F.col(f"strand_{k}") == 0, F.col(f"start_{k}")) for k in (1, 2)])
+        begin = F.coalesce(forward, F.greatest("stop_1", "stop_2") - self.options.fragment)
+        joined = kept.join(several, ["sample", "read_id"], "left")
+        return stage(
+            joined.select(
+                "sample",
+                "read_id",
+                "rn",
+                F.coalesce("multi", F.lit(False)).alias("multi"),
+                F.coalesce("pid_1", "pid_2").alias("pid"),
+                F.greatest(begin, F.lit(0)).alias("frag_start"),
+            ),
+            "alternatives",
+        )
+
+    @cached_property
+    def unique_positions(self) -> DataFrame:
+        return self.alternatives.where("NOT multi").groupBy("sample", "pid", "frag_start").agg(F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def multi_alignments(self) -> DataFrame:
+        return self.alternatives.where("multi").select("sample", "read_id", "pid", "frag_start")
+
+
 def merge_overlapping(peaks: DataFrame) -> DataFrame:
     """Join overlapping multi-read peaks: sums of tags, best fold and score.
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions.cigar import cigar_text, five_prime, parse_cigar
-from crestline.functions.flags import usable_single
+from crestline.functions.flags import has, usable_mate, usable_single
+from crestline.operators.reads import normal_name
 
 
 def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -131,4 +132,34 @@ def single_end_tags(alignments: DataFrame, sample: str) -> DataFrame:
         F.col("rname").alias("chrom"),
         F.when(F.col("flag").bitwiseAND(F.lit(16)) == 0, 0).otherwise(1).alias("strand"),
         five_prime(F.col("flag"), F.col("pos"), F.col("cigar")).alias("pos"),
+        cigar_text(F.col("cigar")).alias("cigar"),
+    )
+
+
+def paired_fragments(alignments: DataFrame, sample: str) -> DataFrame:
+    """Fragments of proper pairs: the leftmost mate's position and the template length."""
+    flag = F.col("flag")
+    proper = usable_mate(flag) & has(flag, "PROPER_PAIR") & (F.col("tlen") > 0)
+    return alignments.where(proper).select(
+        F.lit(sample).alias("sample"),
+        normal_name(F.col("qname")).alias("read_id"),
+        F.col("rname").alias("chrom"),
+        "pos",
+        F.abs("tlen").cast("long").alias("span"),
+    )
+
+
+def paired_mates(alignments: DataFrame, sample: str) -> DataFrame:
+    """Every usable alignment of a paired-end library with the leftmost position of its template."""
+    pos, other = F.col("pos").cast("long"), F.col("pnext").cast("long")
+    near = F.col("rnext").isin("=") | (F.col("rnext") == F.col("rname"))
+    return alignments.where(usable_mate(F.col("flag"))).select(
+        F.lit(sample).alias("sample"),
+        normal_name(F.col("qname")).alias("read_id"),
+        F.when(has(F.col("flag"), "READ2"), 2).otherwise(1).alias("mate"),
+        F.col("rname").alias("chrom"),
+        F.when(has(F.col("flag"), "REVERSE"), 1).otherwise(0).alias("strand"),
+        pos.alias("start"),
+        cigar_text(F.col("cigar")).alias("cigar"),
+        F.when(near & (other >= 0), F.least(pos, other)).otherwise(pos).alias("lead"),
     )

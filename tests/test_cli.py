@@ -99,7 +99,14 @@ def test_paired_run_with_long_templates(spark, tmp_path, caplog):
     with caplog.at_level("WARNING"):
         cli.main(["narrow", "-t", treat, "-c", control, "-o", out, "-n", "run", "-g", "400000", "--no-wig", "--auto"])
     assert spark.read.csv(f"{out}/run_uniqpeaks_xls", sep="\t", header=True).count() >= 2
-    assert "left out" in caplog.text and "no model is fitted" in caplog.text
+    assert "left out" not in caplog.text and "no model is fitted" in caplog.text
+    multi = spark.read.csv(f"{out}/run_multiRead_peaks", sep="\t", header=True)
+    found = {(r.chrom, c) for r in multi.collect() for c in (40000, 120000) if int(r.start) < c < int(r["end"])}
+    assert found == {(f"chr{k}", c) for k in (1, 2) for c in (40000, 120000)}
+    single = str(tmp_path / "s.sam")
+    write_sam(single, 2, [], 300)
+    with pytest.raises(SystemExit, match="both"):
+        cli.main(["narrow", "-t", treat, "-c", single, "-o", out, "-n", "x", "-g", "400000"])
 
 
 @pytest.mark.parametrize("value", ["12", "", "0", "x"])
