@@ -3,7 +3,8 @@
 Every token order puts tokens of crowded count buckets last and breaks ties by its own hash.  Two sets that are similar
 enough share one of their first tokens (their prefix) under *each* order.  Candidates come from shared prefix tokens of
 the first order, with the bounds on sizes and positions; they must also share a prefix token under every other order;
-only then are the sets compared, exactly.
+only then are the sets compared, exactly.  Before a pair asks for whole sets, parity sketches of fixed size must differ
+in no more bits than linked sets can differ in tokens, which spares nothing but pairs that cannot link.
 
 Equal sets are one representative from the start.  Inside a group that shares a prefix token, everyone is first compared
 with the group's most central member (the one with fewest rare tokens before the shared one); then members that are
@@ -37,8 +38,12 @@ NUMERATOR, DENOMINATOR = 90, 100
 #: Token orders whose prefix filters are intersected.
 ORDERS = 3
 #: Buckets of the count table, and of the table's slices that one row carries.
-BUCKETS = 1 << 20
-SLICE = 1 << 13
+BUCKETS = 1 << 23
+SLICE = 1 << 16
+#: Classes of crowding for each doubling of a bucket's count; 8 bits hold all of them.
+FINENESS = 4
+#: Bits of the parity sketch of a set.
+PARITY = 512
 #: Bits of the bitmap that says whose sets are needed.
 NEEDED_BITS = 1 << 23
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
@@ -121,7 +126,16 @@ def bucket_of(tokens: np.ndarray) -> np.ndarray:
 
 def in_order(tokens: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
     """The place of each token in one of the global orders: crowding first, then the order's own hash."""
-    return (crowd[bucket_of(tokens)].astype(np.uint64) << np.uint64(58)) | (mix(tokens ^ _SALT[order]) >> np.uint64(6))
+    return (crowd[bucket_of(tokens)].astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ _SALT[order]) >> np.uint64(8))
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of ``PARITY`` hash values: whether an odd number of tokens has it.
+
+    Two sets' sketches differ in no more bits than the sets differ in tokens.
+    """
+    seen = np.bincount((mix(tokens ^ _FACTOR[2]) & np.uint64(PARITY - 1)).astype(np.intp), minlength=PARITY) & 1
+    return np.packbits(seen.astype(np.uint8)).view(np.int64)
 
 
 def prefix(tokens: np.ndarray, crowd: np.ndarray, order: int) -> np.ndarray:
@@ -147,7 +161,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(tokens), *digest(tokens)))
             found.append(tokens)
             held += len(tokens)
-            if held >= BUCKETS:
+            if held >= BUCKETS:  # as many tokens as a pass over the counts costs
                 counts += np.bincount(bucket_of(np.concatenate(found)), minlength=BUCKETS)
                 found, held = [], 0
         if not rows:
@@ -181,25 +195,36 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, data in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
             total[k] = total[k] + _unpacked(data) if k in total else _unpacked(data)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary())], names=["slice", "counts"]
-    )
+    return total
+
+
+def _slices(rows: dict[int, bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.binary())], names=["slice", "counts"])
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _slices({k: _packed(x) for k, x in _summed(batches).items()})
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _slices({k: np.minimum(FINENESS * np.log2(x + 1), 255).astype(np.uint8).tobytes() for k, x in _summed(batches).items()})
 
 
 def crowding(marks: DataFrame) -> np.ndarray:
-    """Bit length of the count of every bucket: a byte each, ``BUCKETS`` in all, whatever the input."""
+    """The class of every bucket by its count: a byte each, ``BUCKETS`` in all, whatever the input."""
+    form = "slice int, counts binary"
     slices = marks.where("slice IS NOT NULL")
     dealt = slices.select("slice", "counts", F.pmod("part", F.lit(64)).alias("deal")).repartition("slice", "deal").select("slice", "counts")
-    some = dealt.mapInArrow(_sum_counts, "slice int, counts binary").repartition("slice")
-    crowd = np.zeros(BUCKETS, np.int64)
-    for row in some.mapInArrow(_sum_counts, "slice int, counts binary").toLocalIterator():
-        crowd[row.slice * SLICE : (row.slice + 1) * SLICE] += _unpacked(bytes(row.counts))
-    return np.ceil(np.log2(crowd + 1)).astype(np.uint8)
+    some = dealt.mapInArrow(_sum_counts, form).repartition("slice")
+    crowd = np.zeros(BUCKETS, np.uint8)
+    for row in some.mapInArrow(_classes, form).toLocalIterator():
+        crowd[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.uint8)
+    return crowd
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[tuple[int, int], np.ndarray]]]:
@@ -220,7 +245,7 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
 
 
 def representatives(source: DataFrame, crowd: np.ndarray) -> DataFrame:
-    """A row per distinct set: rep, k1, k2, n and ``first``, its prefix under the first order."""
+    """A row per distinct set: rep, k1, k2, n, ``first`` (its prefix under the first order) and its parity sketch."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fresh in _each_set(batches):
@@ -229,12 +254,13 @@ def representatives(source: DataFrame, crowd: np.ndarray) -> DataFrame:
                     *(pa.array([name[k] for name, _ in fresh], pa.int64()) for k in (0, 1)),
                     pa.array([len(tokens) for _, tokens in fresh], pa.int64()),
                     _longs([prefix(tokens, crowd, 0) for _, tokens in fresh]),
+                    _longs([parity(tokens) for _, tokens in fresh]),
                 ],
-                names=["k1", "k2", "n", "first"],
+                names=["k1", "k2", "n", "first", "parity"],
             )
 
-    found = source.mapInArrow(first, "k1 long, k2 long, n long, first array<long>")
-    once = found.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    found = source.mapInArrow(first, "k1 long, k2 long, n long, first array<long>, parity array<long>")
+    once = found.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in found.columns[2:]))
     # the number is fixed by being written
     return stage(once.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
@@ -291,6 +317,19 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
+def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose parity sketches differ in no more bits than linked sets can."""
+
+    def side(name: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
+
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    bits = F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    size = F.col("a_n") + F.col("b_n")
+    return both.where(apart <= size - 2 * overlap_needed(F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b): the other orders' prefixes must meet too, then the sets are compared."""
 
@@ -316,7 +355,7 @@ def links(reps: DataFrame, source: DataFrame, crowd: np.ndarray) -> DataFrame:
     shared = stage(together.join(centres, "token").select("token", "rep", "n", "pos", F.col("c.rep").alias("c_rep"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos")), "shared")
 
     star = shared.where((F.col("rep") != F.col("c_rep")) & _can_link("n", "pos", "c_n", "c_pos"))
-    star = stage(star.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct(), "star")
+    star = stage(_close(star.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")), reps), "star")
     names = reps.select("rep", "k1", "k2")
     sets = full_sets(source, names.join(_ends(star), "rep"), crowd)
     first = _compared(star, sets)
@@ -333,7 +372,7 @@ def links(reps: DataFrame, source: DataFrame, crowd: np.ndarray) -> DataFrame:
     cross = one.join(other, "token").where(
         (F.col("x_root") != F.col("y_root")) & (F.col("y_rep") != F.col("c_rep")) & (F.col("at_home") | (F.col("x_rep") < F.col("y_rep"))) & _can_link("x_n", "x_pos", "y_n", "y_pos")
     )
-    cross = stage(cross.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), "cross")
+    cross = stage(_close(cross.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")), reps), "cross")
     for table in (shared, split):
         discard(table)
     more = full_sets(source, names.join(_ends(cross), "rep").join(sets.select("rep"), "rep", "left_anti"), crowd)

@@ -100,6 +100,8 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[lost:]], rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
             shared = len(np.intersect1d(a, b))
             if len(b) and 100 * shared >= 90 * (len(a) + len(b) - shared):
+                apart = np.bitwise_count(ngram_join.parity(a).view(np.uint64) ^ ngram_join.parity(b).view(np.uint64)).sum()
+                assert apart <= len(a) + len(b) - 2 * shared
                 for order in range(ngram_join.ORDERS):
                     assert len(np.intersect1d(ngram_join.prefix(a, crowd, order), ngram_join.prefix(b, crowd, order)))
 
