@@ -39,13 +39,15 @@ NUMERATOR, DENOMINATOR = 90, 100
 ORDERS = 3
 #: Buckets of the count table, and of the table's slices that one row carries.
 BUCKETS = 1 << 23
-SLICE = 1 << 16
+SLICE = 1 << 13
 #: Classes of crowding for each doubling of a bucket's count; 8 bits hold all of them.
 FINENESS = 4
 #: Bits of the parity sketch of a set.
 PARITY = 512
 #: Bits of the bitmap that says whose sets are needed.
 NEEDED_BITS = 1 << 23
+#: Rows whose sets a task holds at once.
+ROWS = 512
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 1 << 19
 
@@ -148,39 +150,47 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-_MARKS = "doc_id long, n long, k1 long, k2 long, slice int, part long, counts binary"
+_MARKS = "doc_id long, n long, k1 long, k2 long, slice int, counts binary"
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (its set's size and name), then the token counts of the task, a slice a row."""
-    counts = np.zeros(BUCKETS, np.int64)
-    part = 0
-    for batch in batches:
-        rows, found, held = [], [], 0
+    names = ["doc_id", "n", "k1", "k2", "slice", "counts"]
+    counts = np.zeros(BUCKETS, np.uint32)
+    found, held = [], 0
+
+    def count() -> None:
+        nonlocal held
+        if found:
+            buckets, times = np.unique(bucket_of(np.concatenate(found)), return_counts=True)
+            counts[buckets] += times.astype(np.uint32)
+        found.clear()
+        held = 0
+
+    for batch in _small(batches):
+        rows = []
         for tokens in shingle_sets(_texts(batch)):
             rows.append((len(tokens), *digest(tokens)))
             found.append(tokens)
             held += len(tokens)
-            if held >= BUCKETS:  # as many tokens as a pass over the counts costs
-                counts += np.bincount(bucket_of(np.concatenate(found)), minlength=BUCKETS)
-                found, held = [], 0
-        if not rows:
-            continue
-        if found:
-            counts += np.bincount(bucket_of(np.concatenate(found)), minlength=BUCKETS)
-        part ^= rows[0][1]
+            if held >= CHUNK:
+                count()
         n, k1, k2 = zip(*rows)
-        empty = [None] * len(rows)
+        none = [None] * len(rows)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(empty, pa.int32()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary())],
-            names=["doc_id", "n", "k1", "k2", "slice", "part", "counts"],
+            [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names
         )
+    count()
     slices = [k for k in range(BUCKETS // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
     none = pa.array([None] * len(slices), pa.int64())
-    yield pa.RecordBatch.from_arrays(
-        [none, none, none, none, pa.array(slices, pa.int32()), pa.array([part & 0x7FFFFFFF] * len(slices), pa.int64()), pa.array([_packed(counts[k * SLICE : (k + 1) * SLICE]) for k in slices], pa.binary())],
-        names=["doc_id", "n", "k1", "k2", "slice", "part", "counts"],
-    )
+    packed = pa.array([_packed(counts[k * SLICE : (k + 1) * SLICE]) for k in slices], pa.binary())
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slices, pa.int32()), packed], names=names)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -207,22 +217,18 @@ def _slices(rows: dict[int, bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.binary())], names=["slice", "counts"])
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield _slices({k: _packed(x) for k, x in _summed(batches).items()})
-
-
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _slices({k: np.minimum(FINENESS * np.log2(x + 1), 255).astype(np.uint8).tobytes() for k, x in _summed(batches).items()})
 
 
 def crowding(marks: DataFrame) -> np.ndarray:
-    """The class of every bucket by its count: a byte each, ``BUCKETS`` in all, whatever the input."""
-    form = "slice int, counts binary"
-    slices = marks.where("slice IS NOT NULL")
-    dealt = slices.select("slice", "counts", F.pmod("part", F.lit(64)).alias("deal")).repartition("slice", "deal").select("slice", "counts")
-    some = dealt.mapInArrow(_sum_counts, form).repartition("slice")
+    """The class of every bucket by its count: a byte each, ``BUCKETS`` in all, whatever the input.
+
+    A task adds up the rows of its slices as they come and holds one sum for each.
+    """
+    slices = marks.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
     crowd = np.zeros(BUCKETS, np.uint8)
-    for row in some.mapInArrow(_classes, form).toLocalIterator():
+    for row in slices.mapInArrow(_classes, "slice int, counts binary").toLocalIterator():
         crowd[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.uint8)
     return crowd
 
@@ -230,7 +236,7 @@ def crowding(marks: DataFrame) -> np.ndarray:
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[tuple[int, int], np.ndarray]]]:
     """Sets by name, batch by batch, each name once a task; empty sets left out."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in _small(batches):
         fresh = []
         for tokens in shingle_sets(_texts(batch)):
             if len(tokens) and (name := digest(tokens)) not in seen:
