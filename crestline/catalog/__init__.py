@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.catalog import alignments, library, model, multi, paired, peaks, tracks
+from crestline.catalog import alignments, calls, library, model, multi, paired, peaks, tracks
 from crestline.catalog.common import reset
 
-MODULES = (tracks, peaks, multi, paired, alignments, library, model)
+MODULES = (tracks, peaks, multi, paired, alignments, library, calls, model)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

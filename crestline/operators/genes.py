@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,41 @@ def merge_exons(exons: DataFrame) -> DataFrame:
     return merged.where("inside > 0").select(*_KEYS, "start", (F.col("stop") - 1).alias("stop"))
 
 
+def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stretches of ``left`` that no interval of ``right`` covers, per key, as closed intervals.
+
+    Both are layers of one sweep; a stretch counts where the first layer is there and the second is not.
+    """
+    keys = list(keys)
+
+    def ends(rows: DataFrame, layer: str) -> DataFrame:
+        parts = [F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).cast("long").alias("d"))]
+        e = rows.select(*keys, F.explode(F.array(*parts)).alias("e"))
+        return e.select(*keys, "e.pos", *[(F.col("e.d") if c == layer else F.lit(None).cast("long")).alias(c) for c in ("a", "b")])
+
+    layers = sweep(ends(left, "a").unionByName(ends(right, "b")), keys, ["a", "b"], common=False)
+    inside = layers.withColumn("inside", ((F.col("a") > 0) & (F.col("b") == 0)).cast("double"))
+    joined = coalesce_equal(inside.select(*keys, "start", "stop", "inside"), keys, "inside")
+    return joined.where("inside > 0").select(*keys, "start", (F.col("stop") - 1).alias("stop"))
+
+
+def untranslated(exons: DataFrame, cds: DataFrame, stop_codons: DataFrame) -> DataFrame:
+    """UTR5 and UTR3 of each gene: its exons outside the coding span, named by side and strand.
+
+    The span goes from the first coding base to the end of the stop codon in the gene's direction.  A gene without a
+    stop codon is not translated: its exons are UTR5 on the plus strand and UTR3 on the minus strand.
+    """
+    coding = cds.groupBy(*_KEYS).agg(F.min("start").alias("c_start"), F.max("stop").alias("c_stop"))
+    ends = stop_codons.groupBy(*_KEYS).agg(F.min("start").alias("s_start"), F.max("stop").alias("s_stop"))
+    plus = F.col("strand") == 0
+    start = F.when(plus, F.coalesce("c_start", "s_start")).otherwise(F.col("s_start"))
+    stop = F.when(plus, F.col("s_stop")).otherwise(F.coalesce("c_stop", "s_stop"))
+    spans = ends.join(coding, _KEYS, "left").select(*_KEYS, start.alias("start"), stop.alias("stop"))
+    outside = subtract(exons, spans, _KEYS).join(spans.select(*_KEYS, F.col("start").alias("from")), _KEYS, "left")
+    before = F.coalesce(F.col("start") < F.col("from"), F.lit(True))
+    return outside.select(*_KEYS, F.when(before == plus, "UTR5").otherwise("UTR3").alias("type"), "start", "stop")
+
+
 def introns(exons: DataFrame) -> DataFrame:
     """Gaps between a gene's exons, as closed intervals."""
     bounds = exons.groupBy(*_KEYS).agg(F.min("start").alias("gene_start"))
