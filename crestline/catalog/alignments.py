@@ -13,6 +13,7 @@ from crestline.catalog.common import q4, r4, with_parts
 from crestline.functions import cigar as cg
 from crestline.functions import flags as fl
 from crestline.operators.base_depth import base_depth, cap_starts, mate_overlap
+from crestline.operators import pile
 from crestline.operators.reads import normal_name, proper_pairs, zip_mates
 from crestline.session import staging_root
 from crestline.sources import bam, sam
@@ -196,6 +197,40 @@ def mates_shared(spark: SparkSession, sf: str) -> DataFrame:
     return mate_overlap(spans)
 
 
+def pile_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """What the reads show at each position, summed over the columns of the pile-up."""
+    rows = alignments(spark, sf).where(fl.usable_single(F.col("flag")))
+    shown = pile.pile_columns(rows.withColumnRenamed("rname", "chrom"), ["sample", "chrom"])
+    flags = [F.count(F.when(F.col(c), 1)).alias(c) for c in ("is_del", "is_skip", "is_head", "is_tail")]
+    sums = [F.sum(c).alias(c) for c in ("qpos", "indel")]
+    return shown.groupBy("sample", "chrom", "at").agg(F.count(F.lit(1)).alias("n"), *sums, *flags)
+
+
+def quality_tweak(spark: SparkSession, sf: str) -> DataFrame:
+    """Bases that the two mates of a pair both show and the qualities they get."""
+    rows = alignments(spark, sf).where(fl.usable_mate(F.col("flag")))
+    rows = rows.select(
+        normal_name(F.col("qname")).alias("qname"),
+        F.col("rname").alias("chrom"),
+        F.xxhash64("qname", "flag", "rname", "pos", "seq").alias("rid"),
+        "pos",
+        "cigar",
+        "seq",
+        F.expr("transform(sequence(0, length(seq) - 1), i -> (i * 7 + mapq) % 41)").alias("quals"),
+        (F.col("tlen") / 4).cast("int").alias("tlen"),
+        fl.has(F.col("flag"), "PROPER_PAIR").alias("overlaps"),
+        F.col("flag"),
+    )
+    lone = rows.groupBy("qname", "chrom", "pos").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    return pile.mate_bases(rows.join(lone, ["qname", "chrom", "pos"], "left_semi"), ["qname", "chrom"]).select("qname", "chrom", "at", "qpos_a", "new_a", "qpos_b", "new_b")
+
+
+def live_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignments that a live pile of two hundred admits."""
+    rows = alignments(spark, sf).where(fl.usable_single(F.col("flag"))).select("sample", "rname", "pos", "cigar", "qname", "flag")
+    return pile.cap_live(rows, ["sample", "rname"], ["qname", "flag"], 200).groupBy("sample", "rname", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "p1_flag_filter": flag_filter,
     "p3_mate_filter": mate_filter,
@@ -214,6 +249,9 @@ QUERIES = {
     "g21_base_depth": depth,
     "o6_depth_cap": depth_cap,
     "j16_mate_overlap": mates_shared,
+    "g21_pile_columns": pile_columns,
+    "j16_quality_tweak": quality_tweak,
+    "o6_live_cap": live_cap,
 }
 
 AL = [("al", view_sql("alignments"))]
@@ -307,6 +345,50 @@ ORACLE = {
         "SELECT sample, chrom, pos, count(*) FILTER (op IN ('M', '=', 'X')) AS n_base, count(*) FILTER (op = 'D') AS n_del,"
         " count(*) FILTER (op = 'N') AS n_skip FROM cover GROUP BY ALL",
     ),
+    "g21_pile_columns": with_parts(
+        [
+            *_CIG,
+            (
+                "steps",
+                "SELECT *, lead(op) OVER w AS op2, lead(n) OVER w AS n2, pos + CAST(coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER b, 0) AS BIGINT) AS r0,"
+                " CAST(coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER b, 0) AS BIGINT) AS q0,"
+                " pos + sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER (PARTITION BY rid) - 1 AS tail FROM opt WHERE flag & 1540 = 0"
+                " WINDOW w AS (PARTITION BY rid ORDER BY i), b AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+            ),
+            ("cover", "SELECT *, unnest(range(r0, r0 + n)) AS p FROM steps WHERE op IN ('M', '=', 'X', 'D', 'N')"),
+        ],
+        "SELECT sample, rname AS chrom, p AS \"at\", count(*) AS n, CAST(sum(CASE WHEN op IN ('D', 'N') THEN q0 ELSE q0 + p - r0 END) AS BIGINT) AS qpos,"
+        " CAST(sum(CASE WHEN p <> r0 + n - 1 THEN 0 WHEN op2 = 'D' THEN -n2 WHEN op2 = 'I' THEN n2 ELSE 0 END) AS BIGINT) AS indel,"
+        " count(*) FILTER (op IN ('D', 'N')) AS is_del, count(*) FILTER (op = 'N') AS is_skip, count(*) FILTER (p = pos) AS is_head,"
+        " count(*) FILTER (p = tail) AS is_tail FROM cover GROUP BY ALL",
+    ),
+    "j16_quality_tweak": with_parts(
+        [
+            *_CIG,
+            (
+                "able",
+                f"SELECT rid, {_NAME} AS name, rname, pos, seq, mapq, tlen, flag FROM cig WHERE flag & 516 = 0"
+                f" QUALIFY count(*) OVER (PARTITION BY {_NAME}, rname, pos) = 1",
+            ),
+            (
+                "ranked",
+                "SELECT *, row_number() OVER (PARTITION BY name, rname ORDER BY pos) - 1 AS rn FROM able WHERE flag & 2 <> 0 AND abs(tlen) // 4 < 2 * length(seq)",
+            ),
+            (
+                "offs",
+                "SELECT rid, op, n, b_start, CAST(coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END)"
+                " OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS q0 FROM walk",
+            ),
+            (
+                "base",
+                "SELECT name, rname, rn // 2 AS pair, rn % 2 AS side, p, q0 + p - b_start AS qpos, substring(seq, CAST(q0 + p - b_start + 1 AS INT), 1) AS nt,"
+                " ((q0 + p - b_start) * 7 + mapq) % 41 AS q FROM (SELECT *, unnest(range(b_start, b_start + n)) AS p FROM offs JOIN ranked USING (rid) WHERE op IN ('M', '=', 'X'))",
+            ),
+        ],
+        "SELECT a.name AS qname, a.rname AS chrom, a.p AS \"at\", CAST(a.qpos AS INT) AS qpos_a, CAST(CASE WHEN a.nt = b.nt THEN least(a.q + b.q, 200) WHEN a.q >= b.q THEN a.q * 4 // 5 ELSE 0 END AS INT) AS new_a,"
+        " CAST(b.qpos AS INT) AS qpos_b, CAST(CASE WHEN a.nt = b.nt OR a.q >= b.q THEN 0 ELSE b.q * 4 // 5 END AS INT) AS new_b"
+        " FROM (SELECT * FROM base WHERE side = 0) a JOIN (SELECT * FROM base WHERE side = 1) b ON a.name = b.name AND a.rname = b.rname AND a.pair = b.pair AND a.p = b.p",
+    ),
     "o6_depth_cap": with_parts(AL, "SELECT sample, rname, pos, least(count(*), 3) AS n FROM al GROUP BY ALL"),
     "j16_mate_overlap": with_parts(
         [
