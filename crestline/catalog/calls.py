@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from crestline.catalog.common import r4, with_parts
 from crestline.catalog.library import _TYPES
 from crestline.operators import call_sets
 from crestline.operators import genes as gn
-from crestline.sources import vcf_header
+from crestline.session import staging_root
+from crestline.sources import tabbed, vcf_header
 from crestline.sources.text import parse_vcf
 
 
@@ -142,6 +145,18 @@ def utrs(spark: SparkSession, sf: str) -> DataFrame:
     return gn.untranslated(exons, cds, codon)
 
 
+RANGES = [("chr1", 1000, 60000), ("chr1", 50000, 70000), ("chr3", 100000, 150000)]
+
+
+def tabbed_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions written as tab-separated text, and those that overlap a few ranges read back by column roles."""
+    path = f"{staging_root(spark)}/tabbed-{uuid.uuid4().hex}"
+    view(spark, sf, "regions").select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("stop").cast("string"), F.col("payload").cast("string")).alias("value")).write.text(path)
+    roles = tabbed.PRESETS["bed"]
+    found = tabbed.in_regions(tabbed.read_tabbed(spark, path, roles, 4), roles, RANGES)
+    return found.select("chrom", "start", "stop", F.col("c4").cast("long").alias("payload"))
+
+
 QUERIES = {
     "j14_merge_indels": merge_indels,
     "j14_three_way": three_way,
@@ -151,6 +166,7 @@ QUERIES = {
     "p20_sample_subset": sample_subset,
     "j17_header_merge": header_merge,
     "w14_utrs": utrs,
+    "a11_tabbed_ranges": tabbed_ranges,
 }
 
 
@@ -226,6 +242,10 @@ ORACLE = {
         "SELECT kind, id, number_in, nullif(number, '') AS number, nullif(type, '') AS type, other_length, other_type, coalesce(n_moved, 0) AS n_moved"
         " FROM d JOIN n USING (space, id) LEFT JOIN m USING (space, id)",
     ),
+    "a11_tabbed_ranges": with_parts(
+        [("regions", view_sql("regions"))],
+        "SELECT chrom, start, stop, payload FROM regions WHERE " + " OR ".join(f"(chrom = '{c}' AND start < {b} AND stop > {a})" for c, a, b in RANGES),
+    ),
     "w14_utrs": with_parts(
         [
             ("exons", view_sql("exons")),
