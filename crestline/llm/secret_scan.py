@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions.let import let
-from crestline.llm.common import read, whole_text
+from crestline.llm.common import read, running_most, running_sums, whole_text
 
 # fixed values: the kinds in order, each with its pattern
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -35,6 +35,8 @@ SYMBOLS = 66
 #: Weight, in pairs, of a character's own frequency where its pair is rare.
 BACKOFF = 50
 MASK = "[SECRET]"
+#: Characters of a piece of a text from which stretches are read.
+PIECE = 2000
 
 
 def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -42,22 +44,14 @@ def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
 
     Texts between and inside matches have known lengths, so positions are their running sum.
     """
-    kept = keep or (lambda value: F.lit(True))
+    def placed(pieces: Column, values: Column) -> Column:
+        lengths = F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.length(p) + F.length(v))
+        spans = lambda stops: F.zip_with(values, stops, lambda v, stop: F.struct((stop - F.length(v)).alias("start"), F.lit(kind).alias("rank"), stop.alias("stop"), v.alias("value")))
+        found = let(running_sums(lengths), spans)
+        return F.filter(found, lambda s: keep(s["value"])) if keep else found
 
-    def walk(pieces: Column, values: Column) -> Column:
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.length(F.get(pieces, k))
-            value = F.get(values, k)
-            stop = start + F.length(value)
-            span = F.struct(start.alias("start"), F.lit(kind).alias("rank"), stop.alias("stop"), value.alias("value"))
-            return F.struct(stop.alias("at"), F.concat(state["spans"], F.when(kept(value), F.array(span)).otherwise(none)).alias("spans"))
-
-        none = F.array().cast(SPANS)
-        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), begin, step, lambda s: s["spans"])
-
-    both = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda v: walk(p, v)))
-    return F.when(text.rlike(pattern), both).otherwise(F.array().cast(SPANS))
+    both = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda v: placed(p, v)))
+    return F.when(text.rlike(pattern), both.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<start:int,rank:int,stop:int,value:string>>"
@@ -169,16 +163,21 @@ def redact(docs: DataFrame, model: Markov | None = None) -> DataFrame:
     model = model or Markov.train(docs)
 
     def cut(text: Column, spans: Column) -> Column:
-        def step(state: Column, s: Column) -> Column:
-            fresh = s["start"] >= state["at"]
-            between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-            return F.struct(
-                F.greatest(state["at"], s["stop"]).alias("at"),
-                F.when(fresh, F.concat(state["out"], between, F.lit(MASK))).otherwise(state["out"]).alias("out"),
-            )
-
-        rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+        """The text between the spans, joined with masks; a stretch is read from pieces of ``PIECE`` characters."""
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0), lambda pieces: masked(text, pieces, spans))
+
+    def masked(text: Column, pieces: Column, spans: Column) -> Column:
+        def stretch(start: Column, stop: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor(stop / PIECE).cast("int") - first + 1), "")
+            return F.substring(some, start - first * PIECE + 1, stop - start)
+
+        def joined(reach: Column) -> Column:
+            behind = lambda k: F.coalesce(F.get(reach, k - 1), F.lit(0))
+            before = F.transform(spans, lambda s, k: F.when(s["start"] >= behind(k), stretch(behind(k), s["start"])))
+            return F.concat(F.array_join(F.transform(F.array_compact(before), lambda x: F.concat(x, F.lit(MASK))), ""), stretch(F.element_at(reach, -1), F.length(text)))
+
+        return let(running_most(F.transform(spans, lambda s: s["stop"])), joined)
 
     columns, text = docs.columns, F.col("text")
     clean = let(_spans(whole_text(), model), lambda found: F.when(F.size(found["all"]) > 0, cut(text, found["all"])).otherwise(text))

@@ -1,13 +1,16 @@
 import hashlib
+import itertools
 import json
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from crestline.llm import chat, license_scan, quality_rules, secret_scan
+from crestline.llm import chat, common, license_scan, quality_rules, secret_scan
 
 from .conftest import prose
 
@@ -169,6 +172,32 @@ def test_chat(spark, schemas):
     assert json.loads(by[1, "z", 2, 6].line) == {"arguments": "no json", "id": "z", "name": "f", "result": 'q"\n'}
 
 
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(1)
+    lists = [[rng.randint(0, 50) for _ in range(n)] for n in (*range(12), 99, 100, 101, 2500)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    got = df.select("k", common.running_sums(F.col("x")).alias("s"), common.running_most(F.col("x")).alias("m")).collect()
+    assert {r.k: (r.s, r.m) for r in got} == {k: (list(itertools.accumulate(x)), list(itertools.accumulate(x, max))) for k, x in enumerate(lists)}
+
+
+def test_texts_of_very_many_secrets(spark):
+    """A hundred thousand matches in one text: all spans exact, masks too, in seconds."""
+    one = "token=ab12cd34 \u00fc \U0001f600 "
+    text = one * 100_000 + "password: " + "0123456789abcdef" * 3
+    df = spark.createDataFrame([(1, text), (2, None), (3, "x" * 5000 + " secret=abcdef" + "y" * 10)], "doc_id long, text string")
+    model = secret_scan.Markov({}, {})
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in secret_scan.scan(df, model).collect()}
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text)]
+    assert rows[1].n_assign == 100_001 and rows[1].n_hex == 1
+    listed = [tuple(map(int, x.split(":")[1:])) for x in rows[1].spans.split(",") if x.startswith("assign")]
+    assert listed == [(a, b) for a, _, b in spans]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df, model).collect()}
+    assert clean[1] == "[SECRET] \u00fc \U0001f600 " * 100_000 + "[SECRET]"
+    assert clean[2] is None and clean[3] == "x" * 5000 + " [SECRET]"
+    assert time.perf_counter() - began < 90
+
+
 def test_every_turn_has_its_place(spark):
     """Each row of a conversation is a call, a result or a message of its own, whatever its role."""
     turns = [(1, 0, "system", 'be "kind"'), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, None, None), (1, 4, "tool", "t"), (2, 0, "assistant", "x"), (None, 0, "user", "u")]
