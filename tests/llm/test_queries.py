@@ -29,8 +29,7 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_whole_table(spark, name):
-    table = "pages" if "html" in name else "documents"
-    key = "page_id" if "html" in name else "doc_id"
+    table, key = {"op10_html_extraction": ("pages", "page_id"), "op11_embedding_whitening": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     there = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
     got = {r[0] for r in QUERIES[name](spark, SF).select(key).collect()}
     assert got <= there if "decontamination" in name else got == there
