@@ -68,6 +68,7 @@ def variant_type(ref: Column, alt: Column) -> Column:
 
 def genotype_class(alleles: Column) -> Column:
     """Class of a genotype given allele numbers; negative ones are missing."""
+    # The names of the classes are those of the format's genotype types.
     known = F.filter(alleles, lambda x: x >= 0)
     alts = F.array_distinct(F.filter(known, lambda x: x > 0))
     has_ref = F.array_contains(known, 0)
