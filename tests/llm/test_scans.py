@@ -110,6 +110,7 @@ def test_licences(spark, docs, empty):
 
 
 def test_wrapped_licences(spark, docs):
+    # fixed values: the usual notices, wrapped as they come
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights"""
