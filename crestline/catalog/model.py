@@ -44,7 +44,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def correlation(spark: SparkSession, sf: str) -> DataFrame:
     scored = ops.cross_correlation(lines(spark, sf), bounds_of(experiment(spark, sf)))
-    return scored.select("lag", r4(F.col("corr") * 1000.0).alias("corr"), r4(F.col("smooth") * 1000.0).alias("smooth"))
+    # rounding goes through a long integer, which has no NaN
+    rounded = lambda c: F.when(F.isnan(c), F.col(c)).otherwise(r4(F.col(c) * 1000.0)).alias(c)
+    return scored.select("lag", rounded("corr"), rounded("smooth"))
 
 
 QUERIES = {

@@ -190,7 +190,8 @@ def model_lines(tags: DataFrame, centres: DataFrame, bounds: ModelBounds) -> Dat
 def cross_correlation(lines: DataFrame, bounds: ModelBounds) -> DataFrame:
     """Correlation of the minus line against the plus line for each lag, smoothed.
 
-    Works on two vectors of fixed length, held as arrays in one row.
+    Works on two vectors of fixed length, held as arrays in one row.  A line without any spread, as where no centre was
+    found, correlates with nothing: NaN.
     """
     size = 2 * bounds.peak_size + TAG_WIDTH + 1
     vector = lambda s: F.transform(
@@ -201,10 +202,11 @@ def cross_correlation(lines: DataFrame, bounds: ModelBounds) -> DataFrame:
     rows = rows.withColumns({"pm": mean(F.col("p")), "mm": mean(F.col("m"))})
     spread = lambda v, mu: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu)) / float(size))
     rows = rows.withColumns({"ps": spread(F.col("p"), F.col("pm")), "ms": spread(F.col("m"), F.col("mm"))})
+    scale = lambda s: F.when(F.col(s) > 0, F.col(s) * float(size)).otherwise(F.lit(float("nan")))
     rows = rows.withColumns(
         {
-            "p": F.transform("p", lambda x: (x - F.col("pm")) / (F.col("ps") * float(size))),
-            "m": F.transform("m", lambda x: (x - F.col("mm")) / (F.col("ms") * float(size))),
+            "p": F.transform("p", lambda x: (x - F.col("pm")) / scale("ps")),
+            "m": F.transform("m", lambda x: (x - F.col("mm")) / scale("ms")),
         }
     )
     reach = bounds.peak_size
