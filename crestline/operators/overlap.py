@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.operators.joins import lookup
-from crestline.operators.running import Run, running, tile_of
+from crestline.operators.running import Run, label_runs, running, tile_of
 
 BIN_BITS = 14
 
@@ -38,13 +38,44 @@ def overlap_join(
     return pairs.where(hit & (F.col("_bin") == first_shared)).drop("_bin")
 
 
-def assign_first(tags: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def first_cover(candidates: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Disjoint stretches with the smallest ``pid`` of the candidates that cover them, however densely these lie.
+
+    A candidate is cut into aligned stretches of 2^level bases, two of a level at most, and the smallest id of each
+    stretch is kept.  Between two neighbouring ends nothing changes, so the id there is the smallest of the stretches, one
+    a level, that the first base lies in.  Rows grow as the candidates times the levels; no pair of candidates is formed.
+    """
+    keys = list(keys)
+    cut = """filter(flatten(transform(sequence(0, 31), k -> transform(
+        array(struct(k, (start + shiftleft(1L, k) - 1) div shiftleft(1L, k) AS low, (stop + 1) div shiftleft(1L, k) AS high)),
+        x -> array(
+            if(x.low < x.high AND x.low % 2 = 1, struct(k AS level, x.low AS at), NULL),
+            if(x.low < x.high AND x.high % 2 = 1, struct(k AS level, x.high - 1 AS at), NULL)))[0])), y -> y IS NOT NULL)"""
+    single = candidates.groupBy(*keys, "start", "stop").agg(F.min("pid").alias("pid"))
+    pieces = single.select(*keys, "pid", F.explode(F.expr(cut)).alias("c")).groupBy(*keys, "c.level", "c.at").agg(F.min("pid").alias("pid"))
+    ends = single.select(*keys, F.explode(F.array("start", F.col("stop") + 1)).alias("pos")).distinct()
+    asked = ends.select(*keys, "pos", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("level"))
+    asked = asked.withColumn("at", F.expr("shiftright(pos, level)"))
+    found = lookup(asked, pieces, [*keys, "level", "at"], "left").groupBy(*keys, "pos").agg(F.min("pid").alias("pid"))
+    # one row an end, the stretch up to the next end; the last end of a key covers nothing
+    tiled = found.withColumn("_tile", tile_of("pos"))
+    steps = running(tiled, keys, ["_tile"], ["pos"], [Run("_next", "min", "pos")], descending=True)
+    steps = steps.where("pid IS NOT NULL").select(*keys, F.col("pos").alias("start"), (F.col("_next") - 1).alias("stop"), "pid")
+    apart = lambda before, now: (now["pid"] != before["pid"]) | (now["start"] != before["stop"] + 1)
+    named = label_runs(steps, keys, ["start", "stop", "pid"], apart)
+    merged = named.groupBy(*keys, "run").agg(F.max("stop").alias("stop"), F.min("pid").alias("pid"))
+    return merged.select(*keys, F.col("run").alias("start"), "stop", "pid")
+
+
+def assign_first(tags: DataFrame, candidates: DataFrame, keys: Sequence[str], disjoint: bool = False) -> DataFrame:
     """Smallest candidate id that each distinct tag block overlaps.
 
     ``tags`` holds distinct ``keys`` with l_start/l_stop; tags that overlap no
-    candidate are left out.
+    candidate are left out.  Candidates that may overlap, as any but ``disjoint``
+    ones, are first reduced to the smallest id at every base.
     """
-    pairs = overlap_join(tags, candidates.selectExpr("chrom", "start AS r_start", "stop AS r_stop", "pid"))
+    covers = candidates if disjoint else first_cover(candidates)
+    pairs = overlap_join(tags, covers.selectExpr("chrom", "start AS r_start", "stop AS r_stop", "pid"))
     return pairs.groupBy(*keys).agg(F.min("pid").alias("pid"))
 
 
@@ -55,14 +86,14 @@ def moved_blocks(blocks: Column, strand: Column, by: int) -> Column:
     return F.transform(blocks, lambda b: F.struct(edge(b["start"]).alias("start"), edge(b["stop"]).alias("stop")))
 
 
-def assign_first_block(tags: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def assign_first_block(tags: DataFrame, candidates: DataFrame, keys: Sequence[str], disjoint: bool = False) -> DataFrame:
     """Smallest candidate id that any of a tag's ``blocks`` overlaps; what lies in the gaps between them is no hit.
 
     ``tags`` holds distinct ``keys``, among them chrom, with an array of closed intervals.
     """
     block = F.explode("blocks").alias("b")
     single = tags.select(*keys, block).select(*keys, F.col("b.start").alias("l_start"), F.col("b.stop").alias("l_stop"))
-    return assign_first(single, candidates, keys)
+    return assign_first(single, candidates, keys, disjoint)
 
 
 def count_overlaps(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:

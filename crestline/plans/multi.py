@@ -74,12 +74,12 @@ class MultiExperiment:
             cigar = parse_cigar(F.col("cigar"))
             blocks = aligned_blocks(F.when(plus, pos).otherwise(pos - reference_length(cigar)), cigar)
             sites = self.base.reads.groupBy(*self.place_keys).agg(F.lit(1).alias("_x")).drop("_x")
-            first = assign_first_block(sites.withColumn("blocks", moved_blocks(blocks, F.col("strand"), half)), self.candidates, self.place_keys)
+            first = assign_first_block(sites.withColumn("blocks", moved_blocks(blocks, F.col("strand"), half)), self.candidates, self.place_keys, disjoint=True)
         else:
             sites = self.base.tracks.groupBy(*self.place_keys).agg(F.lit(1).alias("_x")).drop("_x")
             sites = sites.withColumn("l_start", F.greatest(F.when(plus, pos + half).otherwise(pos - tag + 1 - half), F.lit(0)))
             sites = sites.withColumn("l_stop", F.greatest(F.when(plus, pos + tag - 1 + half).otherwise(pos - half), F.lit(0)))
-            first = assign_first(sites, self.candidates, self.place_keys)
+            first = assign_first(sites, self.candidates, self.place_keys, disjoint=True)
         begin = F.greatest(F.when(plus, pos).otherwise(pos - self.options.fragment), F.lit(0))
         return stage(first.withColumn("frag_start", begin), "placed")
 
@@ -245,7 +245,7 @@ class PairedMultiExperiment(MultiExperiment):
         keys, cigar = ["chrom", "strand", "start", "cigar"], parse_cigar(F.col("cigar"))
         sites = self.mates.groupBy(*keys).agg(F.lit(1).alias("_x")).drop("_x")
         blocks = moved_blocks(aligned_blocks(F.col("start"), cigar), F.col("strand"), self.options.fragment // 2)
-        return stage(assign_first_block(sites.withColumn("blocks", blocks), self.candidates, keys), "placed_mates")
+        return stage(assign_first_block(sites.withColumn("blocks", blocks), self.candidates, keys, disjoint=True), "placed_mates")
 
     @cached_property
     def alternatives(self) -> DataFrame:

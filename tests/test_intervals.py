@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from crestline.functions.regions import parse_region, region_bin
-from crestline.operators.overlap import assign_first, containing, count_overlaps, not_overlapping, overlap_join, overlapping
+from crestline.operators.overlap import assign_first, containing, count_overlaps, first_cover, not_overlapping, overlap_join, overlapping
 
 
 def frame(spark, rows, names="chrom string, start long, stop long, id long"):
@@ -62,3 +62,20 @@ def test_region_text_and_bins(spark):
     assert [tuple(r.r) for r in df.collect()] == [t[1:] for t in texts]
     bins = spark.createDataFrame([(0, 1), (16384, 16385), (0, 16385), (0, 1 << 29)], "b long, e long")
     assert [r.x for r in bins.select(region_bin(F.col("b"), F.col("e")).alias("x")).collect()] == [4681, 4682, 585, 0]
+
+
+def test_first_of_dense_candidates_forms_no_pairs(spark):
+    rng = random.Random(3)
+    peaks = [("c", s, s + rng.choice([0, 1, 7, 90, 900, 70000]), i) for i, s in enumerate(rng.choices(range(66000), k=250))]
+    peaks += [("d", 10, 12, 5), ("d", 13, 20, 5), ("d", 22, 30, 4)]
+    asked = [("c", s, s + rng.choice([0, 30, 300]), i) for i, s in enumerate(rng.choices(range(66000), k=150))] + [("d", 21, 21, 900), ("d", 20, 22, 901)]
+    covers = first_cover(frame(spark, peaks, "chrom string, start long, stop long, pid long")).collect()
+    bases = {(r.chrom, r.start): r for r in covers}
+    assert len(bases) == len(covers) and sorted((r.start, r.stop, r.pid) for r in covers if r.chrom == "d") == [(10, 20, 5), (22, 30, 4)]
+    for r in covers:  # stretches hold the smallest id at either end, and none of them covers a base twice
+        for at in (r.start, r.stop):
+            assert r.pid == min(p[3] for p in peaks if p[0] == r.chrom and p[1] <= at <= p[2])
+    tags = frame(spark, asked).withColumnsRenamed({"start": "l_start", "stop": "l_stop", "id": "t"})
+    got = {r.t: r.pid for r in assign_first(tags, frame(spark, peaks, "chrom string, start long, stop long, pid long"), ["t"]).collect()}
+    hits = {t: [p[3] for p in peaks if p[0] == c and p[2] >= s and p[1] <= e] for c, s, e, t in asked}
+    assert got == {t: min(h) for t, h in hits.items() if h}
