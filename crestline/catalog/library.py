@@ -14,6 +14,7 @@ from crestline.operators import variants as vr
 from crestline.operators.overlap import count_overlaps, not_overlapping, overlap_join, overlapping
 from crestline.operators.running import position_in_group, tile_of
 from crestline.operators.tags import downsample, pile_tags
+from crestline.session import stage
 from crestline.sources import text as tx
 
 TAG = 50
@@ -203,7 +204,7 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def annotation(spark: SparkSession, sf: str) -> DataFrame:
-    exons = view(spark, sf, "exons")
+    exons = stage(view(spark, sf, "exons"), "exons")
     named = exons.select("gene", "chrom", "strand", "type", "start", "stop").distinct()
     other = gn.introns(exons).withColumn("type", F.lit("INTRON")).unionByName(gn.flanks(exons))
     blocks = pile_tags(view(spark, sf, "reads"), ["chrom", "strand", "pos"]).select(

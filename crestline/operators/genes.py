@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.operators.overlap import overlap_join
+from crestline.operators.overlap import bins_of
 from crestline.operators.running import Run, running, tile_of
 from crestline.operators.sweep import coalesce_equal, sweep
 from crestline.session import stage
@@ -17,6 +17,8 @@ FEATURE_TYPES = {"CDS": 1, "UTR5": 2, "UTR3": 3, "INTRON": 4, "ITGUP1K": 5, "ITG
 LAST_EXONIC = FEATURE_TYPES["UTR3"]
 FLANK = 1000
 _KEYS = ["gene", "chrom", "strand"]
+ANNOTATION_BITS = 9  # blocks and exons are short
+TARGETS_PER_TASK = 50_000
 
 
 def _coverage(exons: DataFrame) -> DataFrame:
@@ -125,18 +127,36 @@ def annotate(blocks: DataFrame, features: DataFrame) -> DataFrame:
 
     ``blocks`` holds distinct chrom, strand, l_start, l_stop; ``features`` has
     gene, chrom, strand, type, start, stop.
+
+    A block lies in the bin of its start, a feature in every bin whose blocks may reach it, so all hits of a block meet in
+    one place.  Genes are dealt to as many parts as there are features per block and every part gets the blocks, so both
+    sides have about the same size and no bin is hot.  A part sums up its pairs of block and gene where they were joined
+    and passes on its best genes only; the best over all parts are found among those.
     """
     numbers = F.create_map(*[x for name, i in FEATURE_TYPES.items() for x in (F.lit(name), F.lit(i))])
-    targets = features.select(
-        "chrom", "strand", "gene", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"), numbers[F.col("type")].alias("kind")
+    targets = stage(
+        features.select("chrom", "strand", "gene", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"), numbers[F.col("type")].alias("kind")),
+        "features",
     )
-    hits = overlap_join(blocks, targets, ["chrom", "strand"])
+    sites = stage(blocks, "blocks")
+    n_sites, reach = sites.agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("l_stop") - F.col("l_start")), F.lit(0))).first()
+    n_targets = targets.count()
+    parts, tasks = max(1, n_targets // max(1, n_sites)), max(1, n_targets // TARGETS_PER_TASK)
+    place = ["chrom", "strand", "_part", "_bin"]
+    left = sites.withColumn("_bin", F.shiftright("l_start", ANNOTATION_BITS)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = targets.withColumn("_bin", F.explode(bins_of(F.col("r_start") - reach, F.col("r_stop"), ANNOTATION_BITS)))
+    right = right.withColumn("_part", F.pmod(F.hash("gene"), F.lit(parts)))
+    pairs = right.repartition(tasks, *place).join(left.repartition(tasks, *place), place)
+    hits = pairs.where((F.col("l_stop") >= F.col("r_start")) & (F.col("l_start") <= F.col("r_stop")))
     shared = F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start") + 1
     exonic = F.col("kind") <= LAST_EXONIC
     key = ["chrom", "strand", "l_start", "l_stop"]
-    per_gene = hits.groupBy(*key, "gene").agg(
+    per_gene = hits.groupBy(*place, "l_start", "l_stop", "gene").agg(
         F.sum(F.when(exonic, shared)).alias("overlap"), F.min("kind").alias("kind")
     )
-    best = per_gene.groupBy(*key).agg(F.max("overlap").alias("best"))
-    kept = per_gene.join(best, key).where("best IS NULL OR overlap = best")
+    best_here = F.max("overlap").over(Window.partitionBy(*place, "l_start", "l_stop"))
+    leading = per_gene.withColumn("best", best_here).where("best IS NULL OR overlap = best").drop("best")
+    leading = stage(leading.select(*key, "gene", "overlap", "kind"), "leading")
+    best = leading.groupBy(*key).agg(F.max("overlap").alias("best"))
+    kept = leading.join(best, key).where("best IS NULL OR overlap = best")
     return kept.select(*key, "gene", F.coalesce("overlap", F.lit(0)).alias("overlap"), "kind")
