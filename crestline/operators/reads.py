@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.operators.running import position_in_group, tile_of
+from crestline.session import stage
+
+LONG_READ = 100_000  # alignments of one read that a single task ranks
 
 
 def read_counts(reads: DataFrame) -> DataFrame:
@@ -86,15 +90,35 @@ def normal_name(qname: Column) -> Column:
 
 
 def zip_mates(
-    mates: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]
+    mates: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], counted: DataFrame | None = None
 ) -> DataFrame:
     """Pair the k-th alignment of mate 1 with the k-th of mate 2.
 
     ``mates`` has ``mate`` (1 or 2); leftovers of either mate stay with nulls on
-    the other side.  Ranks come from the levelled scan over (chrom, tile), so a
-    read with very many alignments is still ranked by many tasks.
+    the other side.  Rows are shuffled once, by read, and ranked and paired where
+    they lie.  Reads with very many alignments are ranked by the levelled scan
+    over (chrom, tile), so that many tasks do them.  ``counted`` may give the same
+    reads in a cheaper form to find these.
     """
     keys, order, carry = list(keys), list(order), list(carry)
+    sizes = (mates if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = stage(sizes.where(F.col("_n") > LONG_READ).select(*keys), "long_reads")
+    if long.isEmpty():
+        return _zip_whole(mates, keys, order, carry)
+    usual, rest = mates.join(long, keys, "left_anti"), mates.join(long, keys, "left_semi")
+    return _zip_whole(usual, keys, order, carry).unionByName(_zip_levelled(rest, keys, order, carry))
+
+
+def _zip_whole(mates: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:
+    ranks = F.row_number().over(Window.partitionBy(*keys, "mate").orderBy(*order)).cast("long")
+    ranked = mates.repartition(*keys).withColumn("rn", ranks)
+    # without a name two mates are no pair
+    unnamed = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+    sides = [F.max(F.when(F.col("mate") == i, F.col(c))).alias(f"{c}_{i}") for i in (1, 2) for c in carry]
+    return ranked.where("mate IN (1, 2)").groupBy(*keys, F.when(unnamed, F.col("mate")).alias("_alone"), "rn").agg(*sides).drop("_alone")
+
+
+def _zip_levelled(mates: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:
     levelled = mates.withColumn("_chrom", F.col(order[0])).withColumn("_tile", tile_of(order[1]))
     ranked = position_in_group(levelled, [*keys, "mate"], order, ["_chrom", "_tile"], "rn")
     first = ranked.where("mate = 1").select(*keys, "rn", *[F.col(c).alias(f"{c}_1") for c in carry])

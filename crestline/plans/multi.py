@@ -253,7 +253,7 @@ class PairedMultiExperiment(MultiExperiment):
         keys = ["chrom", "strand", "start", "cigar"]
         placed = self.mates.join(self.placed_mates, keys, "left")
         placed = placed.withColumn("stop", F.col("start") + reference_length(parse_cigar(F.col("cigar"))))
-        zipped = zip_mates(placed, ["sample", "read_id"], ["chrom", "lead", "start", "strand", "cigar"], ["chrom", "strand", "start", "stop", "pid"])
+        zipped = zip_mates(placed, ["sample", "read_id"], ["chrom", "lead", "start", "strand", "cigar"], ["chrom", "strand", "start", "stop", "pid"], counted=self.mates)
         zipped = stage(zipped, "zipped")
         several = zipped.where("rn = 2").select("sample", "read_id", F.lit(True).alias("multi"))  # once a read at most
         apart = (F.col("chrom_1") != F.col("chrom_2")) | (F.col("pid_1") != F.col("pid_2"))
