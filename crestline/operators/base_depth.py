@@ -20,20 +20,18 @@ def block_events(alignments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Two events per stretch, however long, in place of a row per base.
     """
-    parts = None
-    for name, ops in _CLASSES.items():
-        blocks = alignments.select(*keys, F.explode(blocks_of(F.col("pos"), F.col("cigar"), ops)).alias("b"))
-        ends = F.explode(
-            F.array(
-                F.struct(F.col("b.start").alias("pos"), F.lit(1).cast("long").alias("d")),
-                F.struct((F.col("b.stop") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")),
-            )
+    mark = lambda name: lambda b: F.struct(F.lit(name).alias("side"), b["start"].alias("start"), (b["stop"] + 1).alias("stop"))
+    # all classes from one pass over the alignments
+    stretches = F.concat(*[F.transform(blocks_of(F.col("pos"), F.col("cigar"), ops), mark(name)) for name, ops in _CLASSES.items()])
+    blocks = alignments.select(*keys, F.explode(stretches).alias("b"))
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("b.start").alias("pos"), F.lit(1).cast("long").alias("d")),
+            F.struct(F.col("b.stop").alias("pos"), F.lit(-1).cast("long").alias("d")),
         )
-        rows = blocks.select(*keys, ends.alias("e"))
-        columns = [F.col("e.d").alias(n) if n == name else F.lit(None).cast("long").alias(n) for n in _CLASSES]
-        piece = rows.select(*keys, "e.pos", *columns)
-        parts = piece if parts is None else parts.unionByName(piece)
-    return parts
+    )
+    rows = blocks.select(*keys, "b.side", ends.alias("e"))
+    return rows.select(*keys, "e.pos", *[F.when(F.col("side") == n, F.col("e.d")).alias(n) for n in _CLASSES])
 
 
 def depth_segments(alignments: DataFrame, keys: Sequence[str]) -> DataFrame:
