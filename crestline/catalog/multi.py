@@ -40,7 +40,8 @@ def start_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def equal_weight(spark: SparkSession, sf: str) -> DataFrame:
     m = multi(spark, sf)
-    return _by_read(m, m.control_weights, "C")
+    weights = em.equal_by_read(m.multi_alignments.where("sample = 'C'"))
+    return weights.select("read_id", "pid", "m", r4("w").alias("w"))
 
 
 def _by_read(m: MultiExperiment, weights: DataFrame, sample: str) -> DataFrame:

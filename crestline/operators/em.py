@@ -83,6 +83,13 @@ def equal_weights(members: DataFrame) -> DataFrame:
     return joined.select(*members.columns, (F.lit(1.0) / F.col("_size")).alias("w"))
 
 
+def equal_by_read(alignments: DataFrame) -> DataFrame:
+    """Equal weight of each (read, region) with its ``m`` alignments; it needs no classes, only the read's own size."""
+    pairs = alignments.groupBy("sample", "read_id", "pid").agg(F.count(F.lit(1)).alias("m"))
+    sizes = alignments.groupBy("sample", "read_id").agg(F.count(F.lit(1)).alias("_size"))
+    return lookup(pairs, sizes, ["sample", "read_id"]).select("sample", "read_id", "pid", "m", (F.lit(1.0) / F.col("_size")).alias("w"))
+
+
 def peak_totals(weights: DataFrame, peaks: DataFrame) -> DataFrame:
     """Reads per region: unique ones plus the weights of multi-mapped ones."""
     added = weights.groupBy("pid").agg(exact_sum(F.col("w") * F.col("m") * F.col("n")).alias("_w"))

@@ -1,3 +1,4 @@
+from crestline.operators import em
 from crestline.operators.joins import lookup
 from crestline.plans.multi import merge_overlapping
 
@@ -25,3 +26,9 @@ def test_lookup_keeps_every_row_of_a_hot_key(spark):
     small = spark.createDataFrame([(0, "hot"), (4950, "one")], "k long, v string")
     assert lookup(big, small, ["k"]).count() == 4901
     assert lookup(big, small, ["k"], "left").count() == 5000
+
+
+def test_equal_weights_come_from_the_read_alone(spark):
+    rows = [("C", 1, 5, 10), ("C", 1, 5, 20), ("C", 1, 6, 30), ("C", 2, 5, 10), ("T", 2, 5, 10), ("T", 2, 7, 10)]
+    found = em.equal_by_read(spark.createDataFrame(rows, "sample string, read_id long, pid long, frag_start long"))
+    assert sorted(map(tuple, found.collect())) == [("C", 1, 5, 2, 1 / 3), ("C", 1, 6, 1, 1 / 3), ("C", 2, 5, 1, 1.0), ("T", 2, 5, 1, 0.5), ("T", 2, 7, 1, 0.5)]
