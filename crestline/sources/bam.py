@@ -9,6 +9,9 @@ the first record that begins in a block behind its range.  Only the structure of
 records counts there, not what they say.  Each task then checks that the next one
 starts where it stopped; a file for which they differ is an error, so no record is
 lost or read twice.
+
+Records are decoded and encoded by the batch, column by column; ``decode_record`` and
+``encode_record`` say the same of one record.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyarrow import fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from crestline.functions.regions import LEVELS
 
@@ -55,8 +60,26 @@ ARROW = pa.schema(
         ("tags", pa.map_(pa.string(), _TAG)),
     ]
 )
+# The fields of fixed size, with the size prefix.
+FIXED = np.dtype(
+    [
+        ("size", "<i4"),
+        ("tid", "<i4"),
+        ("pos", "<i4"),
+        ("l_name", "u1"),
+        ("mapq", "u1"),
+        ("bin", "<u2"),
+        ("n_cigar", "<u2"),
+        ("flag", "<u2"),
+        ("l_seq", "<i4"),
+        ("mtid", "<i4"),
+        ("mpos", "<i4"),
+        ("tlen", "<i4"),
+    ]
+)
 SPLIT_BYTES = 64 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20  # inflated bytes decoded at a time; a longer record is a batch of its own
+READ_BYTES = 1 << 18
 CHAIN = 8  # records in a row that must look right before a start is trusted
 MAX_RECORD = 1 << 28
 
@@ -85,6 +108,7 @@ class Blocks:
 
     def __init__(self, handle, offset: int, size: int):
         self.handle, self.offset, self.size = handle, offset, size
+        self.raw, self.kept = b"", 0  # bytes read ahead and where they begin
 
     def seek_first(self) -> bool:
         """Move to the first block start at or after the offset; false at the end of the file."""
@@ -107,13 +131,15 @@ class Blocks:
 
     def next(self) -> tuple[int, bytes] | None:
         while self.offset < self.size:
-            self.handle.seek(self.offset)
-            raw, begin = self.handle.read(1 << 16), self.offset
-            block = block_size(raw)
-            if block is None or block[0] > len(raw):
+            if not self.kept <= self.offset <= self.kept + len(self.raw) - (1 << 16):
+                self.handle.seek(self.offset)
+                self.raw, self.kept = self.handle.read(READ_BYTES), self.offset
+            at, begin = self.offset - self.kept, self.offset
+            block = block_size(self.raw, at)
+            if block is None or at + block[0] > len(self.raw):
                 raise ValueError(f"no whole compressed block at byte {self.offset}")
             self.offset += block[0]
-            data = zlib.decompress(raw[block[1] : block[0] - 8], -15)
+            data = zlib.decompress(self.raw[at + block[1] : at + block[0] - 8], -15)
             if data:
                 return begin, data
         return None
@@ -134,13 +160,13 @@ class Stream:
         self.data += block[1]
         return True
 
-    def need(self, n: int) -> bool:
-        """Have ``n`` bytes from ``at`` on, if the file has them; read bytes are let go."""
+    def need(self, n: int, end: int | None = None) -> bool:
+        """Have ``n`` bytes from ``at`` on, if the file has them up to the first block at or after ``end``; read bytes are let go."""
         if len(self.data) - self.at < n:
             kept = max((k for k, (o, _) in enumerate(self.marks) if o <= self.at), default=0)
             self.marks = [(o - self.at, b) for o, b in self.marks[kept:]]
             parts, have, self.at = [self.data[self.at :]], len(self.data) - self.at, 0
-            while have < n and (block := self.blocks.next()) is not None:
+            while have < n and not (end is not None and self.marks and self.marks[-1][1] >= end) and (block := self.blocks.next()) is not None:
                 self.marks.append((have, block[0]))
                 parts.append(block[1])
                 have += len(block[1])
@@ -320,16 +346,11 @@ class BamReader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         contigs, first_block, first_offset = read_header(part.path)
         names = [c for c, _ in contigs]
-        rows: list[tuple] = []
-        for record in self.records(part, len(names), first_block, first_offset):
-            rows.append(decode_record(record, names))
-            if len(rows) == BATCH_ROWS:
-                yield to_batch(rows)
-                rows = []
-        if rows:
-            yield to_batch(rows)
-
-    def records(self, part: ByteRange, contigs: int, first_block: int, first_offset: int) -> Iterator[bytes]:
+        for data, starts in self.batches(part, len(names), first_block, first_offset):
+            yield decode_batch(data, starts, names)
+
+    def batches(self, part: ByteRange, contigs: int, first_block: int, first_offset: int) -> Iterator[tuple[bytes, list[int]]]:
+        """Inflated bytes and where whole records of the range start in them."""
         system, name = open_path(part.path)
         with system.open_input_file(name) as handle:
             if part.end <= first_block:
@@ -341,22 +362,154 @@ class BamReader(DataSourceReader):
                 stream.at = first_offset
             else:
                 stream = seek_record(handle, part.begin, contigs)
-            stop = None
+            stop, size_at = None, struct.Struct("<i").unpack_from
             while stream is not None and (stop := stream.place()) is not None and stop[0] < part.end:
-                size = struct.unpack_from("<i", stream.data, stream.at)[0]
-                if size < 32 or not stream.need(4 + size):
+                stream.need(BATCH_BYTES, part.end)
+                data, at, starts = stream.data, stream.at, []
+                limit = min((offset for offset, begin in stream.marks if begin >= part.end), default=len(data))
+                while at < limit and at + 4 <= len(data):
+                    (size,) = size_at(data, at)
+                    if size < 32:
+                        raise ValueError(f"{part.path}: a record at block {stop[0]} is cut off")
+                    if at + 4 + size > len(data):
+                        break
+                    starts.append(at)
+                    at += 4 + size
+                stream.at = at
+                if starts:
+                    yield data, starts
+                elif not stream.need(4 + size):
                     raise ValueError(f"{part.path}: a record at block {stop[0]} is cut off")
-                yield stream.data[stream.at + 4 : stream.at + 4 + size]
-                stream.at += 4 + size
             if stream is not None and part.end < handle.size():
                 follows = seek_record(handle, part.end, contigs)
                 if (follows and follows.place()) != stop:
                     raise ValueError(f"{part.path}: records near byte {part.end} can't be told apart; choose another splitbytes")
 
 
-def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
+def offsets_of(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all stretches ``starts`` to ``starts + lengths``, one after the other."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def text_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of the given lengths that lie one after the other in ``values``."""
+    offsets = offsets_of(lengths).astype(np.int32)
+    made = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values)))
+    made.validate(full=True)
+    return made
+
+
+def starred(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """As ``text_array``, with a star for what is empty."""
+    shown = np.maximum(lengths, 1)
+    out = np.full(shown.sum(), ord("*"), np.uint8)
+    out[spread(offsets_of(shown)[:-1], lengths)] = values
+    return text_array(out, shown)
+
+
+def numbers_at(raw: np.ndarray, at: np.ndarray, form: str) -> np.ndarray:
+    form = np.dtype(form)
+    return raw[at[:, None] + np.arange(form.itemsize)].view(form)[:, 0]
+
+
+def decode_batch(data: bytes, starts: list[int], names: list[str]) -> pa.RecordBatch:
+    """Columns of the records whose size prefixes are at ``starts``."""
+    raw, begin = np.frombuffer(data, np.uint8), np.asarray(starts, np.int64)
+    fixed = numbers_at(raw, begin, FIXED)
+    l_name, n_cigar, l_seq = (fixed[c].astype(np.int64) for c in ("l_name", "n_cigar", "l_seq"))
+    half = (l_seq + 1) // 2
+    name_at = begin + FIXED.itemsize
+    cigar_at = name_at + l_name
+    seq_at = cigar_at + 4 * n_cigar
+    qual_at = seq_at + half
+    tags_at, end = qual_at + l_seq, begin + 4 + fixed["size"]
+    if (l_name < 1).any() or (l_seq < 0).any() or (tags_at > end).any():
+        raise ValueError("the sizes of a record do not fit together")
+    steps = numbers_at(raw, spread(cigar_at, 4 * n_cigar)[::4], "<u4")
+    ops = pa.array(list(CIGAR_LETTERS)).take(pa.array(steps & 15))
+    cigar = pa.StructArray.from_arrays([ops, pa.array((steps >> 4).astype(np.int32))], fields=list(_CIGAR))
+    letters = np.frombuffer(BASE_LETTERS.encode(), np.uint8)
+    bases = np.stack([np.repeat(letters, 16), np.tile(letters, 16)], 1)[raw[spread(seq_at, half)]].reshape(-1)
+    missing = (l_seq == 0) | (raw[np.minimum(qual_at, len(raw) - 1)] == 255)
+    l_qual = np.where(missing, 0, l_seq)
+    tid, mtid = fixed["tid"], fixed["mtid"]
+    contigs, n = pa.array([*names, "=", "*"], pa.string()), len(names)
+    columns = [
+        text_array(raw[spread(name_at, l_name - 1)], l_name - 1),
+        pa.array(fixed["flag"].astype(np.int32)),
+        contigs.take(pa.array(np.where(tid < 0, 0, tid), mask=tid < 0)),
+        pa.array(fixed["pos"].astype(np.int64)),
+        pa.array(fixed["mapq"].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(offsets_of(n_cigar).astype(np.int32)), cigar),
+        contigs.take(pa.array(np.where(mtid < 0, n + 1, np.where(mtid == tid, n, mtid)))),
+        pa.array(fixed["mpos"].astype(np.int64)),
+        pa.array(fixed["tlen"].astype(np.int32)),
+        starred(bases[spread(2 * offsets_of(half)[:-1], l_seq)], l_seq),
+        starred(raw[spread(qual_at, l_qual)] + np.uint8(33), l_qual),
+        tag_maps(data, raw, tags_at, end),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW)
+
+
+def tag_maps(data: bytes, raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Tags of every record: the first of each at once, then the second, and so on."""
+    zeros, row, n = np.flatnonzero(raw == 0), np.arange(len(at)), len(at)
+    rows, keys, kinds, values = [], [], [], []
+
+    def found(which: np.ndarray, kind: str, value: pa.Array) -> None:
+        rows.append(row[which])
+        keys.append(at[which])
+        kinds.append(np.full(len(value), ord(kind), np.uint8))
+        values.append(value)
+
+    while True:
+        row, at = row[at < end[row]], at[at < end[row]]
+        if not len(row):
+            break
+        if (at + 3 > end[row]).any():
+            raise ValueError("the tags of a record are cut off")
+        kind, after = raw[at + 2], at + 3
+        for code in np.unique(kind):
+            which, letter = np.flatnonzero(kind == code), chr(code)
+            place = at[which] + 3
+            if letter in "ZH":
+                stop = np.append(zeros, len(raw))[np.searchsorted(zeros, place)]
+                after[which] = stop + 1
+                found(which, letter, text_array(raw[spread(place, stop - place)], stop - place))
+            elif letter == "A":
+                after[which] = place + 1
+                found(which, letter, text_array(raw[place], np.ones(len(place), np.int64)))
+            elif letter in "cCsSiI":
+                form = np.dtype("<" + TAG_FORMATS[letter])
+                after[which] = place + form.itemsize
+                found(which, "i", pa.array(numbers_at(raw, place, form).astype(np.int64)).cast(pa.string()))
+            elif letter in "fd" or letter == "B":
+                if letter == "B":
+                    width = np.array([struct.calcsize(TAG_FORMATS[chr(c)]) for c in raw[place]])
+                    after[which] = place + 5 + width * numbers_at(raw, place + 1, "<i4")
+                else:
+                    after[which] = place + struct.calcsize(TAG_FORMATS[letter])
+                found(which, letter, pa.array([decode_tags(data[a:b])[0][1]["v"] for a, b in zip(at[which], after[which])], pa.string()))
+            else:
+                raise ValueError(f"unknown tag type {letter}")
+        if (after > end[row]).any():
+            raise ValueError("the tags of a record are cut off")
+        at = after
+    if not rows:
+        return pa.array([[]] * n, ARROW.field("tags").type)
+    owner = np.concatenate(rows)
+    order = np.argsort(np.concatenate(keys))  # the place of a tag tells the record too
+    two, one = np.full(len(order), 2), np.full(len(order), 1)
+    items = pa.StructArray.from_arrays(
+        [text_array(np.concatenate(kinds)[order], one), pa.concat_arrays(values).take(pa.array(order))], fields=list(_TAG)
+    )
+    names = text_array(raw[spread(np.concatenate(keys)[order], two)], two)
+    return pa.MapArray.from_arrays(pa.array(offsets_of(np.bincount(owner, minlength=n)).astype(np.int32)), names, items)
 
 
 def encode_tag(key: str, kind: str, value: str) -> bytes:
@@ -402,6 +555,147 @@ def encode_record(row, ids: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string column, and where each string starts and how long it is."""
+    column = column.cast(pa.string()).fill_null("")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets)
+
+
+def list_items(column: pa.Array, *fields: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Number of items of every list or map, and of ``fields``, the columns of all items, those that belong to one."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    lengths = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+    places = pa.array(spread(offsets[:-1], lengths))
+    return lengths, [f.take(places) for f in fields]
+
+
+def in_range(values: np.ndarray, form: str) -> np.ndarray:
+    info = np.iinfo(form)
+    if len(values) and not (info.min <= values.min() and values.max() <= info.max):
+        raise ValueError(f"a value does not fit into {form}")
+    return values.astype(form)
+
+
+def put(out: np.ndarray, at: np.ndarray, source: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Copy stretches of bytes to the places ``at``."""
+    data, starts, lengths = source
+    out[spread(at, lengths)] = data[spread(starts, lengths)]
+
+
+def put_numbers(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    size = values.dtype.itemsize
+    out[at[:, None] + np.arange(size)] = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size)
+
+
+def encode_tags(fields: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the tags one after the other, and where each starts and how long it is."""
+    key, form, value = fields[0], *fields[1].flatten()
+    names, kinds, texts = text_bytes(key), text_bytes(form), text_bytes(value)
+    if (names[2] != 2).any() or (kinds[2] != 1).any():
+        raise ValueError("a tag needs a name of two letters and a type of one")
+    kind, sizes, parts = kinds[0][kinds[1]], texts[2].copy(), []
+    for code in np.unique(kind):
+        which, letter = np.flatnonzero(kind == code), chr(code)
+        if letter in "ZH":
+            sizes[which] += 1
+        elif letter == "A":
+            sizes[which] = np.minimum(sizes[which], 1)
+        elif letter in "cCsSiI":
+            text, wanted = value.take(pa.array(which)), "<" + TAG_FORMATS[letter]
+            numbers = in_range(pc.utf8_ltrim(text, "+").cast(pa.int64()).to_numpy(), wanted)
+            sizes[which] = numbers.dtype.itemsize
+            parts.append((which, numbers))
+        else:
+            rare = [encode_tag(k, letter, v)[3:] for k, v in zip(key.take(pa.array(which)).to_pylist(), value.take(pa.array(which)).to_pylist())]
+            lengths = np.array([len(r) for r in rare], np.int64)
+            sizes[which] = lengths
+            parts.append((which, (np.frombuffer(b"".join(rare), np.uint8), offsets_of(lengths)[:-1], lengths)))
+    offsets = offsets_of(3 + sizes)
+    out, at = np.zeros(offsets[-1], np.uint8), offsets[:-1]
+    put(out, at, names)
+    put(out, at + 2, kinds)
+    plain = np.isin(kind, np.frombuffer(b"ZHA", np.uint8))
+    put(out, at[plain] + 3, (texts[0], texts[1][plain], np.minimum(texts[2], sizes)[plain]))
+    for which, made in parts:
+        if isinstance(made, tuple):
+            put(out, at[which] + 3, made)
+        else:
+            put_numbers(out, at[which] + 3, made)
+    return out, at, 3 + sizes
+
+
+def encode_batch(batch: pa.RecordBatch, ids: dict[str, int]) -> bytes:
+    """Records of a batch one after the other, each with its size prefix."""
+    if not batch.num_rows:
+        return b""
+    column = {c: batch.column(c) for c in batch.schema.names}
+    lacking = [c for c in ("qname", "flag", "pos", "mapq", "pnext", "tlen", "seq", "qual") if column[c].null_count]
+    if lacking:
+        raise ValueError(f"null in {', '.join(lacking)}")
+    number = lambda c: column[c].cast(pa.int64()).to_numpy()
+    name, (bases, base_at, l_seq), (quals, qual_from, l_qual) = (text_bytes(column[c]) for c in ("qname", "seq", "qual"))
+    l_seq = np.where((l_seq == 1) & (np.append(bases, 0)[base_at] == ord("*")), 0, l_seq)
+    unknown = (l_qual == 1) & (np.append(quals, 0)[qual_from] == ord("*"))
+    if (~unknown & (l_qual != l_seq)).any():
+        raise ValueError("qualities and bases of a record differ in number")
+    half = (l_seq + 1) // 2
+    n_cigar, (op, length) = list_items(column["cigar"], *column["cigar"].values.flatten())
+    letters, op_at, _ = text_bytes(op)
+    code = np.full(256, 255)
+    code[np.frombuffer(CIGAR_LETTERS.encode(), np.uint8)] = np.arange(len(CIGAR_LETTERS))
+    op = code[letters[op_at]]
+    if (op == 255).any():
+        raise ValueError("unknown CIGAR operation")
+    length = length.cast(pa.int64()).to_numpy()
+    n_tags, fields = list_items(column["tags"], column["tags"].keys, column["tags"].items)
+    tags, tag_at, tag_size = encode_tags(fields)
+    firsts = offsets_of(n_tags)
+    tag_ends = np.append(tag_at, len(tags))
+    l_tags = tag_ends[firsts[1:]] - tag_ends[firsts[:-1]]
+
+    contig = lambda c: np.array([ids.get(v, -1) for v in c.dictionary.to_pylist()] + [-1])[c.indices.fill_null(-1).to_numpy()]
+    mate = column["rnext"].cast(pa.string())
+    tid = contig(column["rname"].cast(pa.string()).dictionary_encode())
+    mtid = np.where(pc.equal(mate, "=").fill_null(False).to_numpy(zero_copy_only=False), tid, contig(mate.dictionary_encode()))
+    begin = np.maximum(number("pos"), 0)
+    steps = offsets_of(np.where(np.isin(op, [CIGAR_LETTERS.index(c) for c in "MDN=X"]), length, 0))
+    ops_from = offsets_of(n_cigar)
+    reach = steps[ops_from[1:]] - steps[ops_from[:-1]]
+    last = begin + np.where(reach == 0, 1, reach) - 1
+    bins = np.select([begin >> s == last >> s for _, s in LEVELS], [(f + (begin >> s)) & 0xFFFF for f, s in LEVELS], 0)
+
+    size = FIXED.itemsize - 4 + name[2] + 1 + 4 * n_cigar + half + l_seq + l_tags
+    values = {"size": size, "tid": tid, "pos": number("pos"), "l_name": name[2] + 1, "mapq": number("mapq"), "bin": bins, "n_cigar": n_cigar}
+    values |= {"flag": number("flag"), "l_seq": l_seq, "mtid": mtid, "mpos": number("pnext"), "tlen": number("tlen")}
+    fixed = np.zeros(batch.num_rows, FIXED)
+    for field, value in values.items():
+        fixed[field] = in_range(value, FIXED[field].str)
+
+    offsets = offsets_of(4 + size)
+    out, at = np.zeros(offsets[-1], np.uint8), offsets[:-1]
+    put_numbers(out, at, fixed)
+    at = at + FIXED.itemsize
+    put(out, at, name)
+    at = at + name[2] + 1
+    packed = np.ascontiguousarray(in_range(length << 4 | op, "<u4")).view(np.uint8)
+    put(out, at, (packed, 4 * ops_from[:-1], 4 * n_cigar))
+    at = at + 4 * n_cigar
+    base = np.full(256, 15, np.uint8)
+    for i, letter in enumerate(BASE_LETTERS):
+        base[[ord(letter), ord(letter.lower())]] = i
+    pairs = np.zeros(2 * half.sum(), np.uint8)
+    halves = offsets_of(half)[:-1]
+    pairs[spread(2 * halves, l_seq)] = base[bases[spread(base_at, l_seq)]]
+    put(out, at, (pairs[::2] << 4 | pairs[1::2], halves, half))
+    at = at + half
+    out[spread(at, np.where(unknown, l_seq, 0))] = 255
+    put(out, at, (quals - np.uint8(33), qual_from, np.where(unknown, 0, l_seq)))
+    put(out, at + l_seq, (tags, tag_ends[firsts[:-1]], l_tags))
+    return out.tobytes()
+
+
 def coordinate_bin(beg: int, stop: int) -> int:
     """Smallest bin of the five-level scheme around ``[beg, stop)``."""
     for first, shift in LEVELS:
@@ -417,11 +711,11 @@ def compress_block(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     def __init__(self, path: str, contigs: list[tuple[str, int]]):
         self.path, self.contigs = path, contigs
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -435,14 +729,15 @@ class BamWriter(DataSourceWriter):
             head += struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n)
         ids = {c: i for i, (c, _) in enumerate(self.contigs)}
         with system.open_output_stream(part) as out:
-            pending = bytearray(head)
-            for row in iterator:
-                pending += encode_record(row, ids)
-                while len(pending) >= 60000:
-                    out.write(compress_block(bytes(pending[:60000])))
-                    del pending[:60000]
+            pending = head
+            for batch in iterator:
+                pending += encode_batch(batch, ids)
+                whole = len(pending) // 60000 * 60000
+                for at in range(0, whole, 60000):
+                    out.write(compress_block(pending[at : at + 60000]))
+                pending = pending[whole:]
             if pending:
-                out.write(compress_block(bytes(pending)))
+                out.write(compress_block(pending))
             out.write(END_BLOCK)
         return BamPart(part)
 
@@ -475,7 +770,7 @@ class BamDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return BamReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return BamWriter(self.options["path"], [tuple(c) for c in json.loads(self.options["contigs"])])
 
 

@@ -2,8 +2,10 @@ import json
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from crestline.sources import bam, sam
 from crestline.sources.bam import read_header
@@ -70,3 +72,33 @@ def test_every_record_at_every_split_size(spark, tmp_path, kind):
     for split in (1 << 26, 100_000, 9_001, 2_003 if kind == "long" else 30_011):
         back = spark.read.format("bam").option("splitbytes", split).load(path)
         assert sorted(r.qname for r in back.select("qname").collect()) == sorted(f"q{i}" for i in range(len(records)))
+
+
+def test_batch_is_its_records_one_by_one(spark):
+    """Batches of records are encoded and decoded to what each record gives by itself, with all kinds of tags."""
+    records = sam.parse_records(spark.createDataFrame([(x,) for x in [*lines(300), *odd_lines()]], "value string")).collect()
+    rows = [r.asDict(recursive=True) for r in records]
+    ids = {"xx": 0, "yy": 1}
+    batch = pa.RecordBatch.from_pylist([r | {"tags": list((r["tags"] or {}).items())} for r in rows], bam.ARROW)
+    alone = [bam.encode_record(r, ids) for r in rows]
+    assert bam.encode_batch(batch, ids) == b"".join(alone)
+    assert bam.encode_batch(batch.slice(7, 90), ids) == b"".join(alone[7:97])
+    starts = [sum(map(len, alone[:i])) for i in range(len(alone))]
+    got = bam.decode_batch(b"".join(alone), starts, ["xx", "yy"]).to_pylist()
+    expected = [dict(zip(bam.ARROW.names, bam.decode_record(a[4:], ["xx", "yy"]))) for a in alone]
+    assert got == expected
+    with pytest.raises(ValueError, match="does not fit"):
+        bam.encode_batch(pa.RecordBatch.from_pylist([rows[0] | {"tags": [], "mapq": 256}], bam.ARROW), ids)
+
+
+def odd_lines():
+    """No bases, one base, lower case, other contig of the mate, a name of a contig that is not known, tags of every kind."""
+    yield "a\t0\txx\t1\t0\t4M\tyy\t9\t0\t*\t*"
+    yield "b\t0\txx\t70000\t255\t1M\t*\t0\t-5\tA\t*\tXI:I:4000000000"
+    yield "c\t0\tzz\t5\t1\t1=200000N2X\t=\t5\t0\tacR\tI!J\tXc:c:-3\tXC:C:200\tXs:s:-300\tXS:S:60000\tXi:i:-70000\tXd:d:0.25"
+    yield "d\t0\tyy\t5\t1\t*\t=\t5\t0\tACGTN\t*\tXZ:Z:\tXH:H:1F\tXA:A:c\tXB:B:f,0.5,2\tXD:B:C,7\tXE:B:i,-1"
+
+
+def test_records_travel_by_the_batch():
+    """A record is no longer one Python call: the writer takes Arrow batches."""
+    assert issubclass(bam.BamWriter, DataSourceArrowWriter)
