@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 QUERY_OPS = ["M", "I", "S", "=", "X"]
 REFERENCE_OPS = ["M", "D", "N", "=", "X"]
 ALIGNED_OPS = ["M", "=", "X"]
-_PATTERN = r"(\d+)([MIDNSHP=XB])"
+_PATTERN = r"\d+[MIDNSHP=XB]"
 
 
 def parse_cigar(text: Column) -> Column:
     """``*`` gives an empty array."""
-    lengths = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(1))
-    ops = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(2))
-    return F.zip_with(ops, lengths, lambda o, n: F.struct(o.alias("op"), n.cast("int").alias("len")))
+    steps = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
+    return F.transform(steps, lambda s: F.struct(F.substring(s, -1, 1).alias("op"), F.substring(s, F.lit(1), F.length(s) - 1).cast("int").alias("len")))
 
 
 def cigar_text(cigar: Column) -> Column:

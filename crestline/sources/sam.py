@@ -29,8 +29,9 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
     A record without a contig, position or CIGAR is flagged as unmapped.
     """
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(f.alias("f"))
+    # a generator: a filter would be pushed below what forms the lines and form each line again to look at it
+    kept = F.filter(F.array("value"), lambda line: ~line.startswith("@") & (line != ""))
+    rows = lines.select(F.explode(kept).alias("value")).select(F.split("value", "\t").alias("f"))
     item = lambda i: F.col("f")[i]
     lost = (item(2) == "*") | (item(3) == "0") | (item(5) == "*")
     flag = item(1).cast("int")

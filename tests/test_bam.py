@@ -102,3 +102,11 @@ def odd_lines():
 def test_records_travel_by_the_batch():
     """A record is no longer one Python call: the writer takes Arrow batches."""
     assert issubclass(bam.BamWriter, DataSourceArrowWriter)
+
+
+def test_lines_are_formed_once(spark):
+    """Headers and empty lines are dropped without a filter that would form every line again below."""
+    text = spark.createDataFrame([(x,) for x in ["@HD\tVN:1", "", *lines(5)]], "value string")
+    parsed = sam.parse_records(sam.record_lines(sam.parse_records(text)))
+    assert parsed.count() == 6
+    assert "Filter" not in parsed._jdf.queryExecution().optimizedPlan().toString()
