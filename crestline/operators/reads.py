@@ -12,6 +12,7 @@ from crestline.operators.running import position_in_group, tile_of
 from crestline.session import stage
 
 LONG_READ = 100_000  # alignments of one read that a single task ranks
+HASHES = 1 << 16
 
 
 def read_counts(reads: DataFrame) -> DataFrame:
@@ -89,6 +90,20 @@ def normal_name(qname: Column) -> Column:
     )
 
 
+def long_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than a single task should take; none if there are none.
+
+    Rows are counted by hash first, which sums up before the shuffle; keys are counted only where a hash has that many.
+    """
+    hashed = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_hash"))
+    full = stage(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_READ).select("_hash"), "full_hashes")
+    if full.isEmpty():
+        return None
+    sizes = hashed.join(full, "_hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = stage(sizes.where(F.col("_n") > LONG_READ).select(*keys), "long_groups")
+    return None if long.isEmpty() else long
+
+
 def zip_mates(
     mates: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], counted: DataFrame | None = None
 ) -> DataFrame:
