@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.cigar import ALIGNED_OPS, blocks_of
+from crestline.operators.reads import long_groups
 from crestline.operators.running import position_in_group
 from crestline.operators.sweep import sweep
 
@@ -57,19 +58,40 @@ def cap_starts(alignments: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def mate_overlap(mates: DataFrame) -> DataFrame:
-    """Bases covered by both mates of a template, from one sweep per template.
+    """Bases covered by both mates of a template, from one scan per template.
 
     ``mates`` has qname, chrom, mate (1 or 2) and the closed block start, stop.
-    No alignment of mate 1 is paired with each one of mate 2.
+    No alignment of mate 1 is paired with each one of mate 2.  Templates are shuffled
+    once and scanned where they lie; those with very many alignments by the tiled sweep.
     """
+    keys = ["qname", "chrom"]
+    named = mates.select(*keys, "mate", "start", "stop").dropna(subset=keys)
+    long = long_groups(named, keys)
+    if long is None:
+        return _overlap_whole(named, keys)
+    usual, rest = named.join(long, keys, "left_anti"), named.join(long, keys, "left_semi")
+    return _overlap_whole(usual, keys).unionByName(_overlap_tiled(rest, keys))
+
+
+def _mate_events(mates: DataFrame, keys: list[str]) -> DataFrame:
     ends = F.explode(
         F.array(
             F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")),
             F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).cast("long").alias("d")),
         )
     )
-    rows = mates.select("qname", "chrom", "mate", ends.alias("e"))
+    rows = mates.select(*keys, "mate", ends.alias("e"))
     sides = [F.when(F.col("mate") == i, F.col("e.d")).alias(f"m{i}") for i in (1, 2)]
-    depths = sweep(rows.select("qname", "chrom", "e.pos", *sides), ["qname", "chrom"], ["m1", "m2"])
-    shared = depths.where("m1 > 0 AND m2 > 0")
-    return shared.groupBy("qname", "chrom").agg(F.sum(F.col("stop") - F.col("start")).alias("overlap_bp"))
+    return rows.select(*keys, "e.pos", *sides)
+
+
+def _overlap_whole(mates: DataFrame, keys: list[str]) -> DataFrame:
+    at = _mate_events(mates.repartition(*keys), keys).groupBy(*keys, "pos").agg(F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
+    order = Window.partitionBy(*keys).orderBy("pos")
+    depths = at.select(*keys, F.sum("m1").over(order).alias("m1"), F.sum("m2").over(order).alias("m2"), (F.lead("pos").over(order) - F.col("pos")).alias("_n"))
+    return depths.where("m1 > 0 AND m2 > 0").groupBy(*keys).agg(F.sum("_n").alias("overlap_bp"))
+
+
+def _overlap_tiled(mates: DataFrame, keys: list[str]) -> DataFrame:
+    shared = sweep(_mate_events(mates, keys), keys, ["m1", "m2"]).where("m1 > 0 AND m2 > 0")
+    return shared.groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias("overlap_bp"))
