@@ -12,7 +12,7 @@ from crestline.catalog.common import r4, with_parts
 from crestline.catalog.library import _TYPES
 from crestline.operators import call_sets
 from crestline.operators import genes as gn
-from crestline.session import staging_root
+from crestline.session import stage, staging_root
 from crestline.sources import tabbed, vcf_header
 from crestline.sources.text import parse_vcf
 
@@ -137,7 +137,7 @@ def header_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def utrs(spark: SparkSession, sf: str) -> DataFrame:
     """Exons of a gene outside its coding span; every seventh gene has no stop codon."""
-    exons = view(spark, sf, "exons")
+    exons = stage(view(spark, sf, "exons"), "gene_exons")  # read by each part below
     cds = exons.where("type = 'CDS'")
     keys = ["gene", "chrom", "strand"]
     span = cds.where("gene % 7 <> 0").groupBy(*keys).agg(F.min("start").alias("a"), F.max("stop").alias("b"))

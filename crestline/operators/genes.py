@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.operators.overlap import bins_of
+from crestline.operators.reads import long_groups
 from crestline.operators.running import Run, running, tile_of
 from crestline.operators.sweep import coalesce_equal, sweep
 from crestline.session import stage
@@ -35,7 +36,27 @@ def _coverage(exons: DataFrame) -> DataFrame:
 
 
 def merge_exons(exons: DataFrame) -> DataFrame:
-    """Exons of a gene with overlaps joined, as closed intervals."""
+    """Exons of a gene with overlaps joined, as closed intervals.
+
+    Exons are shuffled once, by gene, and joined where they lie; genes with very many by the tiled sweep.
+    """
+    rows = exons.select(*_KEYS, "start", "stop").dropna(subset=_KEYS).where("start <= stop")
+    long = long_groups(rows, _KEYS)
+    if long is None:
+        return _merged_whole(rows)
+    return _merged_whole(rows.join(long, _KEYS, "left_anti")).unionByName(_merged_tiled(rows.join(long, _KEYS, "left_semi")))
+
+
+def _merged_whole(exons: DataFrame) -> DataFrame:
+    order = Window.partitionBy(*_KEYS).orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = exons.repartition(*_KEYS).withColumn("_reach", reach)
+    opened = seen.withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + 1), F.col("start")))
+    named = opened.withColumn("_first", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return named.groupBy(*_KEYS, "_first").agg(F.max("stop").alias("stop")).select(*_KEYS, F.col("_first").alias("start"), "stop")
+
+
+def _merged_tiled(exons: DataFrame) -> DataFrame:
     merged = coalesce_equal(_coverage(exons).select(*_KEYS, "start", "stop", "inside"), _KEYS, "inside")
     return merged.where("inside > 0").select(*_KEYS, "start", (F.col("stop") - 1).alias("stop"))
 
@@ -70,7 +91,12 @@ def untranslated(exons: DataFrame, cds: DataFrame, stop_codons: DataFrame) -> Da
     start = F.when(plus, F.coalesce("c_start", "s_start")).otherwise(F.col("s_start"))
     stop = F.when(plus, F.col("s_stop")).otherwise(F.coalesce("c_stop", "s_stop"))
     spans = ends.join(coding, _KEYS, "left").select(*_KEYS, start.alias("start"), stop.alias("stop"))
-    outside = subtract(exons, spans, _KEYS).join(spans.select(*_KEYS, F.col("start").alias("from")), _KEYS, "left")
+    spans = spans.select("*", F.least("start", F.col("stop") + 1).alias("_low"), F.greatest(F.col("start") - 1, "stop").alias("_high"))
+    joined = merge_exons(exons).join(spans.withColumnsRenamed({"start": "from", "stop": "to"}), _KEYS, "left")
+    none = F.col("_low").isNull() | (F.col("_low") > F.col("_high"))  # no span, or one without a base
+    left = F.struct("start", F.when(none, F.col("stop")).otherwise(F.least("stop", F.col("_low") - 1)).alias("stop"))
+    right = F.struct(F.when(~none, F.greatest("start", F.col("_high") + 1)).alias("start"), "stop")
+    outside = joined.select(*_KEYS, "from", F.explode(F.array(left, right)).alias("o")).select(*_KEYS, "from", "o.*").where("start <= stop")
     before = F.coalesce(F.col("start") < F.col("from"), F.lit(True))
     return outside.select(*_KEYS, F.when(before == plus, "UTR5").otherwise("UTR3").alias("type"), "start", "stop")
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crestline.operators import call_sets
+from crestline.operators import call_sets, reads
 from crestline.operators import genes as gn
 from crestline.sources import vcf_header
 from crestline.sources.text import parse_vcf
@@ -146,3 +146,28 @@ def test_subtraction_and_untranslated_regions(spark):
     frames = [spark.createDataFrame(x, form) for x in (exons, cds, codons)]
     got = sorted((r.gene, r.type, r.start, r.stop) for r in gn.untranslated(*frames).collect())
     assert got == [(1, "UTR3", 324, 399), (1, "UTR5", 100, 149), (2, "UTR3", 100, 146), (2, "UTR5", 321, 399), (3, "UTR5", 10, 20), (4, "UTR3", 10, 20)]
+
+
+@pytest.mark.parametrize("limit", [100_000, 5])
+def test_untranslated_regions_shuffle_exons_once(spark, monkeypatch, limit):
+    """Exons of usual genes are joined where one shuffle brings them, genes with very many by the sweep, to the same regions."""
+    monkeypatch.setattr(reads, "LONG_READ", limit)
+    rng, form = random.Random(4), "gene long, chrom string, strand int, start long, stop long"
+    exons = [(g, "c", g % 2, s, s + rng.randint(0, 40)) for g in range(8) for s in rng.choices(range(65_000, 66_500, 7), k=3 + 4 * (g % 3))]
+    exons += [(1, "c", 1, 65_530, 65_536), (1, "c", 1, 65_537, 65_540), (0, "c", 0, 90, 80), (None, "c", 0, 1, 9)]
+    cds = [(g, "c", g % 2, 65_400, 65_600) for g in range(6)]
+    codons = [(g, "c", g % 2, *((65_700, 65_702) if g % 2 == 0 else (65_300, 65_302))) for g in range(4)] + [(6, "c", 0, 65_200, 65_199)]
+    frames = [spark.createDataFrame(x, form) for x in (exons, cds, codons)]
+    spans = {0: (65_400, 65_702), 2: (65_400, 65_702), 1: (65_300, 65_600), 3: (65_300, 65_600), 6: (65_200, 65_199)}
+    expected = set()
+    for g in range(8):
+        low, high = spans.get(g, (1, 0))
+        bases = {p for h, _, _, s, e in exons if h == g for p in range(s, e + 1)} - set(range(low, high + 1))
+        for p in (p for p in bases if p - 1 not in bases):
+            stop = next(q for q in range(p, p + 10_000) if q + 1 not in bases)
+            expected.add((g, "UTR5" if (g not in spans or p < low) == (g % 2 == 0) else "UTR3", p, stop))
+    got = [(r.gene, r.type, r.start, r.stop) for r in gn.untranslated(*frames).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    if limit > 5:
+        plan = gn.merge_exons(frames[0])._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
