@@ -34,8 +34,8 @@ def peaks_with_multi(spark: SparkSession, sf: str) -> DataFrame:
 
 def start_weights(spark: SparkSession, sf: str) -> DataFrame:
     m = multi(spark, sf)
-    members = m.classes.members.where("sample = 'T'")
-    return _by_read(m, em.start_weights(members, m.peak_table("T")), "T")
+    weights = em.start_by_read(m.multi_alignments.where("sample = 'T'"), m.peak_table("T"))
+    return weights.select("read_id", "pid", "m", r4("w").alias("w"))
 
 
 def equal_weight(spark: SparkSession, sf: str) -> DataFrame:

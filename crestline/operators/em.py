@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.operators.joins import lookup
@@ -77,6 +77,20 @@ def start_weights(members: DataFrame, peaks: DataFrame) -> DataFrame:
     return _normalised(members, peaks.select("pid", (F.col("u") / F.col("len")).alias("rate")))
 
 
+def start_by_read(alignments: DataFrame, peaks: DataFrame) -> DataFrame:
+    """First weight of each (read, region) with its ``m`` alignments; it needs no classes, only the read's own sums.
+
+    Alignments are shuffled once, by read; a read's rows are its regions by then.
+    """
+    rates = stage(peaks.select("pid", (F.col("u") / F.col("len")).alias("rate")), "start_rates")
+    pairs = alignments.repartition("sample", "read_id").groupBy("sample", "read_id", "pid").agg(F.count(F.lit(1)).alias("m"))
+    own = Window.partitionBy("sample", "read_id")
+    total = F.sum((F.col("m") * F.col("rate")).cast("decimal(38,15)")).over(own).cast("double")
+    rated = lookup(pairs, rates, ["pid"]).select("*", total.alias("_sum"), F.sum("m").over(own).alias("_size"))
+    weight = F.when(F.col("_sum") > 0, F.col("rate") / F.col("_sum")).otherwise(F.lit(1.0) / F.col("_size"))
+    return rated.select("sample", "read_id", "pid", "m", weight.alias("w"))
+
+
 def equal_weights(members: DataFrame) -> DataFrame:
     sums = members.groupBy("sample", "class_id").agg(F.sum("m").alias("_size"))
     joined = lookup(members, sums, ["sample", "class_id"])

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from crestline import catalog
 from crestline.functions import cigar as cg
 from crestline.functions.flags import flag_text, text_flag
 from crestline.operators import em
@@ -153,3 +155,22 @@ def test_text_sources(spark, tmp_path):
     assert sorted((r.name, r.length) for r in text.sequence_lengths(chunks).collect()) == [("one", 7), ("two", 4)]
     want = spark.createDataFrame([("one", 2, 6)], "name string, beg long, stop long")
     assert text.fetch_sequence(chunks, want).first().seq == "GTAC"
+
+
+def test_first_weights_by_read_are_those_of_the_classes(spark, monkeypatch):
+    """Each read's own sums give the weights its class would get; the query forms no classes."""
+    rng = random.Random(8)
+    rows = [("T", r, rng.randrange(6), rng.randrange(50)) for r in range(60) for _ in range(rng.randint(1, 7))] + [("T", 99, 4, 1), ("T", 99, 5, 2), ("T", 99, 5, 3)]
+    alignments = spark.createDataFrame(rows, "sample string, read_id long, pid long, frag_start long")
+    peaks = spark.createDataFrame([(0, 10, 4), (1, 7, 9), (2, 300, 1), (3, 11, 2), (4, 9, 0), (5, 9, 0)], "pid long, len long, u long")
+    classes = em.read_classes(alignments)
+    by_class = {(r.class_id, r.pid): (r.m, r.w) for r in em.start_weights(classes.members, peaks).collect()}
+    class_of = {r.read_id: r.class_id for r in classes.of_read.collect()}
+    expected = {(r, p): by_class[class_of[r], p] for _, r, p, _ in rows}
+    got = em.start_by_read(alignments, peaks).collect()
+    assert {(r.read_id, r.pid): (r.m, r.w) for r in got} == expected and len(got) == len(expected)
+    assert expected[99, 4] == (1, 1 / 3)  # all rates zero: spread evenly
+    catalog.reset()
+    monkeypatch.setattr(em, "read_classes", lambda _: pytest.fail("classes are not needed"))
+    assert catalog.queries()["d15_start_weights"](spark, "/root/testdata/sf0.001").count() > 0
+    catalog.reset()
