@@ -30,8 +30,9 @@ def score_lengths(signal: DataFrame) -> DataFrame:
     runs on the aggregate and not on every segment.
     """
     pairs = rate_columns(signal).groupBy("k", "lam").agg(F.sum(F.col("stop") - F.col("start")).alias("bp"))
-    # few bytes but much arithmetic per row: keep the tasks that coalescing by size would merge
-    pairs = pairs.repartition(int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "lam")
+    # few bytes but much arithmetic per row: keep the tasks that coalescing by size would merge; by a hash of the pair, as a
+    # repartition by the columns of the aggregate itself is planned away
+    pairs = pairs.repartition(int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("k", "lam"))
     return pairs.withColumn("pscore", pscore(F.col("k"), F.col("lam")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from crestline import catalog
 from crestline.functions import cigar as cg
 from crestline.functions.flags import flag_text, text_flag
-from crestline.operators import em
+from crestline.operators import em, scoring
 from crestline.operators.model import anchor_tags
 from crestline.operators.reads import read_counts, tag_tracks, zip_mates
 from crestline.operators.tags import cap_duplicates, downsample, number_copies
@@ -174,3 +174,11 @@ def test_first_weights_by_read_are_those_of_the_classes(spark, monkeypatch):
     monkeypatch.setattr(em, "read_classes", lambda _: pytest.fail("classes are not needed"))
     assert catalog.queries()["d15_start_weights"](spark, "/root/testdata/sf0.001").count() > 0
     catalog.reset()
+
+
+def test_pairs_are_scored_in_many_tasks(spark):
+    """Few bytes of distinct pairs are still dealt to as many tasks as the session shuffles to."""
+    signal = spark.range(200).selectExpr("'c' AS chrom", "id AS start", "id + 1 AS stop", "CAST(id % 40 AS DOUBLE) AS treat", "id % 7 + 0.5D AS ctrl")
+    scored = scoring.score_lengths(signal)
+    placed = scored.groupBy(F.spark_partition_id().alias("part")).agg(F.count("pscore").alias("n")).collect()
+    assert len(placed) > 1 and sum(r.n for r in placed) == 200
