@@ -90,17 +90,19 @@ def normal_name(qname: Column) -> Column:
     )
 
 
-def long_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than a single task should take; none if there are none.
+def long_groups(rows: DataFrame, keys: Sequence[str], odd: Column | None = None) -> DataFrame | None:
+    """Keys with more rows than a single task should take, or with an ``odd`` row; none if there are none.
 
     Rows are counted by hash first, which sums up before the shuffle; keys are counted only where a hash has that many.
     """
-    hashed = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_hash"))
-    full = stage(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_READ).select("_hash"), "full_hashes")
+    odd = F.lit(False) if odd is None else odd
+    hashed = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_hash"), odd.alias("_odd"))
+    sizes = [F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd")]
+    taken = (F.col("_n") > LONG_READ) | F.col("_odd")
+    full = stage(hashed.groupBy("_hash").agg(*sizes).where(taken).select("_hash"), "full_hashes")
     if full.isEmpty():
         return None
-    sizes = hashed.join(full, "_hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long = stage(sizes.where(F.col("_n") > LONG_READ).select(*keys), "long_groups")
+    long = stage(hashed.join(full, "_hash", "left_semi").groupBy(*keys).agg(*sizes).where(taken).select(*keys), "long_groups")
     return None if long.isEmpty() else long
 
 
