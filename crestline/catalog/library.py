@@ -205,7 +205,9 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def annotation(spark: SparkSession, sf: str) -> DataFrame:
     exons = stage(view(spark, sf, "exons"), "exons")
-    named = exons.select("gene", "chrom", "strand", "type", "start", "stop").distinct()
+    # nearly all rows differ, so they are not grouped before the shuffle
+    columns = ["gene", "chrom", "strand", "type", "start", "stop"]
+    named = exons.select(*columns).repartition(*columns).distinct()
     other = gn.introns(exons).withColumn("type", F.lit("INTRON")).unionByName(gn.flanks(exons))
     blocks = pile_tags(view(spark, sf, "reads"), ["chrom", "strand", "pos"]).select(
         "chrom", "strand", F.col("pos").alias("l_start"), (F.col("pos") + TAG - 1).alias("l_stop")

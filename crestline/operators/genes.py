@@ -23,7 +23,7 @@ FLANK = 1000
 _KEYS = ["gene", "chrom", "strand"]
 ANNOTATION_BITS = 14  # a tile has 16,384 starts of blocks
 TARGETS_PER_PLACE = 50_000  # features of a tile that are held at once
-TARGETS_PER_TASK = 100_000
+TARGETS_PER_TASK = 200_000
 CELLS = 1 << 18  # pairs of gene and block that are worked out at once
 
 
